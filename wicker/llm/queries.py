@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.llm import bpe, mixing, quality, sharding
+from wicker.llm import bpe, mixing, quality, repeats, sharding, simhash
 from wicker.llm.common import read
 
 
@@ -18,6 +18,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and component."""
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 of near equal bytes."""
     out = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), 8)
@@ -30,6 +36,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without its repeated strings of 400 bytes."""
+    out = repeats.remove(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), *(F.col(c).cast("long") for c in ("n_bytes", "n_removed", "n_spans")), "kept_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents."""
     out = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -42,8 +54,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
+    "op7_suffix_array": op7_suffix_array,
     "op8_quality_rules": op8_quality_rules,
     "op10_bpe": op10_bpe,
 }

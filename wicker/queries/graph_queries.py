@@ -304,17 +304,17 @@ def _bfs(start: int, hops: int) -> str:
     return _BFS.format(pre=T.rstrip(), start=start, hops=hops)
 
 
-@query(_bfs(PART, 4).replace("with recursive ", f"with recursive {A.NODES_SQL}, ", 1) + "select id, name, qualified_name, depth, parent, edge_id from first join nodes using (id)")
+@query(_bfs(PART, 4).replace("with recursive ", f"with recursive {A.NODES_SQL}, ", 1) + "select id, name, qualified_name, depth, coalesce(parent, -1) as parent, coalesce(edge_id, -1) as edge_id from first join nodes using (id)")
 def trace(spark, d):
-    return traverse.trace(A.nodes(spark, d), A.thin(A.edges(spark, d, ("CALLS",))), PART, ["CALLS"], 4).select("id", "name", "qualified_name", "depth", "parent", "edge_id")
+    return traverse.trace(A.nodes(spark, d), A.thin(A.edges(spark, d, ("CALLS",))), PART, ["CALLS"], 4).fillna(-1, ["parent", "edge_id"]).select("id", "name", "qualified_name", "depth", "parent", "edge_id")
 
 
 GOAL = 420  # six steps away at a scale of 0.01
 
 
-@query(_bfs(PART, 8) + f", back as (select id, depth, parent, edge_id from first where id = {GOAL} union all select f.id, f.depth, f.parent, f.edge_id from back join first f on f.id = back.parent) select depth as step, id, edge_id from back")
+@query(_bfs(PART, 8) + f", back as (select id, depth, parent, edge_id from first where id = {GOAL} union all select f.id, f.depth, f.parent, f.edge_id from back join first f on f.id = back.parent) select depth as step, id, coalesce(edge_id, -1) as edge_id from back")
 def shortest_path(spark, d):
-    return traverse.shortest_path(A.thin(A.edges(spark, d, ("CALLS",))), PART, GOAL, ["CALLS"], 8)
+    return traverse.shortest_path(A.thin(A.edges(spark, d, ("CALLS",))), PART, GOAL, ["CALLS"], 8).fillna(-1, ["edge_id"])
 
 
 @query(_bfs(PART, 8).replace("with recursive ", f"with recursive {A.NODES_SQL}, ", 1) + f", back as (select id, depth, parent, edge_id from first where id = {GOAL} union all select f.id, f.depth, f.parent, f.edge_id from back join first f on f.id = back.parent) select coalesce(string_agg(name, ' -> ' order by depth), '') as path, cast(count(*) - 1 as int) as hops from back join nodes using (id)")
@@ -323,10 +323,10 @@ def path_summary(spark, d):
     return traverse.path_summary(path, A.nodes(spark, d))
 
 
-@query(_bfs(PART, 3) + "select f.id, f.depth, f.parent, coalesce(string_agg(cast(e.target_id as varchar), ',' order by e.id), '') as children from first f left join thin e on e.source_id = f.id and f.depth < 3 group by 1, 2, 3")
+@query(_bfs(PART, 3) + "select f.id, f.depth, coalesce(f.parent, -1) as parent, coalesce(string_agg(cast(e.target_id as varchar), ',' order by e.id), '') as children from first f left join thin e on e.source_id = f.id and f.depth < 3 group by f.id, f.depth, f.parent")
 def call_tree(spark, d):
     out = traverse.call_tree(A.thin(A.edges(spark, d, ("CALLS",))), PART, 3)
-    return out.select("id", "depth", "parent", F.array_join("children", ",").alias("children"))
+    return out.select("id", "depth", F.coalesce("parent", F.lit(-1)).alias("parent"), F.array_join("children", ",").alias("children"))
 
 
 @query(T.rstrip() + f", tree as (select 0 as depth, cast({PART} as bigint) as id, [cast({PART} as bigint)] as path, false as cyclic union all select depth + 1, target_id, list_append(path, target_id), list_contains(path, target_id) from tree join thin on source_id = tree.id where depth < 4 and not cyclic) select depth, id, array_to_string(path, ',') as path, cyclic, not cyclic and depth = 4 as truncated from tree")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from wicker.llm.repeats import _merged, _rest, digest
 CUT_BITS = 5
 #: Bytes of a chunk, at least (but for a text's last) and at most.
 LEAST, MOST = 24, 512
+#: Texts whose chunks are in memory together.
+TEXTS = 200
 #: Bytes of a text that are hashed together.
 BLOCK = 1 << 22
 #: The bytes that a 32-bit gear hash depends on.
@@ -59,31 +62,26 @@ def cuts(data: bytes) -> Iterator[tuple[int, int]]:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """``id, d1, d2, a, b, g1, g2``: the chunks of each row and their 128-bit digests."""
+    """``id, d1, d2, a, b, g1, g2``: the chunks of LEAST bytes or more of each row and their 128-bit digests."""
 
     def run(batches):
         for batch in batches:
-            for i, d1, d2, text in zip(batch["id"], batch["d1"], batch["d2"], batch["text"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                spans = list(cuts(data))
-                if spans:
-                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a:b]) for a, b in spans), ">i8").astype(np.int64)
-                    a, b = zip(*spans, strict=True)
-                    yield pd.DataFrame({"id": i, "d1": d1, "d2": d2, "a": a, "b": b, "g1": digests[::2], "g2": digests[1::2]})
-
-    def batched(batches, rows: int = 50_000):
-        held, n = [], 0
-        for x in run(batches):
-            held.append(x)
-            n += len(x)
-            if n >= rows:
-                yield pd.concat(held)
-                held, n = [], 0
-        if held:
-            yield pd.concat(held)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                owner, a, b, digests = [], [], [], []
+                for n, text in enumerate(part.column("text").to_pylist()):
+                    data = text.encode("utf-8", "surrogatepass")
+                    spans = [(i, j) for i, j in cuts(data) if j - i >= LEAST]
+                    owner += [n] * len(spans)
+                    a += [i for i, _ in spans]
+                    b += [j for _, j in spans]
+                    digests += [xxhash.xxh3_128_digest(data[i:j]) for i, j in spans]
+                halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64)
+                own = [part.column(c).take(pa.array(owner, pa.int64())) for c in ("id", "d1", "d2")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(halves[::2]), pa.array(halves[1::2])], ["id", "d1", "d2", "a", "b", "g1", "g2"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(batched, f"id {kind}, d1 long, d2 long, a int, b int, g1 long, g2 long")
+    return docs.mapInArrow(run, f"id {kind}, d1 long, d2 long, a int, b int, g1 long, g2 long")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,11 +93,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     so the hot ones are no larger than the rest.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *digest(F.col(text_col)))
-    every = chunked(rows).filter(F.col("b") - F.col("a") >= LEAST)
-    often = every.groupBy("g1").agg(F.count("*").alias("n")).filter("n > 1").select("g1")
+    every = chunked(rows)
+    often = materialize(every.groupBy("g1").agg(F.count("*").alias("n")).filter("n > 1").select("g1"))  # on its own, so that a join with it can split a hot digest
     likely = materialize(every.join(often, "g1", "left_semi"))
     where = F.struct("id", "d1", "d2", "a")
-    firsts = likely.groupBy("g1", "g2").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g1", "g2", "first")
+    firsts = materialize(likely.groupBy("g1", "g2").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g1", "g2", "first"))
     later = likely.join(firsts, ["g1", "g2"]).filter(~where.eqNullSafe(F.col("first")))
     return later.groupBy("id", "d1", "d2").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.collect_set("first.id").alias("first_ids"))
 

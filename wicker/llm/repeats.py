@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,19 +136,21 @@ def _merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _groups(batches, key: str) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Rows of one key together, from batches that are sorted by it."""
-    held: list[pd.DataFrame] = []
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of one key together, as tuples in the order of the columns, from batches that are sorted by it."""
+    now, held = None, []
     for batch in batches:
-        if not len(batch):
-            continue
-        for value, rows in batch.groupby(key, sort=False):
-            if held and held[0][key].iloc[0] != value:
-                yield held[0][key].iloc[0], pd.concat(held)
+        keys = batch.column(key).to_numpy()
+        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() if len(keys) else []
+        for i, j in zip(starts, [*starts[1:], len(rows)], strict=True):
+            if held and keys[i] != now:
+                yield now, held
                 held = []
-            held.append(rows)
+            now = keys[i]
+            held += rows[i:j]
     if held:
-        yield held[0][key].iloc[0], pd.concat(held)
+        yield now, held
 
 
 def digest(text: Column) -> list[Column]:
@@ -198,37 +201,43 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     found = materialize(_find_regions(rows, length))
     documents = found.drop("regions")
     every = found.select("d1", "d2", F.inline("regions"))
-    twice = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    twice = materialize(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))  # on its own: see below
     likely = materialize(every.join(twice, "key", "left_semi"))
     where = F.struct("d1", "d2", "lo", "hi", "at")
     regions = materialize(likely.groupBy("key", "r").agg(F.count("*").alias("n"), F.min(where).alias("w")).select("key", "r", "n", "w.*"))
     whole = regions.filter("n > 1").select("key", "r", F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b"))).alias("runs"))
 
-    several = regions.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    wanted = regions.join(several, "key")
-    needs = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct("key", "r", "lo", "hi", "at", "kinds")).alias("needs"))  # of one text, so bounded by it
-    cut = rows.select("d1", "d2", "text").join(needs, ["d1", "d2"]).dropDuplicates(["d1", "d2"])
+    several = materialize(regions.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"))  # on its own, so that a join with it can split a hot key
+    crowded = several.filter(F.col("kinds") > TOGETHER)
 
-    def fetch(batches):
-        for batch in batches:
-            out = []
-            for text, needs in zip(batch["text"], batch["needs"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                out += [(x["key"], x["r"], x["at"], x["kinds"], data[x["lo"] : x["hi"]]) for x in needs]
-            yield pd.DataFrame(out, columns=["key", "r", "at", "kinds", "bytes"])
+    def fetched(keys: DataFrame) -> DataFrame:
+        """``key, r, at, bytes`` of the regions of some anchors; a text is read once for all of them."""
+        region = F.struct("key", "r", "lo", "hi", "at")
+        needs = regions.join(keys.select("key"), "key", "left_semi").groupBy("d1", "d2").agg(F.collect_list(region).alias("needs"))  # of one text, so bounded by it
+
+        def fetch(batches):
+            for batch in batches:
+                out = []
+                for text, needs in zip(batch["text"], batch["needs"], strict=True):
+                    data = text.encode("utf-8", "surrogatepass")
+                    out += [(x["key"], x["r"], x["at"], data[x["lo"] : x["hi"]]) for x in needs]
+                yield pd.DataFrame(out, columns=["key", "r", "at", "bytes"])
 
-    fetched = materialize(cut.select("text", "needs").mapInPandas(fetch, "key long, r long, at int, kinds long, bytes binary"))
-    runs_type = "key long, r long, runs array<struct<a: int, b: int>>"
+        cut = rows.select("d1", "d2", "text").join(needs, ["d1", "d2"]).dropDuplicates(["d1", "d2"])
+        return cut.select("text", "needs").mapInPandas(fetch, "key long, r long, at int, bytes binary")
 
     def sort(batches):
+        out, schema = [], pa.schema([("key", pa.int64()), ("r", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
         for key, group in _groups(batches, "key"):
-            runs = repeated_runs(list(zip(group["bytes"], group["at"], strict=True)), length)
-            kept = [(key, r, [{"a": a, "b": b} for a, b in _merged(x)]) for r, x in zip(group["r"], runs, strict=True) if x]
-            if kept:
-                yield pd.DataFrame(kept, columns=["key", "r", "runs"])
+            runs = repeated_runs([(data, at) for _, _, at, data in group], length)
+            out += [{"key": key, "r": r, "runs": [{"a": a, "b": b} for a, b in _merged(x)]} for (_, r, _, _), x in zip(group, runs, strict=True) if x]
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
 
-    small = fetched.filter(F.col("kinds") <= TOGETHER).repartition("key").sortWithinPartitions("key")
-    sorted_runs = small.mapInPandas(sort, runs_type)
+    small = fetched(several.filter(F.col("kinds") <= TOGETHER)).repartition("key").sortWithinPartitions("key")
+    found_runs = whole.unionByName(small.mapInArrow(sort, "key long, r long, runs array<struct<a: int, b: int>>"))
 
     def strings(batches):
         for batch in batches:
@@ -237,12 +246,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 high, low = [(x >> 64) - (1 << 63) for x in hashes], [(x & ((1 << 64) - 1)) - (1 << 63) for x in hashes]
                 yield pd.DataFrame({"key": key, "r": r, "a": range(len(hashes)), "o": [at - i for i in range(len(hashes))], "h1": high, "h2": low})
 
-    crowded = fetched.filter(F.col("kinds") > TOGETHER).mapInPandas(strings, "key long, r long, a int, o int, h1 long, h2 long")
-    place = ["key", "o", "h1", "h2"]
-    again = crowded.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1").select(*place)
-    hits = crowded.join(again, place, "left_semi").select("key", "r", F.array(F.struct("a", (F.col("a") + length).alias("b"))).alias("runs"))
+    if not crowded.isEmpty():
+        every_string = fetched(crowded).mapInPandas(strings, "key long, r long, a int, o int, h1 long, h2 long")
+        place = ["key", "o", "h1", "h2"]
+        again = materialize(every_string.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1").select(*place))
+        hits = every_string.join(again, place, "left_semi").select("key", "r", F.array(F.struct("a", (F.col("a") + length).alias("b"))).alias("runs"))
+        found_runs = found_runs.unionByName(hits)
 
-    runs = whole.unionByName(sorted_runs).unionByName(hits).groupBy("key", "r").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # of one region
+    runs = found_runs.groupBy("key", "r").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # of one region
     shifted = F.transform("runs", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b")))
     by_place = likely.dropDuplicates(["d1", "d2", "key", "lo"]).join(runs, ["key", "r"]).select("d1", "d2", F.inline(shifted))
     spans = by_place.groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -31,6 +31,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The rows, written out, and marked for broadcast if there are at most so many of them.
+
+    Beyond that a join with them shuffles both sides, as any other join.
+    """
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters that are not ASCII white space; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -76,8 +85,8 @@ def running_totals(df: DataFrame, key: str, tie: list[str], totals: dict[str, st
     sums = local.groupBy(*within, "_piece").agg(*(F.sum(c).alias(f"_all_{n}") for c, n in totals.items()))
     earlier = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*(F.col(c).alias(f"_at_{c}") for c in [*within, "_piece"]), *(F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0).cast("long")).alias(f"_from_{n}") for n in totals.values()))
-    same = [local[c].eqNullSafe(starts[f"_at_{c}"]) for c in [*within, "_piece"]]
-    joined = local.join(starts if within else F.broadcast(starts), same)  # without ``within``, a row per piece
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*within, "_piece"]]
+    joined = local.join(small(starts), same)
     return joined.select(*df.columns, *((F.col(f"_in_{n}") + F.col(f"_from_{n}")).alias(n) for n in totals.values()))
 
 

@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import materialize
+from wicker.llm.common import materialize, small
 
 #: Characters fall into 32 classes, and the model looks at four in a row.
 BITS, ORDER = 5, 4
 CLASSES = 1 << BITS
+#: Ids of trusted documents that are broadcast, at most; with more, the texts are dealt out to them.
+IDS = 2_000_000
 #: Characters of a text that are looked at together.
 BLOCK = 1 << 18
 SPACE, DIGIT, STOP, BREAK, LETTER, OTHER = 0, 27, 28, 29, 30, 31
@@ -87,7 +89,7 @@ def _discounted(counts: DataFrame, lower: DataFrame | None) -> DataFrame:
     known = counts.groupBy("lang").agg(*times)
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
     d = [F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1)), F.lit(0.1)), F.lit(i - 0.1)).alias(f"d{i}") for i in range(1, 4)]
-    rows = counts.join(known.select("lang", *d), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+    rows = counts.join(small(known.select("lang", *d)), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
     rows = rows.withColumn("context", F.shiftright("code", BITS))
     contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
     rows = rows.join(contexts, ["lang", "context"]).withColumn("left", F.col("freed") / F.col("total")).withColumn("own", (F.col("n") - F.col("d")) / F.col("total"))
@@ -163,12 +165,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.min("quality").alias("_quality"), F.max(F.coalesce("toxic", F.lit(1))).alias("_toxic"))
-    trusted = marks.filter("_quality = 1 and _toxic = 0").select(F.col("_labelled").alias("id"))
+    trusted = small(marks.filter("_quality = 1 and _toxic = 0").select(F.col("_labelled").alias("id")), IDS)
     training = F.pmod(F.xxhash64("id"), F.lit(10)) != 0
     tables = model(rows.join(trusted, "id", "left_semi").filter(training))
     scored = materialize(score(rows, tables).select("id", "lang", F.length("text").cast("long").alias("n_chars"), "perplexity"))
     held = scored.join(trusted, "id", "left_semi").filter(~training).groupBy("lang").agg(F.count("perplexity").alias("n"), F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
     limits = held.filter(F.col("n") >= least).select(F.col("lang").alias("_lang"), "threshold")
-    judged = scored.join(limits, F.col("lang") == F.col("_lang"), "left")
+    judged = scored.join(small(limits), F.col("lang") == F.col("_lang"), "left")
     kept = (F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return judged.select("id", "lang", "n_chars", "perplexity", "threshold", kept.alias("kept"))

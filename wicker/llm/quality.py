@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicker.llm.common import materialize, words
+from wicker.llm.common import materialize, small, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -137,7 +137,7 @@ def judge(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, r
     holdout = facts.join(marks, F.col("_id") == F.col("_labelled")).filter(~F.col("base_failed"))
     cutoffs = choose_cutoffs(holdout, "stratum", F.col("_quality") == 1, rules, risk, error)
     wide = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(*(F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"_cut_{r.name}") for r in rules))
-    joined = facts.join(wide, F.col("stratum") == F.col("_stratum"), "left")
+    joined = facts.join(small(wide), F.col("stratum") == F.col("_stratum"), "left")
     failed = F.filter(F.array(*(F.when(F.expr(r.score) >= F.col(f"_cut_{r.name}"), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull())
     judged = joined.withColumn("failed_rules", failed)
     return judged.select(F.col("_id").alias(id_col), "stratum", *BASE, "n_lines", "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))

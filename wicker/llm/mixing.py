@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicker.llm.common import materialize, running_totals, words
+from wicker.llm.common import materialize, running_totals, small, words
 
 #: Slots are drawn by a uniform number below this.
 UNIT = 1 << 53
@@ -114,11 +114,12 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     own = sizes.select("rank", "slots", "blocks", "mask", "half")
     counts = counts.join(own, "rank").select("rank", "blocks", "mask", "half", "first", (F.least(F.col("first") + F.col("n"), F.col("slots")) - F.col("first")).alias("n"))
     short = own.join(drawn.groupBy("rank").agg(F.sum("n").alias("had")), "rank", "left").select("rank", "blocks", "mask", "half", F.coalesce("had", F.lit(0).cast("long")).alias("first"), (F.col("slots") - F.coalesce("had", F.lit(0).cast("long"))).alias("n"))
-    slots = counts.unionByName(short).filter("n > 0").select("rank", "blocks", "mask", "half", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
+    tasks = all_slots // 200_000 + 1  # a row of counts is many slots: rows alone would end up in one task
+    slots = counts.unionByName(short).filter("n > 0").repartition(tasks, "rank", "first").select("rank", "blocks", "mask", "half", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
     slots = slots.withColumn("around", F.floor(F.col("j") / F.col("blocks"))).withColumn("place", F.col("j") % F.col("blocks"))
     taken = slots.select("rank", permuted(*map(F.col, ("place", "blocks", "mask", "half")), F.lit(seed), F.col("rank"), F.col("around")).alias("block")).groupBy("rank", "block").agg(F.count("*").alias("times"))
 
-    known = placed.join(sizes.select(F.col("source").alias("_source"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    known = placed.join(small(sizes.select(F.col("source").alias("_source"), "rank", "source_size", "target")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     full = known.filter("size > 0")
     reach = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
     parts = full.withColumn("block", F.explode(reach))

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters after a match that can still change it: a quote and two letters.
 PATTERN_LOOKAHEAD = 3
+#: Rows whose ids are in memory together.
+ROWS = 200
 #: Characters of a text that are looked at together.
 BLOCK = 1 << 16
 #: Pieces whose tokens are remembered by a worker, and the longest of them.
@@ -262,8 +264,9 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", id_col:
     def run(batches):
         merges = load(shared.value)
         for batch in batches:
-            ids = [np.frombuffer(b"".join(encode(merges, t or "")), "<i4") for t in batch["_text"]]
-            yield batch[["_id"]].assign(ids=ids)
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                yield part[["_id"]].assign(ids=[np.frombuffer(b"".join(encode(merges, t or "")), "<i4") for t in part["_text"]])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -318,3 +321,23 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", id_col: str =
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInPandas(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)
+
+
+def encode_checked(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``id, n_tokens, ids, lossless``: each text's ids, and whether they decode to it again."""
+    shared = _shared(docs, path)
+
+    def run(batches):
+        merges = load(shared.value)
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                part, ids, same = batch.iloc[at : at + ROWS], [], []
+                for text in part["_text"]:
+                    blocks = list(encode(merges, text or ""))
+                    ids.append(np.frombuffer(b"".join(blocks), "<i4"))
+                    same.append("".join(decode(merges, blocks)) == (text or ""))
+                yield part[["_id"]].assign(n_tokens=[len(x) for x in ids], ids=ids, lossless=same)
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInPandas(run, f"_id {kind}, n_tokens long, ids array<int>, lossless boolean").withColumnRenamed("_id", id_col)

@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import materialize
-from wicker.llm.repeats import _merged, _rest, digest
+from wicker.llm.common import digest, materialize
+from wicker.llm.repeats import _merged, _rest
 
 #: A cut may follow a byte where the top bits of the gear hash are zero: one byte in 2 ** CUT_BITS.
 CUT_BITS = 5

@@ -18,16 +18,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; a temporary one only where it names none."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wicker-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only
     where none is set (tests, a single machine) a temporary one is made.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wicker-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -45,6 +50,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def digest(text: Column) -> list[Column]:
+    """Two independent 64-bit hashes of a text; null counts as empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(whole).alias("d1"), F.xxhash64(F.lit(1), whole).alias("d2")]
+
+
 def stretches(df: DataFrame, key: str, pieces: int) -> Column:
     """A number that rises with the numeric ``key`` and splits the rows about evenly into ``pieces``.
 

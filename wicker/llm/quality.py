@@ -121,6 +121,19 @@ def choose_cutoffs(scored: DataFrame, stratum: str, good: Column, rules: tuple[R
     return clean.groupBy("stratum", "rule").agg(F.max("n").alias("n"), F.min(F.when(F.col("clean"), F.col("cutoff"))).alias("cutoff"))
 
 
+def _wide(cutoffs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """A row per stratum with its cutoffs side by side, to be joined on ``_stratum``."""
+    return small(cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(*(F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"_cut_{r.name}") for r in rules)))
+
+
+def _failed(rules: tuple[Rule, ...]) -> Column:
+    return F.filter(F.array(*(F.when(F.expr(r.score) >= F.col(f"_cut_{r.name}"), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull())
+
+
+def _marks(labels: DataFrame) -> DataFrame:
+    return labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.min("quality").alias("_quality"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = 0.02, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Features and verdicts of every document, from cutoffs that its language's labels vouch for.
 
@@ -133,11 +146,25 @@ def judge(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, r
     """
     own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.col(text_col).alias("_text"))
     facts = materialize(features(own, "_text").drop("_text").withColumn("base_failed", base_failed()))
-    marks = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.min("quality").alias("_quality"))
-    holdout = facts.join(marks, F.col("_id") == F.col("_labelled")).filter(~F.col("base_failed"))
+    holdout = facts.join(_marks(labels), F.col("_id") == F.col("_labelled")).filter(~F.col("base_failed"))
     cutoffs = choose_cutoffs(holdout, "stratum", F.col("_quality") == 1, rules, risk, error)
-    wide = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(*(F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"_cut_{r.name}") for r in rules))
-    joined = facts.join(small(wide), F.col("stratum") == F.col("_stratum"), "left")
-    failed = F.filter(F.array(*(F.when(F.expr(r.score) >= F.col(f"_cut_{r.name}"), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull())
-    judged = joined.withColumn("failed_rules", failed)
+    judged = facts.join(_wide(cutoffs, rules), F.col("stratum") == F.col("_stratum"), "left").withColumn("failed_rules", _failed(rules))
     return judged.select(F.col("_id").alias(id_col), "stratum", *BASE, "n_lines", "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = 0.02, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The documents that ``judge`` keeps, in the columns of docs.
+
+    The cutoffs come from one pass over the texts, of which only counts remain;
+    the verdicts from a second one, so no text is ever dealt out to its verdict.
+    """
+    own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.col(text_col).alias("_text"))
+    labelled = own.join(small(_marks(labels), 2_000_000), F.col("_id") == F.col("_labelled"))
+    holdout = materialize(features(labelled, "_text").drop("_text")).filter(~base_failed())
+    cutoffs = choose_cutoffs(holdout, "stratum", F.col("_quality") == 1, rules, risk, error)
+    rows = features(docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.col(text_col).alias("_text")), "_text")
+    # A column that depends on the partition keeps the counts where they are: the
+    # optimizer would else write them out again in every condition below.
+    rows = rows.withColumn("_here", F.monotonically_increasing_id())
+    judged = rows.join(_wide(cutoffs, rules), F.col("stratum") == F.col("_stratum"), "left")
+    return judged.filter((F.col("_here") >= 0) & ~base_failed() & (F.size(_failed(rules)) == 0)).select("_row.*")

@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import materialize
+from wicker.llm.common import digest, materialize
 from wicker.llm.suffix_array import common_prefixes, suffix_array
 
 #: Bytes hashed at each place; of all such in a string of the length looked for, the smallest hash is its anchor.
@@ -153,12 +153,6 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, held
 
 
-def digest(text: Column) -> list[Column]:
-    """Two independent 64-bit hashes of a text; null counts as empty."""
-    whole = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(whole).alias("d1"), F.xxhash64(F.lit(1), whole).alias("d2")]
-
-
 def _find_regions(docs: DataFrame, length: int) -> DataFrame:
     """``d1, d2, n_bytes, sha, regions``: each row's digest and where its anchors' strings lie."""
 

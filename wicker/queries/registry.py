@@ -21,3 +21,10 @@ def query(sql: str | None = None):
         return run
 
     return add
+
+
+def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """All queries and their SQL; the modules register themselves on import."""
+    from wicker.queries import evaluation_queries, graph_queries, resolve_queries, store_queries, text_queries, vector_queries  # noqa: F401
+
+    return QUERIES, ORACLES

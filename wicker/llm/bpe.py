@@ -7,6 +7,7 @@ blocks of any size; tokens leave as soon as no later input can change them.
 from __future__ import annotations
 
 import codecs
+import contextlib
 import functools
 import hashlib
 import heapq
@@ -20,6 +21,8 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wicker.llm.common import small_batches
+
 #: The pre-tokenizer's pattern of the byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters after a match that can still change it: a quote and two letters.
@@ -29,7 +32,7 @@ ROWS = 200
 #: Characters of a text that are looked at together.
 BLOCK = 1 << 16
 #: Pieces whose tokens are remembered by a worker, and the longest of them.
-CACHED, CACHED_CHARS = 400_000, 48
+CACHED, CACHED_CHARS = 250_000, 48
 #: In place of a rank, where no merge applies.
 NONE = (1 << 60, -1)
 
@@ -242,6 +245,16 @@ def load(definition: str) -> Merges:
     return Merges(definition)
 
 
+@contextlib.contextmanager
+def lent(definition: str) -> Iterator[Merges]:
+    """The merge list for one task, which leaves no pieces behind: idle workers keep what they hold."""
+    merges = load(definition)
+    try:
+        yield merges
+    finally:
+        merges.cache.clear()
+
+
 def definition_at(path: str) -> str:
     """The tokenizer definition at a path of the driver; it travels to the workers in a broadcast."""
     with open(path, encoding="utf-8") as f:
@@ -249,6 +262,7 @@ def definition_at(path: str) -> str:
 
 
 def _shared(docs: DataFrame, path: str):
+    small_batches(docs)
     context: SparkContext = docs.sparkSession.sparkContext
     return context.broadcast(definition_at(path))  # a vocabulary file: its size does not depend on the corpus
 
@@ -262,11 +276,11 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", id_col:
     shared = _shared(docs, path)
 
     def run(batches):
-        merges = load(shared.value)
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.iloc[at : at + ROWS]
-                yield part[["_id"]].assign(ids=[np.frombuffer(b"".join(encode(merges, t or "")), "<i4") for t in part["_text"]])
+        with lent(shared.value) as merges:
+            for batch in batches:
+                for at in range(0, len(batch), ROWS):
+                    part = batch.iloc[at : at + ROWS]
+                    yield part[["_id"]].assign(ids=[np.frombuffer(b"".join(encode(merges, t or "")), "<i4") for t in part["_text"]])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -278,10 +292,10 @@ def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids", id_col
     shared = _shared(encoded, path)
 
     def run(batches):
-        merges = load(shared.value)
-        for batch in batches:
-            packed = (np.asarray([] if x is None else x, "<u4") for x in batch["_ids"])
-            yield batch[["_id"]].assign(text=["".join(decode(merges, (x[i : i + BLOCK].tobytes() for i in range(0, len(x), BLOCK)))) for x in packed])
+        with lent(shared.value) as merges:
+            for batch in batches:
+                packed = (np.asarray([] if x is None else x, "<u4") for x in batch["_ids"])
+                yield batch[["_id"]].assign(text=["".join(decode(merges, (x[i : i + BLOCK].tobytes() for i in range(0, len(x), BLOCK)))) for x in packed])
 
     rows = encoded.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids"))
     kind = encoded.schema[id_col].dataType.simpleString()
@@ -312,11 +326,11 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", id_col: str =
         return n, ids.hexdigest(), out.hexdigest()
 
     def run(batches):
-        merges = load(shared.value)
-        for batch in batches:
-            found = [digest(merges, t or "") for t in batch["_text"]]
-            n, ids, out = map(list, zip(*found, strict=True)) if found else ([], [], [])
-            yield batch[["_id"]].assign(n_tokens=n, ids_sha256=ids, decoded_sha256=out)
+        with lent(shared.value) as merges:
+            for batch in batches:
+                found = [digest(merges, t or "") for t in batch["_text"]]
+                n, ids, out = map(list, zip(*found, strict=True)) if found else ([], [], [])
+                yield batch[["_id"]].assign(n_tokens=n, ids_sha256=ids, decoded_sha256=out)
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -328,15 +342,15 @@ def encode_checked(docs: DataFrame, path: str, text_col: str = "text", id_col: s
     shared = _shared(docs, path)
 
     def run(batches):
-        merges = load(shared.value)
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part, ids, same = batch.iloc[at : at + ROWS], [], []
-                for text in part["_text"]:
-                    blocks = list(encode(merges, text or ""))
-                    ids.append(np.frombuffer(b"".join(blocks), "<i4"))
-                    same.append("".join(decode(merges, blocks)) == (text or ""))
-                yield part[["_id"]].assign(n_tokens=[len(x) for x in ids], ids=ids, lossless=same)
+        with lent(shared.value) as merges:
+            for batch in batches:
+                for at in range(0, len(batch), ROWS):
+                    part, ids, same = batch.iloc[at : at + ROWS], [], []
+                    for text in part["_text"]:
+                        blocks = list(encode(merges, text or ""))
+                        ids.append(np.frombuffer(b"".join(blocks), "<i4"))
+                        same.append("".join(decode(merges, blocks)) == (text or ""))
+                    yield part[["_id"]].assign(n_tokens=[len(x) for x in ids], ids=ids, lossless=same)
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import digest, materialize
+from wicker.llm.common import digest, materialize, small_batches
 from wicker.llm.repeats import _merged, _rest
 
 #: A cut may follow a byte where the top bits of the gear hash are zero: one byte in 2 ** CUT_BITS.
@@ -93,7 +93,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     so the hot ones are no larger than the rest.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *digest(F.col(text_col)))
-    every = chunked(rows)
+    every = chunked(small_batches(rows))
     often = materialize(every.groupBy("g1").agg(F.count("*").alias("n")).filter("n > 1").select("g1"))  # on its own, so that a join with it can split a hot digest
     likely = materialize(every.join(often, "g1", "left_semi"))
     where = F.struct("id", "d1", "d2", "a")

@@ -36,6 +36,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same rows; from now on the session hands Python at most so many at a time.
+
+    Texts are long, and a worker holds a batch several times over. A smaller
+    setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """The rows, written out, and marked for broadcast if there are at most so many of them.
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import materialize, small
+from wicker.llm.common import materialize, small, small_batches
 
 #: Characters fall into 32 classes, and the model looks at four in a row.
 BITS, ORDER = 5, 4
@@ -167,7 +167,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marks = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.min("quality").alias("_quality"), F.max(F.coalesce("toxic", F.lit(1))).alias("_toxic"))
     trusted = small(marks.filter("_quality = 1 and _toxic = 0").select(F.col("_labelled").alias("id")), IDS)
     training = F.pmod(F.xxhash64("id"), F.lit(10)) != 0
-    tables = model(rows.join(trusted, "id", "left_semi").filter(training))
+    tables = model(small_batches(rows).join(trusted, "id", "left_semi").filter(training))
     scored = materialize(score(rows, tables).select("id", "lang", F.length("text").cast("long").alias("n_chars"), "perplexity"))
     held = scored.join(trusted, "id", "left_semi").filter(~training).groupBy("lang").agg(F.count("perplexity").alias("n"), F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
     limits = held.filter(F.col("n") >= least).select(F.col("lang").alias("_lang"), "threshold")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.llm import ann, bpe, chunks, mixing, perplexity, preference, quality, repeats, sharding, simhash
+from wicker.llm import ann, bpe, chunks, mixing, oracles, perplexity, preference, quality, repeats, sharding, simhash
 from wicker.llm.common import read
 
 
@@ -92,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES

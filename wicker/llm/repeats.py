@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import digest, materialize
+from wicker.llm.common import digest, materialize, small_batches
 from wicker.llm.suffix_array import common_prefixes, suffix_array
 
 #: Bytes hashed at each place; of all such in a string of the length looked for, the smallest hash is its anchor.
@@ -192,7 +192,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
        and those that occur twice are counted in a plain aggregation.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *digest(F.col(text_col)))
-    found = materialize(_find_regions(rows, length))
+    found = materialize(_find_regions(small_batches(rows), length))
     documents = found.drop("regions")
     every = found.select("d1", "d2", F.inline("regions"))
     twice = materialize(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))  # on its own: see below

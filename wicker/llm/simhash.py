@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import components, digest, materialize
+from wicker.llm.common import components, digest, materialize, small_batches
 
 BYTES = 8
 #: Shingles whose hashes are in memory together.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"id": batch["_id"], "fp": found})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"id {kind}, fp long")
+    return small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"id {kind}, fp long")
 
 
 def _shared_bytes(x: Column) -> Column:
@@ -221,7 +221,7 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     Returns ``id, node`` and ``a, b``.
     """
-    prints = materialize(_wide_prints(docs, shingle))
+    prints = materialize(_wide_prints(small_batches(docs), shingle))
     three = ["f0", "f1", "f2"]
     node = F.xxhash64(*three)
     nodes = materialize(prints.groupBy(node.alias("node"), *three).agg(F.min(F.struct("d1", "d2")).alias("w")).select("node", *three, "w.*"))

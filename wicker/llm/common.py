@@ -58,6 +58,11 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
+def only(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 2_000_000) -> DataFrame:
+    """The rows with one of the keys. Up to ``most`` keys are broadcast, so that wide rows without one are never dealt out."""
+    return rows.join(small(keys.select(*on).distinct(), most), on, "left_semi")
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters that are not ASCII white space; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

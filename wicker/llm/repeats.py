@@ -12,17 +12,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import digest, materialize, small_batches
+from wicker.llm.common import digest, materialize, only, small, small_batches
 from wicker.llm.suffix_array import common_prefixes, suffix_array
 
 #: Bytes hashed at each place; of all such in a string of the length looked for, the smallest hash is its anchor.
-GRAM = 32
+GRAM = 64
 #: A place is the low part of a number, its hash the high part, so that equal hashes rank by place.
 PLACE = 24
 #: Bytes of a text that are looked at together; blocks overlap by the length looked for.
 BLOCK = 1 << 22
 #: Different surroundings of one anchor that are sorted together; an anchor with more goes window by window.
 TOGETHER = 2000
+#: Texts whose spans are broadcast to the documents, at most.
+SPANS = 200_000
 _BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << PLACE) - 1)
@@ -181,7 +183,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     text's digest; texts without spans are not among the latter.
 
     1. Every string of ``length`` bytes has an anchor (see ``anchors``), about one
-       in 185 places; the strings of one anchor form a region of at most
+       in 170 places; the strings of one anchor form a region of at most
        2 * length bytes. Only anchors whose hash occurs twice go on.
     2. Equal regions are counted before anything is grouped: one that occurs twice
        is repeated as a whole.
@@ -217,7 +219,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                     out += [(x["key"], x["r"], x["at"], data[x["lo"] : x["hi"]]) for x in needs]
                 yield pd.DataFrame(out, columns=["key", "r", "at", "bytes"])
 
-        cut = rows.select("d1", "d2", "text").join(needs, ["d1", "d2"]).dropDuplicates(["d1", "d2"])
+        needs = materialize(needs)
+        cut = only(rows.select("d1", "d2", "text"), needs, ["d1", "d2"]).join(needs, ["d1", "d2"]).dropDuplicates(["d1", "d2"])
         return cut.select("text", "needs").mapInPandas(fetch, "key long, r long, at int, bytes binary")
 
     def sort(batches):
@@ -247,11 +250,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         hits = every_string.join(again, place, "left_semi").select("key", "r", F.array(F.struct("a", (F.col("a") + length).alias("b"))).alias("runs"))
         found_runs = found_runs.unionByName(hits)
 
-    runs = found_runs.groupBy("key", "r").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # of one region
+    runs = materialize(found_runs.groupBy("key", "r").agg(F.flatten(F.collect_list("runs")).alias("runs")))  # of one region
     shifted = F.transform("runs", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b")))
     by_place = likely.dropDuplicates(["d1", "d2", "key", "lo"]).join(runs, ["key", "r"]).select("d1", "d2", F.inline(shifted))
     spans = by_place.groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return documents, spans
+    return documents, materialize(spans)
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -275,7 +278,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             yield pd.DataFrame(out, columns=["e1", "e2", "n_removed", "n_spans", "kept"])
 
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *digest(F.col(text_col)))
-    cut = rows.join(spans, ["d1", "d2"]).dropDuplicates(["d1", "d2"]).mapInPandas(apply, "e1 long, e2 long, n_removed long, n_spans long, kept string")
+    cut = only(rows, spans, ["d1", "d2"]).join(spans, ["d1", "d2"]).dropDuplicates(["d1", "d2"]).mapInPandas(apply, "e1 long, e2 long, n_removed long, n_spans long, kept string")
     joined = documents.join(cut, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
     none = F.lit(0).cast("long")
     return joined.select("id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
@@ -300,7 +303,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     _, spans = removals(docs, id_col, text_col, length)
     keyed = docs.withColumns(dict(zip(("_d1", "_d2"), digest(F.col(text_col)), strict=True)))
     found = spans.select(F.col("d1").alias("_e1"), F.col("d2").alias("_e2"), F.col("spans").alias("_spans"))
-    joined = keyed.join(found, (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2")), "left")
+    joined = keyed.join(small(found, SPANS), (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2")), "left")
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, spans: pd.Series) -> pd.Series:

@@ -108,7 +108,7 @@ def is_binary(content: pd.Series) -> pd.Series:
 
 def glob_pattern(glob: str) -> str:
     """A regular expression: ``**`` crosses folders, ``*`` and ``?`` don't; a folder covers what is in it."""
-    out, i = "", 0
+    glob, out, i = glob.rstrip("/"), "", 0
     while i < len(glob):
         if glob.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3

@@ -8,21 +8,18 @@ level was empty.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wicker import schema
 from wicker.operators.graph import OUT, capped, is_in
 from wicker.operators.graphquery import ranked
+from wicker.session import checkpoint_folder
 
 
 def saved(df: DataFrame) -> DataFrame:
     """The rows, cut from their lineage, in the checkpoint folder that the cluster names."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wicker-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

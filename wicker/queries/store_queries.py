@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from wicker.functions import text
 from wicker.operators import stats, store
 from wicker.queries.graph_queries import NE, N
 from wicker.queries.registry import query
+from wicker.session import checkpoint_folder
 from wicker.sources import adapters as A
 from wicker.sources import files
 from wicker.streaming import incremental
@@ -162,9 +163,8 @@ def latency_counters(spark, d):
 @query("select doc_id, max(n_chars) as n_chars from (select doc_id, n_chars from documents union all select doc_id, n_chars + 1 from documents where doc_id % 4 = 0) group by 1")
 def followed_changes(spark, d):
     """Two batches of changes through the stream, then the published table."""
-    folder = tempfile.mkdtemp(prefix="wicker-") if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/follow"
     docs = A.read(spark, d, "documents").select("doc_id", "n_chars", F.lit(1).alias("seq"))
-    at = f"{folder}/{abs(hash(d))}-{spark.sparkContext.startTime}-{docs._jdf.hashCode()}"
+    at = f"{checkpoint_folder(spark)}/follow-{uuid.uuid4().hex}"
     snapshots = incremental.Snapshots(spark, f"{at}/table")
     for batch in (docs, docs.filter("doc_id % 4 = 0").withColumns({"n_chars": F.col("n_chars") + 1, "seq": F.lit(2)})):
         batch.write.mode("append").parquet(f"{at}/changes")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import digest, materialize, small_batches
+from wicker.llm.common import digest, materialize, small, small_batches
 from wicker.llm.repeats import _merged, _rest
 
 #: A cut may follow a byte where the top bits of the gear hash are zero: one byte in 2 ** CUT_BITS.
@@ -20,6 +20,8 @@ CUT_BITS = 5
 LEAST, MOST = 24, 512
 #: Texts whose chunks are in memory together.
 TEXTS = 200
+#: Digests of texts that lose something, which are broadcast, at most.
+TOUCHED = 2_000_000
 #: Bytes of a text that are hashed together.
 BLOCK = 1 << 22
 #: The bytes that a 32-bit gear hash depends on.
@@ -109,9 +111,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     apart goes with the chunk that cuts it. ``first_ids`` (sorted) is empty where
     nothing was removed.
     """
+    text, zero = F.coalesce(F.col(text_col), F.lit("")), F.lit(0).cast("long")
+    size, none = F.octet_length(text).cast("long"), F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")
     found = repeated(docs, id_col, text_col).select(F.col("id").alias("_i"), F.col("d1").alias("_e1"), F.col("d2").alias("_e2"), F.col("spans").alias("_spans"), F.col("first_ids").alias("_firsts"))
     keyed = docs.withColumns(dict(zip(("_d1", "_d2"), digest(F.col(text_col)), strict=True)))
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2")), "left")
+    # Only texts that lose something somewhere are dealt out to their spans.
+    found = materialize(found)
+    texts = small(found.select(F.col("_e1").alias("_d1"), F.col("_e2").alias("_d2")).distinct(), TOUCHED)
+    whole = keyed.join(texts, ["_d1", "_d2"], "left_anti").select(*docs.columns, size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), none.alias("first_ids"), text.alias("kept_text"))
+    joined = keyed.join(texts, ["_d1", "_d2"], "left_semi").join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2")), "left")
 
     @F.pandas_udf("struct<n_removed: long, n_spans: long, kept_text: string>")
     def rest(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -122,6 +130,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             out.append((sum(b - a for a, b in runs), len(runs), kept))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_text"])
 
-    none = F.array().cast(joined.schema["_firsts"].dataType)
-    out = joined.withColumn("_rest", rest(F.coalesce(F.col(text_col), F.lit("")), F.col("_spans")))
-    return out.select(*docs.columns, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), "_rest.n_removed", "_rest.n_spans", F.coalesce(F.array_sort("_firsts"), none).alias("first_ids"), "_rest.kept_text")
+    out = joined.withColumn("_rest", rest(text, F.col("_spans")))
+    return out.select(*docs.columns, size.alias("n_bytes"), "_rest.n_removed", "_rest.n_spans", F.coalesce(F.array_sort("_firsts"), none).alias("first_ids"), "_rest.kept_text").unionAll(whole)

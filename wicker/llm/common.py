@@ -1,4 +1,8 @@
-"""Helpers that several training-data operators share."""
+"""Helpers that several training-data operators share.
+
+Operators that return the columns of their input reserve names that begin with
+an underscore; all other extra columns pass through, whatever their names.
+"""
 
 from __future__ import annotations
 

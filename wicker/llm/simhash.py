@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import components, digest, materialize, small_batches
+from wicker.llm.common import components, digest, materialize, only, small_batches
 
 BYTES = 8
 #: Shingles whose hashes are in memory together.
@@ -133,14 +134,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, F.col("fp") == F.col("_fp")).select("id", "fp", "root", "component")
 
 
-# Near copies by the similarity of their shingles, over a wider fingerprint.
+# Near copies by the similarity of their shingles; a wider fingerprint says which of them to verify.
 
-#: Bytes of the wide fingerprint, positions that are combined with each other, bytes of a key.
-WIDE, GROUP, KEY = 24, 6, 3
-#: Differing bits beyond which a candidate is not verified: shingle sets of similarity 0.8 differ in about 29 of 192.
-FAR = 48
+#: Bytes of the wide fingerprint.
+WIDE = 24
+#: Differing bits beyond which a candidate is not verified: shingle sets of similarity 0.8 differ in about 29 of 192, unrelated ones in 96.
+FAR = 64
 #: Members of a posting that are compared with each other.
 TOGETHER = 1000
+#: Texts in which common shingles are looked for, how often one occurs there at least, and how many are broadcast at most.
+SAMPLE, OFTEN, COMMON = 20_000, 4, 200_000
 
 
 def _families(hashes: np.ndarray, n: int) -> list[np.ndarray]:
@@ -175,16 +178,56 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def _wide_prints(rows: DataFrame, shingle: int) -> DataFrame:
-    """``id, d1, d2, f0, f1, f2`` of rows (id, text, d1, d2)."""
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that are common in a sample of the texts, sorted, and their ranks, the most common last.
+
+    They only decide which shingles a posting is made of, never which pairs meet.
+    """
+    step = max(1, docs.count() // SAMPLE)
+    sample = docs.filter(F.pmod("d1", F.lit(step)) == 0).select("text", "d1", "d2").dropDuplicates(["d1", "d2"])
 
     def run(batches):
         for batch in batches:
-            found = np.array([wide_fingerprint(shingle_hashes(t, shingle)) for t in batch["text"]], np.int64).reshape(-1, WIDE // 8)
-            yield batch[["id", "d1", "d2"]].assign(f0=found[:, 0], f1=found[:, 1], f2=found[:, 2])
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(t, shingle)) for t in batch["text"])]).view(np.int64)})
+
+    counts = sample.select("text").mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    hashes = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.arange(len(hashes), 0, -1)[order]
+
+
+def rarest(distinct: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n distinct shingle hashes, in an order that is the same for all texts.
+
+    Two sets of that similarity share so many shingles that the first they share
+    is among these of both. Common shingles come last.
+    """
+    if not len(distinct):
+        return distinct
+    known, ranks = common
+    rank = np.zeros(len(distinct), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+        rank = np.where(known[at] == distinct, ranks[at], 0)
+    most = len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1
+    return distinct[np.lexsort((distinct, rank))[:most]]
+
+
+def _wide_prints(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``id, d1, d2, node, size, f0, f1, f2, keys`` of rows (id, text, d1, d2): a digest of the shingle set, its size, fingerprint and rarest."""
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))  # bounded by COMMON
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch["text"]]
+            found = np.array([wide_fingerprint(s) for s in sets], np.int64).reshape(-1, WIDE // 8)
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            keys = [rarest(s, similarity, common.value).view(np.int64) for s in sets]
+            yield batch[["id", "d1", "d2"]].assign(node=node, size=[len(s) for s in sets], f0=found[:, 0], f1=found[:, 1], f2=found[:, 2], keys=keys)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, d1 long, d2 long, f0 long, f1 long, f2 long")
+    return rows.mapInPandas(run, f"id {kind}, d1 long, d2 long, node long, size long, f0 long, f1 long, f2 long, keys array<long>")
 
 
 def _forest(nodes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -208,28 +251,20 @@ def _forest(nodes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int,
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Nodes and links of documents (id, text, d1, d2) whose shingle sets have that Jaccard similarity.
 
-    Documents with the same fingerprint are one node. The inverted index has a
-    posting for each choice of KEY positions within a group of GROUP byte
-    positions. Two documents that share b of the WIDE bytes meet in it surely if b
-    is over (KEY - 1) * WIDE / GROUP, and at similarity 0.9 in 94 % of cases, at
-    0.95 in over 99 % (bits of random shingle sets; tests measure it). Of a posting
-    only a spanning forest by differing bits goes on, so groups of near copies cost
-    as much as they have members; a posting with over TOGETHER members is dealt
-    into parts by a hash that differs from key to key. Candidates whose shared
-    bytes reach KEY and whose bits differ by FAR at most are verified on their
-    whole texts.
+    Documents with the same shingle set are one node. The inverted index has a
+    posting for each of a node's ``rarest`` shingles, in which all pairs of that
+    similarity meet. Of a posting only a spanning forest by differing bits goes
+    on, so groups of near copies cost as much as they have members; a posting with
+    over TOGETHER members is dealt into parts by a hash that differs from key to
+    key. Candidates whose sizes allow the similarity and whose bits differ by FAR
+    at most are verified on their whole texts.
 
     Returns ``id, node`` and ``a, b``.
     """
-    prints = materialize(_wide_prints(small_batches(docs), shingle))
+    prints = materialize(_wide_prints(small_batches(docs), shingle, similarity))
     three = ["f0", "f1", "f2"]
-    node = F.xxhash64(*three)
-    nodes = materialize(prints.groupBy(node.alias("node"), *three).agg(F.min(F.struct("d1", "d2")).alias("w")).select("node", *three, "w.*"))
-    byte = lambda p: F.shiftrightunsigned(F.col(f"f{p // 8}"), 8 * (p % 8)).bitwiseAND(F.lit(255))
-    picks = [c for at in range(0, WIDE, GROUP) for c in combinations(range(at, at + GROUP), KEY)]
-    value = lambda c: sum(((byte(p) * (1 << (8 * i))) for i, p in enumerate(c)), F.lit(0).cast("long"))
-    entries = F.array(*(F.struct((F.lit(n << 32).cast("long") + value(c)).alias("k")) for n, c in enumerate(picks)))
-    postings = nodes.select("node", F.inline(entries))
+    nodes = materialize(prints.groupBy("node").agg(F.min(F.struct("d1", "d2")).alias("w"), *(F.first(c).alias(c) for c in ("size", *three, "keys"))).select("node", "size", *three, "keys", "w.*"))
+    postings = nodes.select("node", F.explode("keys").alias("k"))
     full = materialize(postings.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("n > 1"))
     parts = F.ceil(F.col("n") / TOGETHER)
     fuller = postings.join(full.filter("n > 2").select("k", "n"), "k").withColumn("part", F.pmod(F.xxhash64("k", "node"), parts))
@@ -243,26 +278,29 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
                 found.update(_forest(x[:, 0], x[:, 1:].view(np.uint64), FAR))
             yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
-    pairs = full.filter("n = 2").select("a", "b").union(gathered.select("members").mapInPandas(run, "a long, b long")).distinct()
-    side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(f).alias(f"{x}{f}") for f in three))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    xors = [F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}")) for f in three]
-    joined = joined.withColumn("tally", sum(map(_shared_bytes, xors))).filter(F.col("tally") >= KEY)
-    likely = materialize(joined.filter(sum(map(F.bit_count, xors)) <= FAR).select("a", "b"))
-
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = nodes.join(wanted, "node", "left_semi").select("node", "d1", "d2")
-    texts = docs.select("text", "d1", "d2").join(owners, ["d1", "d2"]).dropDuplicates(["node"])
-
     def sets(batches):
         for batch in batches:
             yield pd.DataFrame({"node": batch["node"], "s": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch["text"]]})
 
-    own = materialize(texts.select("node", "text").mapInPandas(sets, "node long, s array<long>"))
-    both = likely.join(own.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    every = F.size("sa") + F.size("sb") - shared
-    return prints.select("id", "d1", "d2", node.alias("node")), both.filter(shared >= similarity * every).select("a", "b")
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs that sizes and bits allow, and those of them that have the similarity."""
+        side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("size", *three)))
+        joined = pairs.join(side("a"), "a").join(side("b"), "b")
+        xors = [F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}")) for f in three]
+        sized = F.least("asize", "bsize") >= similarity * F.greatest("asize", "bsize") - 1e-6
+        likely = materialize(joined.filter(sized & (sum(map(F.bit_count, xors)) <= FAR)).select("a", "b"))
+        wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        owners = nodes.join(wanted, "node", "left_semi").select("node", "d1", "d2")
+        texts = only(docs.select("text", "d1", "d2"), owners, ["d1", "d2"]).join(owners, ["d1", "d2"]).dropDuplicates(["node"])
+        own = materialize(texts.select("node", "text").mapInPandas(sets, "node long, s array<long>"))
+        both = likely.join(own.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        every = F.size("sa") + F.size("sb") - shared
+        return likely, materialize(both.filter(shared >= similarity * every).select("a", "b"))
+
+    pairs = full.filter("n = 2").select("a", "b").union(gathered.select("members").mapInPandas(run, "a long, b long")).distinct()
+    _, found = verified(pairs)
+    return prints.select("id", "d1", "d2", "node"), found
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -66,3 +66,18 @@ def test_first_shared_shingle_is_among_the_rarest():
             known = np.unique(r.sample(list(a), len(a) // 2)).astype(np.uint64)
             common = known, np.array(r.sample(range(1, len(known) + 1), len(known)), np.int64)
             assert set(simhash.rarest(a, 0.8, common).tolist()) & set(simhash.rarest(b, 0.8, common).tolist())
+
+
+@pytest.mark.parametrize("together", [1000, 7])
+def test_crowded_postings_lose_nothing(spark, monkeypatch, together):
+    """Short versions meet in one posting of their template only, with many that are not alike."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    r = random.Random(5)
+    texts = []
+    for _ in range(30):
+        template = prose(r, 12)
+        for _ in range(12):
+            one = template + prose(r, 1)
+            texts += [one, one + prose(r, 1)] if r.random() < 0.4 else [template + prose(r, 2), template[:-1] + prose(r, 2)]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if similarity(texts[a], texts[b]) >= 0.8]
+    assert kept(spark, texts) == groups(range(len(texts)), links)

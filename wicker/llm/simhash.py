@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -248,16 +249,27 @@ def _forest(nodes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int,
     return out
 
 
+def _crossing(x: np.ndarray, y: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a row of x and one of y (node, root, part, bits ...) of different roots that differ in up to ``most`` bits."""
+    for node, root, _, *bits in x.tolist():
+        far = np.bitwise_count((y[:, 3:] ^ np.array(bits, np.int64)).view(np.uint64)).sum(axis=1)
+        for other in y[(far <= most) & (y[:, 1] != root), 0].tolist():
+            yield min(node, other), max(node, other)
+
+
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Nodes and links of documents (id, text, d1, d2) whose shingle sets have that Jaccard similarity.
 
     Documents with the same shingle set are one node. The inverted index has a
     posting for each of a node's ``rarest`` shingles, in which all pairs of that
     similarity meet. Of a posting only a spanning forest by differing bits goes
-    on, so groups of near copies cost as much as they have members; a posting with
-    over TOGETHER members is dealt into parts by a hash that differs from key to
-    key. Candidates whose sizes allow the similarity and whose bits differ by FAR
-    at most are verified on their whole texts.
+    on at first, so groups of near copies cost as much as they have members; a
+    posting with over TOGETHER members is dealt into parts by a hash that differs
+    from key to key. Candidates whose sizes allow the similarity and whose bits
+    differ by FAR at most are verified on their whole texts. Of a posting whose
+    members are not yet of one component, all pairs of different components go
+    the same way then, parts with each other too. So the components are those of
+    all pairs of that similarity; links within one component may be missing.
 
     Returns ``id, node`` and ``a, b``.
     """
@@ -299,8 +311,32 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
         return likely, materialize(both.filter(shared >= similarity * every).select("a", "b"))
 
     pairs = full.filter("n = 2").select("a", "b").union(gathered.select("members").mapInPandas(run, "a long, b long")).distinct()
-    _, found = verified(pairs)
-    return prints.select("id", "d1", "d2", "node"), found
+    tried, found = verified(pairs)
+    members = prints.select("id", "d1", "d2", "node")
+
+    under = components(found)
+    placed = nodes.join(under, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *three)
+    rooted = fuller.select("k", "node").join(placed.select("node", "root"), "node")
+    open_keys = materialize(rooted.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k", "n"))
+    if open_keys.isEmpty():
+        return members, found
+    blocks = F.ceil(F.col("n") / TOGETHER)
+    dealt = fuller.select("k", "node").join(open_keys, "k").withColumn("own", F.pmod(F.xxhash64("k", "node"), blocks))
+    met = dealt.select("k", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    met = met.select("k", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    crossing = met.join(placed, "node").groupBy("k", "i", "j").agg(F.collect_list(F.struct("node", "root", "own", *three)).alias("members"))
+
+    def compare(batches):
+        for batch in batches:
+            found = set()
+            for i, j, members in zip(batch["i"], batch["j"], batch["members"], strict=True):
+                x = np.array([(m["node"], m["root"], m["own"], m["f0"], m["f1"], m["f2"]) for m in members], np.int64)
+                found.update(_crossing(x[x[:, 2] == i], x[x[:, 2] == j], FAR))
+            yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
+
+    left = crossing.mapInPandas(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    _, more = verified(left)
+    return members, found.union(more)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -79,14 +79,19 @@ def _shared(a: bytes, b: bytes) -> int:
     return int(x.argmax())
 
 
-def _reach(strings: list[bytes]) -> list[int]:
-    """For each string, the longest prefix it shares with another; and in the end all such lengths there are."""
+def _reach(strings: list[bytes]) -> tuple[list[int], set[int]]:
+    """For each string, the longest prefix it shares with another; and the lengths that any two of them share.
+
+    What two strings share is the least of what the neighbours between them share
+    in sorted order, so the latter are all lengths there are.
+    """
     order = sorted(range(len(strings)), key=strings.__getitem__)
-    most = [0] * len(strings)
+    most, every = [0] * len(strings), set()
     for i, j in zip(order, order[1:], strict=False):
         n = _shared(strings[i], strings[j])
         most[i], most[j] = max(most[i], n), max(most[j], n)
-    return most
+        every.add(n)
+    return most, every
 
 
 def repeated_runs(regions: list[tuple[bytes, int]], length: int) -> list[list[tuple[int, int]]]:
@@ -99,9 +104,9 @@ def repeated_runs(regions: list[tuple[bytes, int]], length: int) -> list[list[tu
     becomes a short text of symbols; its suffix array brings equal runs together
     and the common prefix of neighbours, in bytes, is the longest run from there.
     """
-    right = _reach([r[a:] for r, a in regions])
-    left = _reach([r[:a][::-1] for r, a in regions])
-    cuts = sorted({0, *right, *(-n for n in left)})
+    right, ends = _reach([r[a:] for r, a in regions])
+    left, starts = _reach([r[:a][::-1] for r, a in regions])
+    cuts = sorted({0, *ends, *(-n for n in starts)})
     names: dict[tuple[int, bytes], int] = {}
     text: list[int] = []
     begins: list[tuple[int, int]] = []  # the region and the byte at which each symbol begins

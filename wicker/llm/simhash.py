@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import components, digest, materialize, only, small_batches
+from wicker.llm.common import components, digest, materialize, small, small_batches
 
 BYTES = 8
 #: Shingles whose hashes are in memory together.
@@ -145,6 +145,8 @@ FAR = 64
 TOGETHER = 1000
 #: Texts in which common shingles are looked for, how often one occurs there at least, and how many are broadcast at most.
 SAMPLE, OFTEN, COMMON = 20_000, 4, 200_000
+#: Texts to verify that are broadcast, at most; beyond that the texts are dealt out to them.
+OWNERS = 2_000_000
 
 
 def _families(hashes: np.ndarray, n: int) -> list[np.ndarray]:
@@ -185,7 +187,7 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     They only decide which shingles a posting is made of, never which pairs meet.
     """
     step = max(1, docs.count() // SAMPLE)
-    sample = docs.filter(F.pmod("d1", F.lit(step)) == 0).select("text", "d1", "d2").dropDuplicates(["d1", "d2"])
+    sample = docs.filter(F.pmod("d1", F.lit(step)) == 0)
 
     def run(batches):
         for batch in batches:
@@ -277,10 +279,18 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     three = ["f0", "f1", "f2"]
     nodes = materialize(prints.groupBy("node").agg(F.min(F.struct("d1", "d2")).alias("w"), *(F.first(c).alias(c) for c in ("size", *three, "keys"))).select("node", "size", *three, "keys", "w.*"))
     postings = nodes.select("node", F.explode("keys").alias("k"))
-    full = materialize(postings.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("n > 1"))
+    twice = materialize(postings.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"))  # counted on its own, as few keys are left
+    shared = materialize(postings.join(twice, "k", "left_semi"))
+    who = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)]
+    full = materialize(shared.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), *who))
+    # Postings with the same members are one, but for the largest, which are dealt out by their keys.
+    same = full.filter((F.col("n") > 2) & (F.col("n") <= TOGETHER)).groupBy("n", "a", "b", "x1", "x2").agg(F.min("k").alias("k"))
+    crowd = materialize(same.select("k", "n", "a").union(full.filter(F.col("n") > TOGETHER).select("k", "n", "a")))
+    fuller = materialize(shared.join(crowd, "k"))
     parts = F.ceil(F.col("n") / TOGETHER)
-    fuller = postings.join(full.filter("n > 2").select("k", "n"), "k").withColumn("part", F.pmod(F.xxhash64("k", "node"), parts))
-    gathered = fuller.join(nodes.select("node", *three), "node").groupBy("k", "part").agg(F.collect_list(F.struct("node", *three)).alias("members"))
+    # The least member of a posting is in all its parts, so that parts that are like it are linked.
+    part = F.when(F.col("node") == F.col("a"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("k", "node"), parts)))
+    gathered = fuller.select("k", "node", F.explode(part).alias("part")).join(nodes.select("node", *three), "node").groupBy("k", "part").agg(F.collect_list(F.struct("node", *three)).alias("members"))
 
     def run(batches):
         for batch in batches:
@@ -302,13 +312,13 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
         sized = F.least("asize", "bsize") >= similarity * F.greatest("asize", "bsize") - 1e-6
         likely = materialize(joined.filter(sized & (sum(map(F.bit_count, xors)) <= FAR)).select("a", "b"))
         wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        owners = nodes.join(wanted, "node", "left_semi").select("node", "d1", "d2")
-        texts = only(docs.select("text", "d1", "d2"), owners, ["d1", "d2"]).join(owners, ["d1", "d2"]).dropDuplicates(["node"])
-        own = materialize(texts.select("node", "text").mapInPandas(sets, "node long, s array<long>"))
+        owners = small(nodes.join(wanted, "node", "left_semi").select("node", "d1", "d2"), OWNERS)
+        texts = docs.select("text", "d1", "d2").join(owners, ["d1", "d2"])
+        own = materialize(texts.select("node", "text").mapInPandas(sets, "node long, s array<long>").dropDuplicates(["node"]))
         both = likely.join(own.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        every = F.size("sa") + F.size("sb") - shared
-        return likely, materialize(both.filter(shared >= similarity * every).select("a", "b"))
+        common = F.size(F.array_intersect("sa", "sb"))
+        every = F.size("sa") + F.size("sb") - common
+        return likely, materialize(both.filter(common >= similarity * every).select("a", "b"))
 
     pairs = full.filter("n = 2").select("a", "b").union(gathered.select("members").mapInPandas(run, "a long, b long")).distinct()
     tried, found = verified(pairs)

@@ -16,7 +16,7 @@ from wicker.llm.repeats import _merged, _rest
 
 #: A cut may follow a byte where the top bits of the gear hash are zero: one byte in 2 ** CUT_BITS.
 CUT_BITS = 5
-#: Bytes of a chunk, at least (but for a text's last) and at most.
+#: Bytes of a chunk, at least (but for a whole text) and at most.
 LEAST, MOST = 24, 512
 #: Texts whose chunks are in memory together.
 TEXTS = 200
@@ -39,8 +39,8 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(data: bytes) -> Iterator[tuple[int, int]]:
-    """The chunks of data as (from, to).
+def _cuts(data: bytes) -> Iterator[tuple[int, int]]:
+    """The chunks of data as (from, to), the last of any length.
 
     Where a cut may fall depends on the last 32 bytes only, so an insertion
     moves the cuts around it and none after the next one that both texts take.
@@ -63,8 +63,28 @@ def cuts(data: bytes) -> Iterator[tuple[int, int]]:
         yield start, len(data)
 
 
+def cuts(data: bytes) -> Iterator[tuple[int, int]]:
+    """The chunks of data as (from, to): a short last one goes with the one before it.
+
+    So only a whole text is ever under LEAST bytes; if the two are over MOST
+    together, the last LEAST bytes are a chunk.
+    """
+    held = None
+    for a, b in _cuts(data):
+        if held and b - a < LEAST:
+            a = held[0]
+            if b - a > MOST:
+                yield a, b - LEAST
+                a = b - LEAST
+        elif held:
+            yield held
+        held = a, b
+    if held:
+        yield held
+
+
 def chunked(docs: DataFrame) -> DataFrame:
-    """``id, d1, d2, a, b, g1, g2``: the chunks of LEAST bytes or more of each row and their 128-bit digests."""
+    """``id, d1, d2, a, b, g1, g2``: all chunks of each row and their 128-bit digests."""
 
     def run(batches):
         for batch in batches:
@@ -73,7 +93,7 @@ def chunked(docs: DataFrame) -> DataFrame:
                 owner, a, b, digests = [], [], [], []
                 for n, text in enumerate(part.column("text").to_pylist()):
                     data = text.encode("utf-8", "surrogatepass")
-                    spans = [(i, j) for i, j in cuts(data) if j - i >= LEAST]
+                    spans = list(cuts(data))
                     owner += [n] * len(spans)
                     a += [i for i, _ in spans]
                     b += [j for _, j in spans]

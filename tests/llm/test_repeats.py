@@ -92,6 +92,23 @@ def test_remove_in_blocks(spark, monkeypatch):
     assert all(r["n_chars"] == len(r["text"]) and r["d1"] == "clash" for r in texts.values())
 
 
+@pytest.mark.parametrize("together", [2000, 2])
+def test_passages(spark, monkeypatch, together):
+    monkeypatch.setattr(repeats, "TOGETHER", together)
+    rows = corpus(6, 60, "abcdefg") + corpus(7, 20, "é字a") + [(100, None), (None, "ab" * 90), (101, "z" * 150), (102, "z" * 60), (7, "q" * 100), (7, "q" * 100), *((300 + i, "r" * 70 + "s" * 70) for i in range(20))]
+    out = repeats.remove(table(spark, rows), length=100, passage=45).collect()
+    assert Counter((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == brute(rows, 100)
+    assert Counter((r["id"], r["n_bytes"], r["passage_bytes"], r["n_passages"]) for r in out) == Counter(x[:4] for x in brute(rows, 45).elements())
+
+
+def test_cleaned_keeps_all_columns(spark):
+    names = ["row", "left", "spans", "copy", "d1", "text", "doc_id"]
+    rows = [("r", "l", "s", 1, "d", "v" * 500, 1), ("r", "l", "s", 2, "d", "v" * 500, 1), ("r", "l", "s", 3, "d", None, None), ("r", "l", "s", 4, "d", "w" * 300, 2)]
+    out = repeats.cleaned(spark.createDataFrame(rows, "row string, left string, spans string, copy int, d1 string, text string, doc_id long"))
+    assert out.columns == names
+    assert sorted(map(tuple, out.collect()), key=lambda x: x[3]) == [(*x[:5], "" if x[3] < 3 else x[5], x[6]) for x in rows]
+
+
 def test_empty(spark):
     assert repeats.remove(table(spark, [])).count() == 0
     assert simhash.near_duplicates(table(spark, [])).count() == 0

@@ -57,9 +57,9 @@ def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each document without its repeated strings of 400 bytes."""
-    out = repeats.remove(read(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), *(F.col(c).cast("long") for c in ("n_bytes", "n_removed", "n_spans")), "kept_sha256")
+    """What is left of each document without its repeated strings of 400 bytes, and how much of it shorter repeated passages cover."""
+    out = repeats.remove(read(spark, sf_dir, "documents"), passage=repeats.PASSAGE)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_bytes", "n_passages")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,11 +16,13 @@ from wicker.llm.common import digest, materialize, only, small, small_batches
 from wicker.llm.suffix_array import common_prefixes, suffix_array
 
 #: Bytes hashed at each place; of all such in a string of the length looked for, the smallest hash is its anchor.
-GRAM = 64
+GRAM = 32
 #: A place is the low part of a number, its hash the high part, so that equal hashes rank by place.
 PLACE = 24
 #: Bytes of a text that are looked at together; blocks overlap by the length looked for.
 BLOCK = 1 << 22
+#: Bytes of a passage that counts as shared: a little less than 51 words of the shortest kind take.
+PASSAGE = 240
 #: Different surroundings of one anchor that are sorted together; an anchor with more goes window by window.
 TOGETHER = 2000
 #: Texts whose spans are broadcast to the documents, at most.
@@ -160,36 +162,47 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, held
 
 
-def _find_regions(docs: DataFrame, length: int) -> DataFrame:
-    """``d1, d2, n_bytes, sha, regions``: each row's digest and where its anchors' strings lie."""
+def _find_regions(docs: DataFrame, least: int, length: int) -> DataFrame:
+    """``id, d1, d2, copy, n_bytes, sha, regions``: each row's digest and where the strings lie that begin with a string of an anchor."""
 
     def run(batches):
         for batch in batches:
             out = {"n_bytes": [], "sha": [], "regions": []}
             for text in batch["text"]:
                 data = text.encode("utf-8", "surrogatepass")
-                place, key, first, last = anchors(data, length)
-                end = (last + length).tolist()
+                place, key, first, last = anchors(data, least)
+                end = np.minimum(last + length, len(data)).tolist()
                 rows = zip(place.tolist(), key.tolist(), first.tolist(), end, strict=True)
                 out["regions"].append([{"key": k, "r": xxhash.xxh3_64_intdigest(data[i:j], seed=p - i) - (1 << 63), "lo": i, "hi": j, "at": p - i} for p, k, i, j in rows])
                 out["n_bytes"].append(len(data))
                 out["sha"].append(hashlib.sha256(data).hexdigest())
-            yield batch[["id", "d1", "d2"]].assign(**out)
+            yield batch[["id", "d1", "d2", "copy"]].assign(**out)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"id {kind}, d1 long, d2 long, n_bytes long, sha string, regions array<struct<key: long, r: long, lo: int, hi: int, at: int>>")
+    return docs.mapInPandas(run, f"id {kind}, d1 long, d2 long, copy long, n_bytes long, sha string, regions array<struct<key: long, r: long, lo: int, hi: int, at: int>>")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> tuple[DataFrame, DataFrame]:
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text, d1, d2, copy``: of equal texts, those with the smallest ``copy`` stand for all, so that no group of copies meets in one task."""
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *digest(F.col(text_col)), F.xxhash64(id_col).alias("copy"))
+
+
+#: What names one text among its copies.
+_OWNER = ["d1", "d2", "copy"]
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
     """What to remove: one row per document, and the spans of each text.
 
-    The documents are ``id, d1, d2, n_bytes, sha``, the spans ``d1, d2, spans``
-    (maximal runs as arrays of (from, to), in bytes), where d1 and d2 are the
-    text's digest; texts without spans are not among the latter.
+    The documents are ``id, d1, d2, n_bytes, sha``, the spans ``d1, d2, copy,
+    spans`` (arrays of (a, b, full): from, to, in bytes, and whether a repeated
+    string of ``length`` bytes covers them), where d1 and d2 are the text's digest;
+    texts without spans are not among the latter. With a shorter ``passage`` the
+    spans of repeated strings of that many bytes are there too.
 
-    1. Every string of ``length`` bytes has an anchor (see ``anchors``), about one
-       in 170 places; the strings of one anchor form a region of at most
-       2 * length bytes. Only anchors whose hash occurs twice go on.
+    1. Every string of the shorter length has an anchor (see ``anchors``); the
+       strings of ``length`` bytes that begin with a string of one anchor form a
+       region. Only anchors whose hash occurs twice go on.
     2. Equal regions are counted before anything is grouped: one that occurs twice
        is repeated as a whole.
     3. Of anchors with several different regions the bytes are fetched, once per
@@ -198,15 +211,17 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
        regions gives the hashes of its strings by their distance from the anchor,
        and those that occur twice are counted in a plain aggregation.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *digest(F.col(text_col)))
-    found = materialize(_find_regions(small_batches(rows), length))
-    documents = found.drop("regions")
-    every = found.select("d1", "d2", F.inline("regions"))
+    least = min(length, passage or length)
+    rows = _rows(docs, id_col, text_col)
+    found = materialize(_find_regions(small_batches(rows), least, length))
+    documents = found.drop("regions", "copy")
+    every = found.select(*_OWNER, F.inline("regions"))
     twice = materialize(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))  # on its own: see below
     likely = materialize(every.join(twice, "key", "left_semi"))
-    where = F.struct("d1", "d2", "lo", "hi", "at")
+    where = F.struct(*_OWNER, "lo", "hi", "at")
     regions = materialize(likely.groupBy("key", "r").agg(F.count("*").alias("n"), F.min(where).alias("w")).select("key", "r", "n", "w.*"))
-    whole = regions.filter("n > 1").select("key", "r", F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b"))).alias("runs"))
+    size = F.col("hi") - F.col("lo")
+    whole = regions.filter("n > 1").select("key", "r", F.array(F.struct(F.lit(0).alias("a"), size.alias("b"), (size >= length).alias("full"))).alias("runs"))
 
     several = materialize(regions.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"))  # on its own, so that a join with it can split a hot key
     crowded = several.filter(F.col("kinds") > TOGETHER)
@@ -214,7 +229,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     def fetched(keys: DataFrame) -> DataFrame:
         """``key, r, at, bytes`` of the regions of some anchors; a text is read once for all of them."""
         region = F.struct("key", "r", "lo", "hi", "at")
-        needs = regions.join(keys.select("key"), "key", "left_semi").groupBy("d1", "d2").agg(F.collect_list(region).alias("needs"))  # of one text, so bounded by it
+        needs = regions.join(keys.select("key"), "key", "left_semi").groupBy(*_OWNER).agg(F.collect_list(region).alias("needs"))  # of one text, so bounded by it
 
         def fetch(batches):
             for batch in batches:
@@ -225,68 +240,81 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 yield pd.DataFrame(out, columns=["key", "r", "at", "bytes"])
 
         needs = materialize(needs)
-        cut = only(rows.select("d1", "d2", "text"), needs, ["d1", "d2"]).join(needs, ["d1", "d2"]).dropDuplicates(["d1", "d2"])
+        cut = only(rows.select(*_OWNER, "text"), needs, _OWNER).join(needs, _OWNER).dropDuplicates(_OWNER)
         return cut.select("text", "needs").mapInPandas(fetch, "key long, r long, at int, bytes binary")
 
     def sort(batches):
-        out, schema = [], pa.schema([("key", pa.int64()), ("r", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+        out, schema = [], pa.schema([("key", pa.int64()), ("r", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("full", pa.bool_())])))])
         for key, group in _groups(batches, "key"):
-            runs = repeated_runs([(data, at) for _, _, at, data in group], length)
-            out += [{"key": key, "r": r, "runs": [{"a": a, "b": b} for a, b in _merged(x)]} for (_, r, _, _), x in zip(group, runs, strict=True) if x]
+            runs = repeated_runs([(data, at) for _, _, at, data in group], least)
+            for (_, r, _, _), x in zip(group, runs, strict=True):
+                if x:
+                    full = _merged((a, b) for a, b in x if b - a >= length)
+                    rest = _merged(x) if least < length else []
+                    out.append({"key": key, "r": r, "runs": [{"a": a, "b": b, "full": True} for a, b in full] + [{"a": a, "b": b, "full": False} for a, b in rest]})
             if len(out) > 5000:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
         yield pa.RecordBatch.from_pylist(out, schema)
 
     small = fetched(several.filter(F.col("kinds") <= TOGETHER)).repartition("key").sortWithinPartitions("key")
-    found_runs = whole.unionByName(small.mapInArrow(sort, "key long, r long, runs array<struct<a: int, b: int>>"))
+    found_runs = whole.unionByName(small.mapInArrow(sort, "key long, r long, runs array<struct<a: int, b: int, full: boolean>>"))
 
     def strings(batches):
         for batch in batches:
             for key, r, at, data in zip(batch["key"], batch["r"], batch["at"], batch["bytes"], strict=True):
-                hashes = [xxhash.xxh3_128_intdigest(data[i : i + length]) for i in range(len(data) - length + 1)]
-                high, low = [(x >> 64) - (1 << 63) for x in hashes], [(x & ((1 << 64) - 1)) - (1 << 63) for x in hashes]
-                yield pd.DataFrame({"key": key, "r": r, "a": range(len(hashes)), "o": [at - i for i in range(len(hashes))], "h1": high, "h2": low})
+                for n in sorted({least, length}):
+                    hashes = [xxhash.xxh3_128_intdigest(data[i : i + n]) for i in range(len(data) - n + 1)]
+                    high, low = [(x >> 64) - (1 << 63) for x in hashes], [(x & ((1 << 64) - 1)) - (1 << 63) for x in hashes]
+                    yield pd.DataFrame({"key": key, "r": r, "a": range(len(hashes)), "n": n, "o": [at - i for i in range(len(hashes))], "h1": high, "h2": low})
 
     if not crowded.isEmpty():
-        every_string = fetched(crowded).mapInPandas(strings, "key long, r long, a int, o int, h1 long, h2 long")
-        place = ["key", "o", "h1", "h2"]
-        again = materialize(every_string.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1").select(*place))
-        hits = every_string.join(again, place, "left_semi").select("key", "r", F.array(F.struct("a", (F.col("a") + length).alias("b"))).alias("runs"))
-        found_runs = found_runs.unionByName(hits)
+        every_string = fetched(crowded).mapInPandas(strings, "key long, r long, a int, n int, o int, h1 long, h2 long")
+        place = ["key", "n", "o", "h1", "h2"]
+        again = materialize(every_string.groupBy(*place).agg(F.count("*").alias("times")).filter("times > 1").select(*place))
+        run = F.struct("a", (F.col("a") + F.col("n")).alias("b"), (F.col("n") == length).alias("full"))
+        found_runs = found_runs.unionByName(every_string.join(again, place, "left_semi").select("key", "r", F.array(run).alias("runs")))
 
     runs = materialize(found_runs.groupBy("key", "r").agg(F.flatten(F.collect_list("runs")).alias("runs")))  # of one region
-    shifted = F.transform("runs", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b")))
-    by_place = likely.dropDuplicates(["d1", "d2", "key", "lo"]).join(runs, ["key", "r"]).select("d1", "d2", F.inline(shifted))
-    spans = by_place.groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    shifted = F.transform("runs", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b"), x["full"].alias("full")))
+    places = likely.groupBy("d1", "d2", "key", "lo").agg(F.min("copy").alias("copy"), F.first("r").alias("r"))
+    spans = places.join(runs, ["key", "r"]).select(*_OWNER, F.inline(shifted)).groupBy(*_OWNER).agg(F.collect_set(F.struct("a", "b", "full")).alias("spans"))
     return documents, materialize(spans)
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def _full(spans) -> list[tuple[int, int]]:
+    """The maximal runs that strings of the whole length cover."""
+    return _merged((x["a"], x["b"]) for x in spans if x["full"])
+
+
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int | None = None) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept_sha256``: each document without its repeated strings.
 
     A byte goes if any string of ``length`` bytes over it starts anywhere else,
     in the same document too; all strings are judged on the input. A null text is
     empty. Repeated rows are occurrences like any other, and each gets its row.
     Null ids are allowed; an empty table gives no rows; other columns are not
-    read.
+    read. With a shorter ``passage`` two more columns, ``passage_bytes`` and
+    ``n_passages``, tell how many bytes repeated strings of that length cover, and
+    in how many runs; those stay where they are.
     """
-    documents, spans = removals(docs, id_col, text_col, length)
+    documents, spans = removals(docs, id_col, text_col, length, passage)
 
     def apply(batches):
         for batch in batches:
             out = []
             for d1, d2, text, found in zip(batch["d1"], batch["d2"], batch["text"], batch["spans"], strict=True):
-                data, runs = text.encode("utf-8", "surrogatepass"), _merged((x["a"], x["b"]) for x in found)
+                data, runs, every = text.encode("utf-8", "surrogatepass"), _full(found), _merged((x["a"], x["b"]) for x in found)
                 kept = hashlib.sha256(b"".join(_rest(data, runs))).hexdigest()
-                out.append((d1, d2, sum(b - a for a, b in runs), len(runs), kept))
-            yield pd.DataFrame(out, columns=["e1", "e2", "n_removed", "n_spans", "kept"])
+                out.append((d1, d2, sum(b - a for a, b in runs), len(runs), kept, sum(b - a for a, b in every), len(every)))
+            yield pd.DataFrame(out, columns=["e1", "e2", "n_removed", "n_spans", "kept", "passage_bytes", "n_passages"])
 
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *digest(F.col(text_col)))
-    cut = only(rows, spans, ["d1", "d2"]).join(spans, ["d1", "d2"]).dropDuplicates(["d1", "d2"]).mapInPandas(apply, "e1 long, e2 long, n_removed long, n_spans long, kept string")
+    rows = _rows(docs, id_col, text_col).drop("id")
+    cut = only(rows, spans, _OWNER).join(spans, _OWNER).dropDuplicates(_OWNER).mapInPandas(apply, "e1 long, e2 long, n_removed long, n_spans long, kept string, passage_bytes long, n_passages long")
     joined = documents.join(cut, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
-    none = F.lit(0).cast("long")
-    return joined.select("id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+    counts = ["n_removed", "n_spans"] + (["passage_bytes", "n_passages"] if passage else [])
+    filled = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts}
+    return joined.select("id", "n_bytes", *map(filled.get, counts[:2]), F.coalesce("kept", "sha").alias("kept_sha256"), *map(filled.get, counts[2:]))
 
 
 def _rest(data: bytes, runs: list[tuple[int, int]]) -> Iterator[bytes]:
@@ -301,20 +329,22 @@ def _rest(data: bytes, runs: list[tuple[int, int]]) -> Iterator[bytes]:
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """The documents without their repeated strings, in the columns of docs.
 
-    Bytes of a character that is cut apart go with the string that cuts it.
+    Bytes of a character that is cut apart go with the string that cuts it. A
+    null text stays null; extra columns may have any names.
     ``n_chars``, if there, is set to the new length. Documents of which nothing is
     left keep their row with an empty text.
     """
     _, spans = removals(docs, id_col, text_col, length)
-    keyed = docs.withColumns(dict(zip(("_d1", "_d2"), digest(F.col(text_col)), strict=True)))
-    found = spans.select(F.col("d1").alias("_e1"), F.col("d2").alias("_e2"), F.col("spans").alias("_spans"))
-    joined = keyed.join(small(found, SPANS), (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2")), "left")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), *digest(F.col(text_col)))
+    found = small(spans.select("d1", "d2", "spans"), SPANS)
+    joined = keyed.join(found, ["d1", "d2"], "left")
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else b"".join(_rest(t.encode("utf-8", "surrogatepass"), _merged((x["a"], x["b"]) for x in s))).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)])
+        return pd.Series([t if s is None else b"".join(_rest(t.encode("utf-8", "surrogatepass"), _full(s))).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)])
 
-    out = joined.withColumn(text_col, rest(F.col(text_col), F.col("_spans")))
+    out = joined.select("row", rest("text", "spans").alias("left"))
+    new = {text_col: F.col("left")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import components, digest, materialize, small, small_batches
+from wicker.llm.common import components, digest, materialize, only, small, small_batches
 
 BYTES = 8
 #: Shingles whose hashes are in memory together.
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Bytes of the wide fingerprint.
 WIDE = 24
-#: Differing bits beyond which a candidate is not verified: shingle sets of similarity 0.8 differ in about 29 of 192, unrelated ones in 96.
+#: Differing bits up to which a candidate is verified at once: shingle sets of similarity 0.8 differ in about 29 of 192, unrelated ones in 96. It decides which pairs come first, never which are looked at.
 FAR = 64
 #: Members of a posting that are compared with each other.
 TOGETHER = 1000
@@ -218,7 +218,7 @@ def rarest(distinct: np.ndarray, similarity: float, common: tuple[np.ndarray, np
 
 
 def _wide_prints(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``id, d1, d2, node, size, f0, f1, f2, keys`` of rows (id, text, d1, d2): a digest of the shingle set, its size, fingerprint and rarest."""
+    """``id, d1, d2, copy, node, size, f0, f1, f2, keys`` of rows (id, text, d1, d2, copy): a digest of the shingle set, its size, fingerprint and rarest."""
     common = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))  # bounded by COMMON
 
     def run(batches):
@@ -227,10 +227,10 @@ def _wide_prints(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
             found = np.array([wide_fingerprint(s) for s in sets], np.int64).reshape(-1, WIDE // 8)
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             keys = [rarest(s, similarity, common.value).view(np.int64) for s in sets]
-            yield batch[["id", "d1", "d2"]].assign(node=node, size=[len(s) for s in sets], f0=found[:, 0], f1=found[:, 1], f2=found[:, 2], keys=keys)
+            yield batch[["id", "d1", "d2", "copy"]].assign(node=node, size=[len(s) for s in sets], f0=found[:, 0], f1=found[:, 1], f2=found[:, 2], keys=keys)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, d1 long, d2 long, node long, size long, f0 long, f1 long, f2 long, keys array<long>")
+    return rows.mapInPandas(run, f"id {kind}, d1 long, d2 long, copy long, node long, size long, f0 long, f1 long, f2 long, keys array<long>")
 
 
 def _forest(nodes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -251,42 +251,78 @@ def _forest(nodes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int,
     return out
 
 
-def _crossing(x: np.ndarray, y: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a row of x and one of y (node, root, part, bits ...) of different roots that differ in up to ``most`` bits."""
-    for node, root, _, *bits in x.tolist():
-        far = np.bitwise_count((y[:, 3:] ^ np.array(bits, np.int64)).view(np.uint64)).sum(axis=1)
-        for other in y[(far <= most) & (y[:, 1] != root), 0].tolist():
+def _crossing(x: np.ndarray, y: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of a row of x and one of y (node, root, part, size, reach) of different roots that may have the similarity."""
+    share = similarity / (1 + similarity)
+    for node, root, _, size, reach in x.tolist():
+        need = share * (size + y[:, 3]) - 1e-6
+        for other in y[(y[:, 4] >= need) & (need <= reach) & (y[:, 1] != root), 0].tolist():
             yield min(node, other), max(node, other)
 
 
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Nodes and links of documents (id, text, d1, d2) whose shingle sets have that Jaccard similarity.
+    """Nodes and links of documents (id, text, d1, d2, copy) whose shingle sets have that Jaccard similarity.
 
     Documents with the same shingle set are one node. The inverted index has a
     posting for each of a node's ``rarest`` shingles, in which all pairs of that
-    similarity meet. Of a posting only a spanning forest by differing bits goes
-    on at first, so groups of near copies cost as much as they have members; a
-    posting with over TOGETHER members is dealt into parts by a hash that differs
-    from key to key. Candidates whose sizes allow the similarity and whose bits
-    differ by FAR at most are verified on their whole texts. Of a posting whose
-    members are not yet of one component, all pairs of different components go
-    the same way then, parts with each other too. So the components are those of
-    all pairs of that similarity; links within one component may be missing.
-
-    Returns ``id, node`` and ``a, b``.
+    similarity meet. Keys that no other node has count against a node: it shares
+    at most its ``reach``, the shingles that are left, and two nodes go on only if
+    that is enough for both of them.
+
+    1. Of a posting only a spanning forest by differing bits goes on at first, so
+       groups of near copies cost as much as they have members; a posting with
+       over TOGETHER members is dealt into parts by a hash that differs from key
+       to key. These candidates are verified on their whole texts.
+    2. Of postings whose members are not of one component yet, all shingles of the
+       members are counted, which gives the reach without the shingles that one
+       node alone has. Pairs of different components that it allows, across parts
+       too, are verified likewise.
+
+    So the components are those of all pairs of that similarity; links within one
+    component may be missing. Returns ``id, d1, d2, node`` and ``a, b``.
     """
     prints = materialize(_wide_prints(small_batches(docs), shingle, similarity))
-    three = ["f0", "f1", "f2"]
-    nodes = materialize(prints.groupBy("node").agg(F.min(F.struct("d1", "d2")).alias("w"), *(F.first(c).alias(c) for c in ("size", *three, "keys"))).select("node", "size", *three, "keys", "w.*"))
-    postings = nodes.select("node", F.explode("keys").alias("k"))
-    twice = materialize(postings.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"))  # counted on its own, as few keys are left
-    shared = materialize(postings.join(twice, "k", "left_semi"))
-    who = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)]
-    full = materialize(shared.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), *who))
+    three, owner = ["f0", "f1", "f2"], ["d1", "d2", "copy"]
+    every = materialize(prints.groupBy("node").agg(F.min(F.struct(*owner)).alias("w"), *(F.first(c).alias(c) for c in ("size", *three, "keys"))).select("node", "size", *three, "keys", "w.*"))
+    members = prints.select("id", "d1", "d2", "node")
+    postings = every.select("node", F.explode("keys").alias("k"))
+    met = materialize(postings.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("n > 1"))
+    twos = met.filter("n = 2")
+    shared = materialize(only(postings, met.filter("n > 2"), ["k"]))
+    seen = twos.select(F.explode(F.array("a", "b")).alias("node")).unionAll(shared.select("node")).groupBy("node").agg(F.count("*").alias("met"))
+    reach = F.col("size") - F.size("keys") + F.col("met")
+    nodes = materialize(every.join(seen, "node").withColumn("reach", reach).filter(F.col("reach") >= similarity * F.col("size") - 1e-6).select("node", "size", "reach", *three, *owner))
+
+    def sets(batches):
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "s": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch["text"]]})
+
+    def shingle_sets(wanted: DataFrame) -> DataFrame:
+        """``node, s`` of some nodes; of equal texts only the owner's is looked at."""
+        owners = small(nodes.join(wanted, "node", "left_semi").select("node", *owner), OWNERS)
+        return docs.select("text", *owner).join(owners, owner).select("node", "text").mapInPandas(sets, "node long, s array<long>").dropDuplicates(["node"])
+
+    def allowed(pairs: DataFrame, far: int | None = None) -> DataFrame:
+        """The pairs for which both reaches are enough, and that differ in no more bits than ``far``."""
+        side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("size", "reach", *three)))
+        joined = pairs.join(side("a"), "a").join(side("b"), "b")
+        bits = sum(F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in three)
+        found = joined.filter(F.least("areach", "breach") >= similarity / (1 + similarity) * (F.col("asize") + F.col("bsize")) - 1e-6)
+        return (found if far is None else found.filter(bits <= far)).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        own = materialize(shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        both = pairs.join(own.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return materialize(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-6).select("a", "b"))
+
     # Postings with the same members are one, but for the largest, which are dealt out by their keys.
+    who = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)]
+    alive = shared.join(nodes.select("node"), "node")
+    full = materialize(alive.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), *who).filter("n > 1"))
     same = full.filter((F.col("n") > 2) & (F.col("n") <= TOGETHER)).groupBy("n", "a", "b", "x1", "x2").agg(F.min("k").alias("k"))
     crowd = materialize(same.select("k", "n", "a").union(full.filter(F.col("n") > TOGETHER).select("k", "n", "a")))
-    fuller = materialize(shared.join(crowd, "k"))
+    fuller = materialize(alive.join(crowd, "k"))
     parts = F.ceil(F.col("n") / TOGETHER)
     # The least member of a posting is in all its parts, so that parts that are like it are linked.
     part = F.when(F.col("node") == F.col("a"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("k", "node"), parts)))
@@ -300,53 +336,36 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
                 found.update(_forest(x[:, 0], x[:, 1:].view(np.uint64), FAR))
             yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
-    def sets(batches):
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "s": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch["text"]]})
-
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs that sizes and bits allow, and those of them that have the similarity."""
-        side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("size", *three)))
-        joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        xors = [F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}")) for f in three]
-        sized = F.least("asize", "bsize") >= similarity * F.greatest("asize", "bsize") - 1e-6
-        likely = materialize(joined.filter(sized & (sum(map(F.bit_count, xors)) <= FAR)).select("a", "b"))
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        owners = small(nodes.join(wanted, "node", "left_semi").select("node", "d1", "d2"), OWNERS)
-        texts = docs.select("text", "d1", "d2").join(owners, ["d1", "d2"])
-        own = materialize(texts.select("node", "text").mapInPandas(sets, "node long, s array<long>").dropDuplicates(["node"]))
-        both = likely.join(own.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        every = F.size("sa") + F.size("sb") - common
-        return likely, materialize(both.filter(common >= similarity * every).select("a", "b"))
-
-    pairs = full.filter("n = 2").select("a", "b").union(gathered.select("members").mapInPandas(run, "a long, b long")).distinct()
-    tried, found = verified(pairs)
-    members = prints.select("id", "d1", "d2", "node")
+    pairs = twos.select("a", "b").union(full.filter("n = 2").select("a", "b"))
+    tried = materialize(allowed(pairs.distinct()).union(allowed(gathered.select("members").mapInPandas(run, "a long, b long").distinct(), FAR)).distinct())
+    found = verified(tried)
 
-    under = components(found)
-    placed = nodes.join(under, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *three)
-    rooted = fuller.select("k", "node").join(placed.select("node", "root"), "node")
-    open_keys = materialize(rooted.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k", "n"))
-    if open_keys.isEmpty():
+    rooted = nodes.join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size")
+    open_keys = lambda members: materialize(members.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k", "n"))
+    placed = fuller.select("k", "node").join(rooted, "node")
+    first = open_keys(placed)
+    if first.isEmpty():
         return members, found
+    opened = materialize(placed.join(first.select("k"), "k", "left_semi"))
+    alone = shingle_sets(opened.select("node").distinct()).select("node", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    left = opened.join(alone, "node", "left").withColumn("reach", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+    left = materialize(left.filter(F.col("reach") >= similarity * F.col("size") - 1e-6))
     blocks = F.ceil(F.col("n") / TOGETHER)
-    dealt = fuller.select("k", "node").join(open_keys, "k").withColumn("own", F.pmod(F.xxhash64("k", "node"), blocks))
-    met = dealt.select("k", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    met = met.select("k", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    crossing = met.join(placed, "node").groupBy("k", "i", "j").agg(F.collect_list(F.struct("node", "root", "own", *three)).alias("members"))
+    dealt = left.join(open_keys(left), "k").withColumn("own", F.pmod(F.xxhash64("k", "node"), blocks))
+    one = F.struct("node", "root", "own", "size", "reach")
+    meets = dealt.select("k", one.alias("one"), "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    crossing = meets.groupBy("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("one").alias("members"))
 
     def compare(batches):
         for batch in batches:
             found = set()
             for i, j, members in zip(batch["i"], batch["j"], batch["members"], strict=True):
-                x = np.array([(m["node"], m["root"], m["own"], m["f0"], m["f1"], m["f2"]) for m in members], np.int64)
-                found.update(_crossing(x[x[:, 2] == i], x[x[:, 2] == j], FAR))
+                x = np.array([(m["node"], m["root"], m["own"], m["size"], m["reach"]) for m in members], np.int64)
+                found.update(_crossing(x[x[:, 2] == i], x[x[:, 2] == j], similarity))
             yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
-    left = crossing.mapInPandas(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    _, more = verified(left)
-    return members, found.union(more)
+    rest = materialize(crossing.mapInPandas(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+    return members, found.union(verified(rest))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -356,13 +375,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     group. Null ids come after all others; of rows that are equal in id and text
     one stays. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *digest(F.col(text_col)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *digest(F.col(text_col)), F.xxhash64(id_col).alias("copy"))
     members, found = similar_links(rows, shingle, similarity)
-    under = components(found)
-    rooted = members.join(under.withColumnRenamed("root", "_root"), "node", "left").select("id", "d1", "d2", F.coalesce("_root", "node").alias("root"))
+    rooted = members.join(components(found), "node", "left").select("id", "d1", "d2", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "d1", "d2"))
-    stays = rooted.groupBy("root").agg(first.alias("x")).select(F.col("x.id").alias("_id"), F.col("x.d1").alias("_e1"), F.col("x.d2").alias("_e2"))
-    keyed = docs.withColumns(dict(zip(("_d1", "_d2"), digest(F.col(text_col)), strict=True)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2"))
-    kept = keyed.join(stays, same).dropDuplicates(["_d1", "_d2", "_id"])
-    return kept.select(*docs.columns)
+    stays = rooted.groupBy("root").agg(first.alias("x")).select(F.col("x.id").alias("first"), F.col("x.d1").alias("e1"), F.col("x.d2").alias("e2"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), *digest(F.col(text_col)))
+    kept = keyed.join(stays, F.col("id").eqNullSafe(F.col("first")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
+    return kept.dropDuplicates(["d1", "d2", "id"]).select("row.*")

@@ -83,12 +83,37 @@ def test_path_takes_the_first_discovered(spark):
 
 
 def test_tree_and_hierarchy(spark):
-    ids, n, e = functions(spark, "abcd", calls("ab", "ac", "bd", "cd", "da"))
-    tree = {r["id"]: (r["depth"], list(r["children"])) for r in traverse.call_tree(e, 1, 5).collect()}
-    assert tree == {1: (0, [2, 3]), 2: (1, [4]), 3: (1, [4]), 4: (2, [1])}
-    rows = sorted((r["depth"], list(r["path"]), r["cyclic"], r["truncated"]) for r in traverse.call_hierarchy(e, 1, 3).collect())
+    ids, n, e = functions(spark, "abcd", calls("ab", "ac", "bd", "cd", "da", "aa", "bb"))
+    tree = {r["id"]: (r["depth"], list(r["children"])) for r in traverse.call_tree(n, e, 1, 5).collect()}
+    assert tree == {1: (0, [2, 3]), 2: (1, [4]), 3: (1, [4]), 4: (2, [1])}  # no self-call
+    rows = sorted((r["depth"], list(r["path"]), r["cyclic"], r["truncated"]) for r in traverse.call_hierarchy(n, e, 1, 3).collect())
     assert rows == [(0, [1], False, False), (1, [1, 2], False, False), (1, [1, 3], False, False), (2, [1, 2, 4], False, False), (2, [1, 3, 4], False, False), (3, [1, 2, 4, 1], True, False), (3, [1, 3, 4, 1], True, False)]
-    assert all(r["truncated"] for r in traverse.call_hierarchy(e, 1, 1).filter("depth = 1").collect())
+    assert all(r["truncated"] for r in traverse.call_hierarchy(n, e, 1, 1).filter("depth = 1").collect())
+    up = {r["id"]: (r["depth"], list(r["children"])) for r in traverse.call_tree(n, e, 4, 2, IN).collect()}
+    assert up == {4: (0, [2, 3]), 2: (1, [1]), 3: (1, [1]), 1: (2, [])}
+    callers = sorted(list(r["path"]) for r in traverse.call_hierarchy(n, e, 4, 1, IN).collect())
+    assert callers == [[4], [4, 2], [4, 3]]
+    assert traverse.call_tree(n, e, 99, 2).count() == traverse.call_hierarchy(n, e, 99, 2).count() == 0
+
+
+def test_fan_out_cap_ranks_the_crowded_only(spark, monkeypatch):
+    monkeypatch.setattr(schema, "TRACE_FANOUT", 2)
+    _, n, e = functions(spark, "abcde", calls("ac", "ab", "ad", "be"))
+    assert sorted((r["id"], r["parent"]) for r in traverse.trace(n, e, 1, ["CALLS"], 2).collect() if r["parent"]) == [(2, 1), (3, 1), (5, 2)]
+
+
+def test_cycles_against_brute_force(spark):
+    import itertools
+    import random
+
+    r = random.Random(4)
+    pairs = {(r.randrange(1, 9), r.randrange(1, 9)) for _ in range(26)}
+    e = spark.createDataFrame([(i, "p", s, t, "CALLS", "{}") for i, (s, t) in enumerate(sorted(pairs))], schema.EDGES)
+    wanted = {(x,) for x, y in pairs if x == y}
+    for n in range(2, 6):
+        wanted |= {p for p in itertools.permutations(range(1, 9), n) if p[0] == min(p) and all((a, b) in pairs for a, b in zip(p, (*p[1:], p[0]), strict=True))}
+    got = [tuple(x["cycle"]) for x in traverse.cycles(e, 5).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
 
 
 def test_cluster_and_subgraph(spark):

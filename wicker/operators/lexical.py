@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,10 +33,31 @@ def content_tokens(content: DataFrame) -> DataFrame:
     return content.withColumn("tokens", tokens(fold_accents(F.col("snippet"))))
 
 
-def postings(docs: DataFrame, key: str) -> DataFrame:
-    """``key, token, tf, length``: an inverted index of documents with ``tokens``."""
-    rows = docs.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    return rows.groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+def postings(docs: DataFrame, *keys: str) -> DataFrame:
+    """``*keys, token, tf, length, places``: an inverted index of documents with ``tokens``; places count from 0."""
+    rows = docs.select(*keys, F.size("tokens").alias("length"), F.posexplode("tokens").alias("place", "token"))
+    grouped = rows.groupBy(*keys, "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("place")).alias("places"))
+    return grouped.select(*(F.col(k).alias(k.rpartition(".")[2]) for k in keys), "token", "tf", "length", "places")
+
+
+def symbol_postings(nodes: DataFrame) -> DataFrame:
+    return postings(symbol_tokens(nodes), "id").drop("places")
+
+
+#: What names a line.
+LINE = ["project", "rel_path", "line"]
+
+
+def content_postings(content: DataFrame) -> DataFrame:
+    return postings(content_tokens(content), *LINE)
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """Postings, and one row with the number of documents and of their words."""
+
+    postings: DataFrame
+    size: DataFrame
 
 
 def bm25(counts: DataFrame, terms: list[str], everything: DataFrame) -> DataFrame:
@@ -56,17 +78,33 @@ def bm25(counts: DataFrame, terms: list[str], everything: DataFrame) -> DataFram
     return rows.withColumn("rank_score", F.round(-score, 9)).drop("n", "total", *(f"df_{i}" for i in range(len(terms))))
 
 
-def _size(docs: DataFrame) -> DataFrame:
+def size(docs: DataFrame) -> DataFrame:
+    """One row with the number of documents and of their words."""
     return docs.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))
 
 
-def symbol_matches(nodes: DataFrame, terms: list[str]) -> DataFrame:
-    """Nodes in which every term is the beginning of some word, with their scores."""
-    docs = symbol_tokens(nodes)
-    tf = lambda t: F.size(F.filter("tokens", lambda x: x.startswith(t)))
-    counts = docs.select("id", F.size("tokens").alias("length"), *(tf(t).alias(f"tf_{i}") for i, t in enumerate(terms)))
-    counts = counts.filter(reduce(lambda a, b: a | b, (F.col(f"tf_{i}") > 0 for i in range(len(terms)))))
-    scored = bm25(counts, terms, _size(docs)).filter(reduce(lambda a, b: a & b, (F.col(f"tf_{i}") > 0 for i in range(len(terms)))))
+def symbol_index(nodes: DataFrame) -> TextIndex:
+    return TextIndex(symbol_postings(nodes), size(symbol_tokens(nodes)))
+
+
+def content_index(content: DataFrame) -> TextIndex:
+    return TextIndex(content_postings(content), size(content_tokens(content)))
+
+
+def _any(conditions) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def symbol_matches(nodes: DataFrame, terms: list[str], index: TextIndex | None = None) -> DataFrame:
+    """Nodes in which every term is the beginning of some word, with their scores.
+
+    Only the postings of words that begin with a term are read.
+    """
+    index = index or symbol_index(nodes)
+    begins = [F.col("token").startswith(t) for t in terms]
+    hits = index.postings.filter(_any(begins))
+    counts = hits.groupBy("id").agg(F.first("length").alias("length"), *(F.sum(F.when(c, F.col("tf")).otherwise(0)).alias(f"tf_{i}") for i, c in enumerate(begins)))
+    scored = bm25(counts, terms, index.size).filter(reduce(lambda a, b: a & b, (F.col(f"tf_{i}") > 0 for i in range(len(terms)))))
     return without_pseudo(nodes).join(scored.select("id", "rank_score"), "id")
 
 
@@ -78,19 +116,19 @@ def query_terms(query: str) -> list[str]:
     return ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
 
 
-def search_symbols(nodes: DataFrame, query: str, limit: int, project: str | None = None) -> DataFrame:
+def search_symbols(nodes: DataFrame, query: str, limit: int, project: str | None = None, index: TextIndex | None = None) -> DataFrame:
     """Symbols for a query, best first. The project restricts the result, not the statistics."""
     terms = query_terms(query)
     if not terms:
         return nodes.limit(0).withColumns({"rank_score": F.lit(0.0), "rank": F.lit(0)})
-    found = symbol_matches(nodes, terms)
+    found = symbol_matches(nodes, terms, index)
     if project is not None:
         found = found.filter(F.col("project") == project)
     return ranked(found, [F.col("rank_score"), F.col("id")], limit)
 
 
-def count_symbols(nodes: DataFrame, query: str) -> DataFrame:
-    return symbol_matches(nodes, query_terms(query)).agg(F.count("*").alias("n"))
+def count_symbols(nodes: DataFrame, query: str, index: TextIndex | None = None) -> DataFrame:
+    return symbol_matches(nodes, query_terms(query), index).agg(F.count("*").alias("n"))
 
 
 def phrases(query: str) -> list[list[str]]:
@@ -99,47 +137,58 @@ def phrases(query: str) -> list[list[str]]:
     return ["".join(c if c.isalpha() or c.isnumeric() else " " for c in w).split() for w in folded.split()]
 
 
-def occurrences(words: Column, phrase: list[str]) -> Column:
-    """How often the phrase is in an array of words, as consecutive ones."""
+def occurrences(places: Column, phrase: list[str]) -> Column:
+    """How often the phrase stands in a document, as consecutive words; ``places`` maps its words to their places."""
     if len(phrase) == 1:
-        return F.size(F.filter(words, lambda x: x == phrase[0]))
-    starts = F.filter(F.transform(words, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"] == phrase[0])
-    rest = lambda s: reduce(lambda a, b: a & b, (F.coalesce(F.get(words, s["i"] + j) == p, F.lit(False)) for j, p in enumerate(phrase[1:], 1)))
-    return F.size(F.filter(starts, rest))
+        return F.coalesce(F.size(places[phrase[0]]), F.lit(0))
+    follows = lambda x: reduce(lambda a, b: a & b, (F.array_contains(places[p], x + j) for j, p in enumerate(phrase[1:], 1)))
+    whole = reduce(lambda a, b: a & b, (places[p].isNotNull() for p in phrase))
+    return F.when(whole, F.size(F.filter(places[phrase[0]], follows))).otherwise(0)
+
 
+def content_matches(content: DataFrame, query: str, index: TextIndex | None = None) -> DataFrame:
+    """``project, rel_path, line, rank_score`` of lines that have every phrase of the query; none if a phrase is empty.
 
-def content_matches(content: DataFrame, query: str) -> DataFrame:
-    """Lines that have every phrase of the query, with their scores; none if a phrase is empty."""
+    Only the postings of the query's words are read; no text is.
+    """
     terms = phrases(query)
     if not terms or not all(terms):
-        return content.limit(0).withColumn("rank_score", F.lit(0.0))
-    docs = content_tokens(content)
-    counts = docs.select(*content.columns, F.size("tokens").alias("length"), *(occurrences(F.col("tokens"), t).alias(f"tf_{i}") for i, t in enumerate(terms)))
-    scored = bm25(counts.filter(reduce(lambda a, b: a | b, (F.col(f"tf_{i}") > 0 for i in range(len(terms))))), [str(t) for t in terms], _size(docs))
-    return scored.filter(reduce(lambda a, b: a & b, (F.col(f"tf_{i}") > 0 for i in range(len(terms))))).select(*content.columns, "rank_score")
+        return content.limit(0).select(*LINE, F.lit(0.0).alias("rank_score"))
+    index = index or content_index(content)
+    hits = index.postings.filter(F.col("token").isin(sorted({w for t in terms for w in t})))
+    lines = hits.groupBy(*LINE).agg(F.first("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("places"))
+    counts = lines.select(*LINE, "length", *(occurrences(F.col("places"), t).alias(f"tf_{i}") for i, t in enumerate(terms)))
+    scored = bm25(counts.filter(_any(F.col(f"tf_{i}") > 0 for i in range(len(terms)))), [str(t) for t in terms], index.size)
+    return scored.filter(reduce(lambda a, b: a & b, (F.col(f"tf_{i}") > 0 for i in range(len(terms))))).select(*LINE, "rank_score")
 
 
-def search_code(content: DataFrame, query: str, limit: int, project: str | None = None) -> DataFrame:
-    """Lines for a query. One that holds the quoted phrase as it stands comes first, then by BM25."""
+def search_code(content: DataFrame, query: str, limit: int, project: str | None = None, index: TextIndex | None = None) -> DataFrame:
+    """Lines for a query. One that holds the quoted phrase as it stands comes first, then by BM25.
+
+    Only a quoted query looks at the lines of all hits, any other at those shown.
+    """
     quoted = len(query) > 1 and query[0] == query[-1] == '"'
     plain = query.strip('"') if quoted else query
-    found = content_matches(content, plain)
+    found = content_matches(content, plain, index)
     if project is not None:
         found = found.filter(F.col("project") == project)
-    holds = F.lower("snippet").contains(plain.lower()) if quoted else F.lit(False)
-    return ranked(found.withColumn("exact", holds), [F.desc("exact"), F.col("rank_score"), F.col("rel_path"), F.col("line")], limit)
+    order = [F.desc("exact"), F.col("rank_score"), F.col("rel_path"), F.col("line")]
+    if quoted:
+        return ranked(content.join(found, LINE).withColumn("exact", F.lower("snippet").contains(plain.lower())), order, limit)
+    shown = ranked(found.withColumn("exact", F.lit(False)), order, limit)
+    return content.join(F.broadcast(shown) if limit <= 10_000 else shown, LINE)
 
 
-def search_code_ranked(content: DataFrame, query: str, limit: int) -> DataFrame:
+def search_code_ranked(content: DataFrame, query: str, limit: int, index: TextIndex | None = None) -> DataFrame:
     """As ``search_code``, with a relevance from 0 to 1 over what is shown; 1 if all are equal."""
-    found = search_code(content, query, limit)
+    found = search_code(content, query, limit, index=index)
     shown = Window.partitionBy(F.lit(0))  # at most the limit
     best, worst = F.min("rank_score").over(shown), F.max("rank_score").over(shown)
     return found.withColumn("relevance", F.when(worst == best, F.lit(1.0)).otherwise((worst - F.col("rank_score")) / (worst - best)))
 
 
-def count_content(content: DataFrame, query: str) -> DataFrame:
-    return content_matches(content, query).agg(F.count("*").alias("n"))
+def count_content(content: DataFrame, query: str, index: TextIndex | None = None) -> DataFrame:
+    return content_matches(content, query, index).agg(F.count("*").alias("n"))
 
 
 def search_changed(content: DataFrame, changed: DataFrame, pattern: str) -> DataFrame:

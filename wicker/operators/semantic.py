@@ -36,6 +36,11 @@ def with_tokens(nodes: DataFrame, text: Column | None = None) -> DataFrame:
     return nodes.withColumn("tokens", camel_tokens(F.concat_ws(" ", "name", "qualified_name") if text is None else text))
 
 
+def worded(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``tokens`` and their ``signature``, to be stored with them."""
+    return with_tokens(nodes).withColumn("signature", minhash.signature(F.col("tokens")))
+
+
 def weights(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``token, df`` and one row with the number of documents that have any word."""
     df = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
@@ -81,14 +86,19 @@ def near(edges: DataFrame, anchors: DataFrame, kinds: list[str] = NEAR_TYPES) ->
 
 
 def score(rows: DataFrame, terms: list[str], query: str, near_file: str | None, neighbours: DataFrame, per_extra: float = 0.0) -> DataFrame:
-    """All candidates with their ``breakdown`` and ``score``; those that neither share a word nor are near go."""
-    rows = with_tokens(rows).filter(F.size("tokens") > 0)
+    """All candidates with their parts and ``score``; those that neither share a word nor are near go.
+
+    Rows that come from ``worded`` bring words and signature along; for others
+    they are made.
+    """
+    rows = (rows if "signature" in rows.columns else worded(rows)).filter(F.size("tokens") > 0)
     parts = rows.join(overlap(rows, terms), "id").join(neighbours, "id", "left").filter(F.col("meets") | F.col("anchors").isNotNull())
     segments = path_segments(F.col("qualified_name"))
     matched = F.size(F.array_intersect(segments, _array(terms)))
-    asked = F.lit(None) if not terms else _array(terms)
-    parts = parts.withColumn("_query", minhash.signature(asked)).withColumn("_own", minhash.signature(F.col("tokens")))
-    agree = minhash.agreement(F.col("_own"), F.col("_query"))
+    asked = _array(terms)
+    one = rows.sparkSession.range(1).select(minhash.signature(asked).alias("_query"))
+    parts = parts.crossJoin(F.broadcast(one))  # one row on the right
+    agree = minhash.agreement(F.col("signature"), F.col("_query"))
     wanted = dir_name(F.lit(near_file or ""))
     edge = F.when(F.col("anchors").isNotNull(), EDGE + per_extra * (F.col("anchors") - 1)).otherwise(0.0)
     bonus = {
@@ -101,7 +111,7 @@ def score(rows: DataFrame, terms: list[str], query: str, near_file: str | None,
     }
     parts = parts.withColumns({k: v.cast("double") for k, v in bonus.items()})
     total = sum((F.col(k) for k in list(bonus)[1:]), F.col("token_overlap"))
-    return parts.withColumn("score", F.round(total, 9)).drop("tokens", "_query", "_own", "jaccard", "meets", "anchors")
+    return parts.withColumn("score", F.round(total, 9)).drop("tokens", "signature", "_query", "jaccard", "meets", "anchors")
 
 
 def in_order(scored: DataFrame, limit: int) -> DataFrame:

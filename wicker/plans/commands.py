@@ -63,10 +63,8 @@ class Index:
     def impact_since(self, hunks: DataFrame, hops: int = 6) -> DataFrame:
         """What depends on the symbols that changed lines (file_path, line) lie in."""
         self._fresh()
-        starts = [r["id"] for r in graph.enclosing(self.nodes, hunks).select("id").distinct().limit(schema.MAX_ROWS).collect()]  # symbols of one change
-        links = traverse.steps(self.edges, schema.REFERENCES, IN, schema.REACH_FANOUT)
-        seen = traverse.reach(links, starts, hops).filter("hops > 0")
-        return ranked(self.nodes.join(seen, "id"), [F.col("hops"), F.col("qualified_name"), F.col("id")], schema.MAX_ROWS)
+        starts = graph.enclosing(self.nodes, hunks).select("id")
+        return traverse.reachable_from(self.nodes, self.edges, starts, schema.REFERENCES, hops, IN)
 
     def brief(self, name: str) -> dict[str, DataFrame]:
         return {"symbol": self._ids(name), "callers": self.who_calls(name), "callees": self.callees(name)}

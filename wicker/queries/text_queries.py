@@ -9,6 +9,7 @@ from wicker.operators import lexical, semantic, stats
 from wicker.queries.graph_queries import PART, N, NE
 from wicker.queries.registry import query
 from wicker.sources import adapters as A
+from wicker.sources import published as P
 
 
 def camel_sql(x: str) -> str:
@@ -44,12 +45,12 @@ _FOUND = bm25_sql(_SYMBOLS, _PREFIX, "id, name, qualified_name, project")
 
 @query(N + f"select cast(row_number() over (order by rank_score, id) as int) as rank, id, name, qualified_name, rank_score from {_FOUND} order by rank limit 30")
 def search_symbols(spark, d):
-    return lexical.search_symbols(A.nodes(spark, d), "brandRi 1", 30, "tpch").select("rank", "id", "name", "qualified_name", "rank_score")
+    return lexical.search_symbols(P.nodes(spark, d), "brandRi 1", 30, "tpch", P.symbol_index(spark, d)).select("rank", "id", "name", "qualified_name", "rank_score")
 
 
 @query(N + f"select count(*) as n from {_FOUND}")
 def count_symbols(spark, d):
-    return lexical.count_symbols(A.nodes(spark, d), "brandRi 1")
+    return lexical.count_symbols(P.nodes(spark, d), "brandRi 1", P.symbol_index(spark, d))
 
 
 _LINES = f"select *, {tokens_sql('strip_accents(snippet)')} as tokens from content"
@@ -63,12 +64,12 @@ _C = f"with {A.CONTENT_SQL} "
 
 @query(_C + f"select cast(row_number() over (order by rank_score, rel_path, line) as int) as rank, rel_path, line, rank_score from {_HITS} order by rank limit 20")
 def search_content(spark, d):
-    return lexical.search_code(A.content(spark, d), "the of-the", 20).select("rank", "rel_path", "line", "rank_score")
+    return lexical.search_code(P.content(spark, d), "the of-the", 20, index=P.content_index(spark, d)).select("rank", "rel_path", "line", "rank_score")
 
 
 @query(_C + f"select count(*) as n from {_HITS}")
 def count_content(spark, d):
-    return lexical.count_content(A.content(spark, d), "the of-the")
+    return lexical.count_content(P.content(spark, d), "the of-the", P.content_index(spark, d))
 
 
 _QUOTED = bm25_sql(_LINES, ["len(list_filter(tokens, lambda t: t = 'by'))", _PHRASES[0]], "rel_path, line, snippet")
@@ -76,14 +77,14 @@ _QUOTED = bm25_sql(_LINES, ["len(list_filter(tokens, lambda t: t = 'by'))", _PHR
 
 @query(_C + f", hits as (select *, contains(lower(snippet), 'by the') as exact from {_QUOTED}), shown as (select cast(row_number() over (order by exact desc, rank_score, rel_path, line) as int) as rank, * from hits order by rank limit 50) select rank, rel_path, line, exact, rank_score, case when max(rank_score) over () = min(rank_score) over () then 1.0::double else (max(rank_score) over () - rank_score) / (max(rank_score) over () - min(rank_score) over ()) end as relevance from shown")
 def search_code_ranked(spark, d):
-    return lexical.search_code_ranked(A.content(spark, d), '"by the"', 50).select("rank", "rel_path", "line", "exact", "rank_score", "relevance")
+    return lexical.search_code_ranked(P.content(spark, d), '"by the"', 50, P.content_index(spark, d)).select("rank", "rel_path", "line", "exact", "rank_score", "relevance")
 
 
 @query(_C + f", changed as (select rel_path from (with {A.FILES_SQL} select a.rel_path from after a join before b using (rel_path) where a.sha256 <> b.sha256)) select rel_path, line from content where rel_path in (select rel_path from changed) and regexp_matches(snippet, '\\b[Tt]he [a-z]+ing\\b')")
 def search_changed(spark, d):
     before, after = A.file_states(spark, d, False), A.file_states(spark, d, True)
     changed = after.join(before.select("rel_path", F.col("sha256").alias("was")), "rel_path").filter("sha256 <> was")
-    return lexical.search_changed(A.content(spark, d), changed, r"\b[Tt]he [a-z]+ing\b").select("rel_path", "line")
+    return lexical.search_changed(P.content(spark, d), changed, r"\b[Tt]he [a-z]+ing\b").select("rel_path", "line")
 
 
 @query("select doc_id, cast(p as int) as line, regexp_replace(raw, '\\s+$', '') as snippet from (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as p from documents) where regexp_replace(raw, '\\s+$', '') <> ''")
@@ -94,19 +95,23 @@ def content_rows(spark, d):
 
 @query(N + f"select id, {camel_sql('qualified_name')} as words from nodes")
 def camel_split(spark, d):
-    return A.nodes(spark, d).select("id", text.camel_split(F.col("qualified_name")).alias("words"))
+    return P.nodes(spark, d).select("id", text.camel_split(F.col("qualified_name")).alias("words"))
 
 
 @query(N + f"select token, count(*) as df from (select id, unnest({words_sql('name || chr(32) || qualified_name')}) as token from nodes) group by 1")
 def document_frequency(spark, d):
-    rows = semantic.with_tokens(A.nodes(spark, d))
+    rows = semantic.with_tokens(P.nodes(spark, d))
     return stats.document_frequency(rows, "id", F.col("tokens"))
 
 
-@query(_C + f"select rel_path, line, token, count(*) as tf, any_value(len(tokens)) as length from (select rel_path, line, tokens, unnest(tokens) as token from ({_LINES}) where rel_path ilike 'doc/1%') group by all")
+@query(_C + f"select rel_path, line, token, count(*) as tf, any_value(len(tokens)) as length from (select rel_path, line, tokens, unnest(tokens) as token from ({_LINES})) group by all")
 def postings(spark, d):
-    docs = lexical.content_tokens(A.content(spark, d).filter(F.col("rel_path").ilike("doc/1%"))).withColumn("key", F.struct("rel_path", "line"))
-    return lexical.postings(docs, "key").select("key.rel_path", "key.line", "token", "tf", "length")
+    return P.content_index(spark, d).postings.select("rel_path", "line", "token", "tf", "length")
+
+
+@query(N + f"select id, token, count(*) as tf, any_value(len(tokens)) as length from (select id, tokens, unnest(tokens) as token from ({_SYMBOLS})) group by all")
+def symbol_postings(spark, d):
+    return P.symbol_index(spark, d).postings.select("id", "token", "tf", "length")
 
 
 # Semantic scores. The signature bonus needs 64-bit wrap-around, which SQL lacks; those queries leave it out.
@@ -135,29 +140,29 @@ _SCORED = f"scored as (select n.id, n.label, n.qualified_name, jaccard as token_
 @query(NE.rstrip() + f", {_ANCHOR}, {_NEAR}, {_SCORED} select id, qualified_name, round(token_overlap, 6) as token_overlap, label_affinity, file_proximity, round(qname_path, 6) as qname_path, edge_proximity from scored")
 def semantic_breakdown(spark, d):
     asked = "red plate function Brand"
-    nodes, edges, terms = A.nodes(spark, d), A.edges(spark, d, ("CALLS", "IMPORTS")), lexical.query_terms(asked)
+    nodes, edges, terms = P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), lexical.query_terms(asked)
     found = semantic.score(semantic.without_pseudo(nodes), terms, asked, "part/x.sql", semantic.near(edges, semantic.resolve_anchor(nodes, terms)))
     return found.select("id", "qualified_name", F.round("token_overlap", 6).alias("token_overlap"), "label_affinity", "file_proximity", F.round("qname_path", 6).alias("qname_path"), "edge_proximity")
 
 
 @query()
 def semantic_query(spark, d):
-    return semantic.semantic_query(A.nodes(spark, d), A.edges(spark, d, ("CALLS", "IMPORTS")), "red plate function Brand", 40, "part/x.sql").select("rank", "id", "qualified_name", "score", "simhash")
+    return semantic.semantic_query(P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "red plate function Brand", 40, "part/x.sql").select("rank", "id", "qualified_name", "score", "simhash")
 
 
 @query()
 def semantic_query_expanded(spark, d):
-    return semantic.semantic_query_expanded(A.nodes(spark, d), A.edges(spark, d, ("CALLS", "IMPORTS")), "redPlate Brand#2", 40, labels=("Function",)).select("rank", "id", "qualified_name", "score")
+    return semantic.semantic_query_expanded(P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "redPlate Brand#2", 40, labels=("Function",)).select("rank", "id", "qualified_name", "score")
 
 
 @query()
 def semantic_query_multi_anchor(spark, d):
-    return semantic.semantic_query_multi_anchor(A.nodes(spark, d), A.edges(spark, d, ("CALLS", "IMPORTS")), "small ring", ["red plate", "hot rod"], 40).select("rank", "id", "qualified_name", "score", "edge_proximity")
+    return semantic.semantic_query_multi_anchor(P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "small ring", ["red plate", "hot rod"], 40).select("rank", "id", "qualified_name", "score", "edge_proximity")
 
 
 @query()
 def semantic_query_diversified(spark, d):
-    return semantic.semantic_query_diversified(A.nodes(spark, d), A.edges(spark, d, ("CALLS", "IMPORTS")), "red plate", 20, 1).select("rank", "id", "file_path", "name", "score", "confidence")
+    return semantic.semantic_query_diversified(P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "red plate", 20, 1).select("rank", "id", "file_path", "name", "score", "confidence")
 
 
 _RELATED = "related as (select n.id, n.qualified_name, n.id in (select id from near) as edge_adjacent, round(jaccard + case when n.id in (select id from near) then 0.5 else 0.0 end, 9) as score from nodes n join " + overlap_sql("select * from nodes", words_sql("name"), ["red", "plate"], _NAMES) + " using (id) where n.id not in (select id from anchor) and (meets or n.id in (select id from near)))"
@@ -165,7 +170,7 @@ _RELATED = "related as (select n.id, n.qualified_name, n.id in (select id from n
 
 @query(NE.rstrip() + f", {_ANCHOR.replace(str(_ASK), str(['red', 'plate']))}, {_NEAR}, {_RELATED} select cast(row_number() over (order by score desc, qualified_name, id desc) as int) as rank, id, score, edge_adjacent from related order by rank limit 60")
 def related_symbols(spark, d):
-    return semantic.related_symbols(A.nodes(spark, d), A.edges(spark, d, ("CALLS", "IMPORTS")), "red plate", 60).select("rank", "id", "score", "edge_adjacent")
+    return semantic.related_symbols(P.nodes(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "red plate", 60).select("rank", "id", "score", "edge_adjacent")
 
 
 _DOC = overlap_sql("select * from nodes", words_sql("json_extract_string(properties, '$.doc')"), ["economy", "ring"])
@@ -173,13 +178,12 @@ _DOC = overlap_sql("select * from nodes", words_sql("json_extract_string(propert
 
 @query(N + f"select cast(row_number() over (order by round(jaccard, 9) desc, qualified_name, id desc) as int) as rank, id, round(jaccard, 9) as score from nodes join {_DOC} using (id) where meets order by rank limit 50")
 def semantic_query_fielded(spark, d):
-    return semantic.semantic_query_fielded(A.nodes(spark, d), "economy ring", "doc", 50).select("rank", "id", "score")
+    return semantic.semantic_query_fielded(P.nodes(spark, d), "economy ring", "doc", 50).select("rank", "id", "score")
 
 
 @query()
 def minhash_signatures(spark, d):
-    rows = semantic.with_tokens(A.nodes(spark, d))
-    own = rows.withColumn("signature", minhash.signature(F.col("tokens")))
+    own = P.words(spark, d)
     one = own.filter("id = 25").select(F.col("signature").alias("other"))
     return own.crossJoin(F.broadcast(one)).select("id", F.array_join("signature", ",").alias("signature"), minhash.agreement(F.col("signature"), F.col("other")).alias("jaccard"), minhash.hamming(F.col("signature"), F.col("other")).alias("hamming"), minhash.is_empty(F.col("signature")).alias("empty"))
 
@@ -187,4 +191,4 @@ def minhash_signatures(spark, d):
 @query(NE.rstrip() + f", anchor as (select cast({PART} as bigint) as id), {_NEAR} select id, 1::bigint as anchors from near")
 def near_nodes(spark, d):
     anchor = spark.createDataFrame([(PART,)], "id bigint")
-    return semantic.near(A.edges(spark, d), anchor)
+    return semantic.near(P.edges(spark, d), anchor)

@@ -51,8 +51,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_id(kind: Column, source: Column, target: Column) -> Column:
-    """One number that sorts like (type, source, target); node ids are below 2^30."""
-    return kind.cast("long") * F.lit(1 << 60) + source * F.lit(1 << 30) + target
+    """One number that sorts like (type, source, target); fails on node ids that are not below 2^30."""
+    number = kind.cast("long") * F.lit(1 << 60) + source * F.lit(1 << 30) + target
+    return F.when((F.least(source, target) >= 0) & (F.greatest(source, target) < F.lit(1 << 30)), number).otherwise(F.raise_error(F.lit("a node id is out of range")).cast("long"))
 
 
 def _edges_of(pairs: DataFrame, kind: str) -> DataFrame:
@@ -74,12 +75,6 @@ def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("CALLS", "
     return reduce(DataFrame.unionByName, out)
 
 
-def thin(calls: DataFrame) -> DataFrame:
-    """A subset of CALLS in which cycles and paths can be listed; keys, not node ids, decide."""
-    a, b = F.floor(F.col("source_id") / 8), F.floor(F.col("target_id") / 8)
-    return calls.filter((a * 31 + b * 17) % 7 == 0)
-
-
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents: trimmed on the right, empty ones dropped, counted from 1."""
     lines = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), F.posexplode(F.split("text", "\n")).alias("p", "raw"))
@@ -144,8 +139,6 @@ _PAIRS = {
     "CALLS": "select distinct a.l_partkey * 8 + 4 as s, b.l_partkey * 8 + 4 as t from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber",
 }
 EDGES_SQL = "edges as (" + " union all ".join(_EDGE.format(n=KINDS[k], kind=k, pairs=_PAIRS[k]) for k in ("CALLS", "IMPORTS", "USAGE")) + ")"
-CALLS_SQL = "calls as (" + _EDGE.format(n=0, kind="CALLS", pairs=_PAIRS["CALLS"]) + ")"
-THIN_SQL = CALLS_SQL + ", thin as (select * from calls where ((source_id // 8) * 31 + (target_id // 8) * 17) % 7 = 0)"
 CONTENT_SQL = f"content as (select '{PROJECT}' as project, 'doc/' || doc_id || '.txt' as rel_path, cast(p as int) as line, rtrim(raw) as snippet from (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as p from documents) where rtrim(raw) <> '')"
 VECTORS_SQL = f"vectors as (select '{PROJECT}' as project, 'model' as model_id, 'v1' as prompt_version, 'retrieval' as task, (vec_id // 5) * 8 + 4 as node_id, vec_id % 5 as chunk_idx, 'vec::' || (vec_id // 5) as qualified_name, 'vec/' || label || '.sql' as file_path, sha256(cast(vec_id as varchar)) as content_sha256, cast(case when vec_id % 10 = 9 then 1 else 2 end as bigint) as graph_generation, embedding as vector from embeddings)"
 

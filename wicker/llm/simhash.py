@@ -251,13 +251,10 @@ def _forest(nodes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int,
     return out
 
 
-def _crossing(x: np.ndarray, y: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
-    """Pairs of a row of x and one of y (node, root, part, size, reach) of different roots that may have the similarity."""
-    share = similarity / (1 + similarity)
-    for node, root, _, size, reach in x.tolist():
-        need = share * (size + y[:, 3]) - 1e-6
-        for other in y[(y[:, 4] >= need) & (need <= reach) & (y[:, 1] != root), 0].tolist():
-            yield min(node, other), max(node, other)
+def _allowed(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows of x and y (node, root, part, size, reach) have different roots and may have the similarity, as a matrix."""
+    need = similarity / (1 + similarity) * (x[:, None, 3] + y[None, :, 3]) - 1e-6
+    return (np.minimum(x[:, None, 4], y[None, :, 4]) >= need) & (x[:, None, 1] != y[None, :, 1])
 
 
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -273,10 +270,11 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
        groups of near copies cost as much as they have members; a posting with
        over TOGETHER members is dealt into parts by a hash that differs from key
        to key. These candidates are verified on their whole texts.
-    2. Of postings whose members are not of one component yet, all shingles of the
-       members are counted, which gives the reach without the shingles that one
-       node alone has. Pairs of different components that it allows, across parts
-       too, are verified likewise.
+    2. Of postings whose members are not of one component yet, the members that
+       are allowed a partner of another component, in whatever part, have all their
+       shingles counted, which gives the reach without the shingles that one node
+       alone has. Pairs of different components that it allows are verified
+       likewise.
 
     So the components are those of all pairs of that similarity; links within one
     component may be missing. Returns ``id, d1, d2, node`` and ``a, b``.
@@ -298,9 +296,9 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
             yield pd.DataFrame({"node": batch["node"], "s": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch["text"]]})
 
     def shingle_sets(wanted: DataFrame) -> DataFrame:
-        """``node, s`` of some nodes; of equal texts only the owner's is looked at."""
+        """``node, s`` of some nodes; of equal texts only the owner's is looked at, which repeated rows may give twice."""
         owners = small(nodes.join(wanted, "node", "left_semi").select("node", *owner), OWNERS)
-        return docs.select("text", *owner).join(owners, owner).select("node", "text").mapInPandas(sets, "node long, s array<long>").dropDuplicates(["node"])
+        return docs.select("text", *owner).join(owners, owner).select("node", "text").mapInPandas(sets, "node long, s array<long>")
 
     def allowed(pairs: DataFrame, far: int | None = None) -> DataFrame:
         """The pairs for which both reaches are enough, and that differ in no more bits than ``far``."""
@@ -311,7 +309,7 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
         return (found if far is None else found.filter(bits <= far)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        own = materialize(shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        own = materialize(shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()).dropDuplicates(["node"]))
         both = pairs.join(own.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return materialize(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-6).select("a", "b"))
@@ -340,31 +338,47 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     tried = materialize(allowed(pairs.distinct()).union(allowed(gathered.select("members").mapInPandas(run, "a long, b long").distinct(), FAR)).distinct())
     found = verified(tried)
 
-    rooted = nodes.join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size")
-    open_keys = lambda members: materialize(members.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k", "n"))
-    placed = fuller.select("k", "node").join(rooted, "node")
-    first = open_keys(placed)
-    if first.isEmpty():
-        return members, found
-    opened = materialize(placed.join(first.select("k"), "k", "left_semi"))
-    alone = shingle_sets(opened.select("node").distinct()).select("node", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    left = opened.join(alone, "node", "left").withColumn("reach", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
-    left = materialize(left.filter(F.col("reach") >= similarity * F.col("size") - 1e-6))
-    blocks = F.ceil(F.col("n") / TOGETHER)
-    dealt = left.join(open_keys(left), "k").withColumn("own", F.pmod(F.xxhash64("k", "node"), blocks))
-    one = F.struct("node", "root", "own", "size", "reach")
-    meets = dealt.select("k", one.alias("one"), "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    crossing = meets.groupBy("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("one").alias("members"))
-
-    def compare(batches):
+    rooted = nodes.join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "reach")
+
+    def open_only(rows: DataFrame) -> DataFrame:
+        """The rows (k, node, root ...) of postings whose members are not of one component, and how many a posting has."""
+        keys = materialize(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k", "n"))
+        return rows.join(keys, "k")
+
+    def meetings(rows: DataFrame) -> DataFrame:
+        """All pairs of parts of a posting, as ``i, j, members``."""
+        parts = F.ceil(F.col("n") / TOGETHER)
+        dealt = rows.withColumn("own", F.pmod(F.xxhash64("k", "node"), parts))
+        one = F.struct("node", "root", "own", "size", "reach").alias("one")
+        meets = dealt.select("k", one, "own", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+        return meets.groupBy("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("one").alias("members")).select("i", "j", "members")
+
+    def compared(batches, pick):
         for batch in batches:
             found = set()
             for i, j, members in zip(batch["i"], batch["j"], batch["members"], strict=True):
                 x = np.array([(m["node"], m["root"], m["own"], m["size"], m["reach"]) for m in members], np.int64)
-                found.update(_crossing(x[x[:, 2] == i], x[x[:, 2] == j], similarity))
+                x, y = x[x[:, 2] == i], x[x[:, 2] == j]
+                found.update(pick(x[:, 0], y[:, 0], _allowed(x, y, similarity)))
+            yield found
+
+    def partnered(batches):
+        for found in compared(batches, lambda x, y, ok: [*x[ok.any(axis=1)].tolist(), *y[ok.any(axis=0)].tolist()]):
+            yield pd.DataFrame({"node": list(found)}, dtype="int64")
+
+    def listed(batches):
+        for found in compared(batches, lambda x, y, ok: [(min(a, b), max(a, b)) for a, b in zip(*(v[at].tolist() for v, at in zip((x, y), np.nonzero(ok), strict=True)), strict=True)]):
             yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
-    rest = materialize(crossing.mapInPandas(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+    opened = materialize(open_only(fuller.select("k", "node").join(rooted, "node")))
+    if opened.isEmpty():
+        return members, found
+    hopeful = materialize(meetings(opened).mapInPandas(partnered, "node long").distinct())
+    shingles = shingle_sets(hopeful).select("node", F.explode("s").alias("s"))
+    alone = shingles.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last").groupBy("node").agg(F.count("*").alias("alone"))
+    left = opened.drop("n").join(hopeful, "node", "left_semi").join(alone, "node", "left").withColumn("reach", F.least("reach", F.col("size") - F.coalesce("alone", F.lit(0)))).drop("alone")
+    left = materialize(open_only(materialize(left.filter(F.col("reach") >= similarity * F.col("size") - 1e-6))))
+    rest = materialize(meetings(left).mapInPandas(listed, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
     return members, found.union(verified(rest))
 
 

@@ -36,3 +36,23 @@ def test_runs_like_brute_force():
         regions = [(x, x.index(b"X")) for x in sorted({side() + b"X" + side() for _ in range(r.randint(1, 7))})]
         for least, got, most in zip(brute(regions, length, True), found(regions, length), brute(regions, length, False), strict=True):
             assert least <= got <= most
+
+
+def test_counted_runs_like_brute_force(spark):
+    r = random.Random(5)
+    groups = []
+    for key in range(25):
+        core = bytes(r.choices(b"abc", k=60))
+        group = set()
+        for _ in range(r.randint(2, 12)):
+            a, b = r.randint(0, 20), r.randint(0, 20)
+            ahead, after = (bytes(r.choices(b"ab", k=r.randint(0, 20))) for _ in range(2))
+            group.add((ahead + core[a : 60 - b] + after, len(ahead) + 30 - a))
+        groups.append((key, sorted(group)))
+    rows = [(key, n, at, data) for key, group in groups for n, (data, at) in enumerate(group)]
+    regions = spark.createDataFrame(rows, "key long, r long, at int, bytes binary")
+    for length in (24, 40):
+        got = {(x["key"], x["r"]): {p for y in x["runs"] for p in range(y["a"], y["b"])} for x in repeats._counted_runs(regions, length, True).collect()}
+        for key, group in groups:
+            for n, wanted in enumerate(brute(group, length, False)):
+                assert got.get((key, n), set()) == wanted

@@ -25,6 +25,8 @@ BLOCK = 1 << 22
 PASSAGE = 240
 #: Different surroundings of one anchor that are sorted together; an anchor with more goes window by window.
 TOGETHER = 2000
+#: Places between the strings that are looked at first in such an anchor's regions.
+APART = 16
 #: Texts whose spans are broadcast to the documents, at most.
 SPANS = 200_000
 _BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
@@ -163,23 +165,28 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def _find_regions(docs: DataFrame, least: int, length: int) -> DataFrame:
-    """``id, d1, d2, copy, n_bytes, sha, regions``: each row's digest and where the strings lie that begin with a string of an anchor."""
+    """``id, d1, d2, copy, n_bytes, sha, *_REGION``: each row's digest and where the strings lie that begin with a string of an anchor, side by side in arrays."""
 
     def run(batches):
         for batch in batches:
-            out = {"n_bytes": [], "sha": [], "regions": []}
+            out = {c: [] for c in ("n_bytes", "sha", *_REGION)}
             for text in batch["text"]:
                 data = text.encode("utf-8", "surrogatepass")
                 place, key, first, last = anchors(data, least)
-                end = np.minimum(last + length, len(data)).tolist()
-                rows = zip(place.tolist(), key.tolist(), first.tolist(), end, strict=True)
-                out["regions"].append([{"key": k, "r": xxhash.xxh3_64_intdigest(data[i:j], seed=p - i) - (1 << 63), "lo": i, "hi": j, "at": p - i} for p, k, i, j in rows])
+                end = np.minimum(last + length, len(data))
+                named = [xxhash.xxh3_64_intdigest(data[i:j], seed=at) - (1 << 63) for i, j, at in zip(first.tolist(), end.tolist(), (place - first).tolist(), strict=True)]
+                for c, x in zip(_REGION, (key, np.array(named, np.int64), first.astype(np.int32), end.astype(np.int32), (place - first).astype(np.int32)), strict=True):
+                    out[c].append(x)
                 out["n_bytes"].append(len(data))
                 out["sha"].append(hashlib.sha256(data).hexdigest())
             yield batch[["id", "d1", "d2", "copy"]].assign(**out)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"id {kind}, d1 long, d2 long, copy long, n_bytes long, sha string, regions array<struct<key: long, r: long, lo: int, hi: int, at: int>>")
+    return docs.mapInPandas(run, f"id {kind}, d1 long, d2 long, copy long, n_bytes long, sha string, key array<long>, r array<long>, lo array<int>, hi array<int>, at array<int>")
+
+
+#: What there is of a region: hash of its anchor and of its bytes, where it lies in its text, and the anchor in it.
+_REGION = ["key", "r", "lo", "hi", "at"]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -191,6 +198,71 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _OWNER = ["d1", "d2", "copy"]
 
 
+def _counted_runs(regions: DataFrame, length: int, full: bool) -> DataFrame:
+    """``key, r, runs`` of regions (key, r, at, bytes): where strings of ``length`` bytes occur in another at the same distance from the anchor.
+
+    Equal strings are found by counting hashes, so an anchor's regions are never
+    gathered. First only strings at every APART-th place: a little longer ones,
+    which settle all places around them if they occur twice, and a little shorter
+    ones, without which no string around them can. Then the strings at the places
+    that are still open, a few at each end of a run; of the regions that share a
+    longer one, which may hold such a string too, one gives it for all.
+    """
+    apart = max(1, min(APART, length // 4))
+    kinds = (length - apart, length + apart)
+    SHORT, LONG, OPEN = range(3)  # what a string is
+    digests = "o long, kind long, h1 long, h2 long"
+    place = ["key", "o", "kind", "h1", "h2"]
+
+    def hashed(wanted) -> pd.DataFrame:
+        """Rows of all of (key, r, at, bytes, starts, kind, length), whose strings begin at the starts."""
+        found = {c: [np.zeros(0, np.int64)] for c in ("key", "r", "o", "kind", "h1", "h2")}
+        for key, r, at, data, starts, kind, n in wanted:
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + n]) for i in starts), ">i8").astype(np.int64)
+            for c, x in zip(found, (np.full(len(starts), key), np.full(len(starts), r), np.array(starts, np.int64) - at, np.full(len(starts), kind), halves[::2], halves[1::2]), strict=True):
+                found[c].append(x)
+        return pd.DataFrame({c: np.concatenate(x) for c, x in found.items()})
+
+    def coarse(batches):
+        for batch in batches:
+            yield hashed((key, r, at, data, list(range(at % apart, len(data) - n + 1, apart)), kind, n) for key, r, at, data in zip(batch["key"], batch["r"], batch["at"], batch["bytes"], strict=True) for kind, n in enumerate(kinds))
+
+    def places(at: int, size: int, hits) -> list[int]:
+        """Where the strings begin that are looked at one by one."""
+        near = lambda kind, first=False: {x["o"] + at for x in hits if x["kind"] == kind and (x["first"] or not first)}
+        around = lambda starts: {i for s in starts for i in range(s, s + apart + 1)}
+        left = {i for s in near(SHORT) for i in range(s - apart + 1, s + 1)} - around(near(LONG))
+        return sorted(i for i in left | around(near(LONG, True)) if 0 <= i <= size - length)
+
+    def fine(batches):
+        for batch in batches:
+            yield hashed((key, r, at, data, places(at, len(data), hits), OPEN, length) for key, r, at, data, hits in zip(batch["key"], batch["r"], batch["at"], batch["bytes"], batch["hits"], strict=True))
+
+    def twice(strings: DataFrame) -> DataFrame:
+        again = materialize(strings.groupBy(*place).agg(F.count("*").alias("times"), F.min("r").alias("least")).filter("times > 1").select(*place, "least"))
+        return strings.join(again, place)
+
+    first = materialize(twice(regions.mapInPandas(coarse, f"key long, r long, {digests}")).groupBy("key", "r").agg(F.collect_list(F.struct("kind", "o", (F.col("r") == F.col("least")).alias("first"))).alias("hits")))  # of one region
+    later = twice(regions.join(first, ["key", "r"]).mapInPandas(fine, f"key long, r long, {digests}")).select("key", "r", "kind", "o")
+    sure = first.select("key", "r", F.inline("hits")).filter(F.col("kind") == LONG).select("key", "r", "kind", "o")
+    size = F.when(F.col("kind") == LONG, length + apart).otherwise(length)
+    runs = sure.union(later).groupBy("key", "r").agg(F.collect_list(F.struct("o", size.alias("size"))).alias("found"))
+    placed = runs.join(regions.select("key", "r", "at"), ["key", "r"])
+    return _joined(placed, full)
+
+
+def _joined(placed: DataFrame, full: bool) -> DataFrame:
+    """``key, r, runs``: the strings (o, size) found from an anchor ``at`` in a region, merged."""
+    schema = "key long, r long, runs array<struct<a: int, b: int, full: boolean>>"
+
+    def run(batches):
+        for batch in batches:
+            merged = [_merged((x["o"] + at, x["o"] + at + x["size"]) for x in found) for at, found in zip(batch["at"], batch["found"], strict=True)]
+            yield batch[["key", "r"]].assign(runs=[[{"a": a, "b": b, "full": full} for a, b in x] for x in merged])
+
+    return placed.mapInPandas(run, schema)
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
     """What to remove: one row per document, and the spans of each text.
 
@@ -207,17 +279,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
        is repeated as a whole.
     3. Of anchors with several different regions the bytes are fetched, once per
        region, and each group goes through ``repeated_runs``: its suffix array.
-    4. An anchor with over TOGETHER different regions is not gathered: each of its
-       regions gives the hashes of its strings by their distance from the anchor,
-       and those that occur twice are counted in a plain aggregation.
+    4. An anchor with over TOGETHER different regions is not gathered: its regions'
+       strings are counted by their hashes (see ``_counted_runs``).
     """
     least = min(length, passage or length)
     rows = _rows(docs, id_col, text_col)
     found = materialize(_find_regions(small_batches(rows), least, length))
-    documents = found.drop("regions", "copy")
-    every = found.select(*_OWNER, F.inline("regions"))
-    twice = materialize(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))  # on its own: see below
-    likely = materialize(every.join(twice, "key", "left_semi"))
+    documents = found.drop("copy", *_REGION)
+    every = found.select(*_OWNER, F.inline(F.arrays_zip(*_REGION)))
+    likely = materialize(only(every, every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), ["key"]))
     where = F.struct(*_OWNER, "lo", "hi", "at")
     regions = materialize(likely.groupBy("key", "r").agg(F.count("*").alias("n"), F.min(where).alias("w")).select("key", "r", "n", "w.*"))
     size = F.col("hi") - F.col("lo")
@@ -260,20 +330,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     small = fetched(several.filter(F.col("kinds") <= TOGETHER)).repartition("key").sortWithinPartitions("key")
     found_runs = whole.unionByName(small.mapInArrow(sort, "key long, r long, runs array<struct<a: int, b: int, full: boolean>>"))
 
-    def strings(batches):
-        for batch in batches:
-            for key, r, at, data in zip(batch["key"], batch["r"], batch["at"], batch["bytes"], strict=True):
-                for n in sorted({least, length}):
-                    hashes = [xxhash.xxh3_128_intdigest(data[i : i + n]) for i in range(len(data) - n + 1)]
-                    high, low = [(x >> 64) - (1 << 63) for x in hashes], [(x & ((1 << 64) - 1)) - (1 << 63) for x in hashes]
-                    yield pd.DataFrame({"key": key, "r": r, "a": range(len(hashes)), "n": n, "o": [at - i for i in range(len(hashes))], "h1": high, "h2": low})
-
     if not crowded.isEmpty():
-        every_string = fetched(crowded).mapInPandas(strings, "key long, r long, a int, n int, o int, h1 long, h2 long")
-        place = ["key", "n", "o", "h1", "h2"]
-        again = materialize(every_string.groupBy(*place).agg(F.count("*").alias("times")).filter("times > 1").select(*place))
-        run = F.struct("a", (F.col("a") + F.col("n")).alias("b"), (F.col("n") == length).alias("full"))
-        found_runs = found_runs.unionByName(every_string.join(again, place, "left_semi").select("key", "r", F.array(run).alias("runs")))
+        hot = materialize(fetched(crowded))
+        found_runs = found_runs.unionByName(_counted_runs(hot, least, least == length))
+        if least < length:
+            long = materialize(found_runs.filter(F.exists("runs", lambda x: x["b"] - x["a"] >= length)).join(crowded, "key", "left_semi").select("key", "r").distinct())
+            found_runs = found_runs.unionByName(_counted_runs(hot.join(long, ["key", "r"], "left_semi"), length, True))
 
     runs = materialize(found_runs.groupBy("key", "r").agg(F.flatten(F.collect_list("runs")).alias("runs")))  # of one region
     shifted = F.transform("runs", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b"), x["full"].alias("full")))

@@ -102,47 +102,76 @@ def test_preference_pairs(spark):
     assert preference.format_pairs(df.limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    rows = [(i, f"some plain words number {i} and a few more of them, {'ab' * i}", "en") for i in range(50)]
-    docs = table(spark, rows)
-    tables = perplexity.model(docs.select("lang", "text"))
-    p = np.exp(tables["en"].astype(float)).reshape(-1, perplexity.CLASSES)
-    assert p.sum(axis=1) == pytest.approx(1, abs=1e-5)
-    assert (p > 0).all()
+def kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney by its definition: a function from a gram to a probability."""
     counts = Counter()
-    for _, t, _ in rows:
-        x = [0, 0, 0, *perplexity.classes()[[ord(c) for c in t]].tolist()]
-        counts.update(tuple(x[i : i + 4]) for i in range(len(t)))
-    got = {(r["lang"], r["code"]): r["n"] for r in perplexity.count(docs).collect()}
-    assert got == {("en", ((a * 32 + b) * 32 + c) * 32 + d): n for (a, b, c, d), n in counts.items()}
-    plain = kneser_ney(counts)
-    for gram in [*counts][::7] + [(a, b, c, w) for (a, b, c, _), w in zip(counts, range(32))] + [(31, 31, 31, 4), (30, 0, 1, 2)]:
-        assert p[(gram[0] * 32 + gram[1]) * 32 + gram[2], gram[3]] == pytest.approx(plain(gram), rel=1e-5)
-
-
-def kneser_ney(counts):
-    """Interpolated modified Kneser-Ney by its definition."""
+    for t in texts:
+        x = " " * (order - 1) + t
+        counts.update(x[i : i + order] for i in range(len(t)))
     tables = [counts]
-    for _ in range(3):
+    for _ in range(order - 1):
         tables.insert(0, Counter(g[1:] for g in tables[0]))
-    known = []
+    known, own = [], []
     for t in tables:
         n = [0, *(sum(v == k for v in t.values()) for k in range(1, 5))]
         y = n[1] / max(n[1] + 2 * n[2], 1)
         known.append([0, *(min(max(k - (k + 1) * y * n[k + 1] / max(n[k], 1), 0.1), k - 0.1) for k in (1, 2, 3))])
+        after = {}
+        for g, c in t.items():
+            after.setdefault(g[:-1], []).append(c)
+        own.append(after)
 
     def p(gram):
-        t, d = tables[len(gram) - 1], known[len(gram) - 1]
-        lower = p(gram[1:]) if len(gram) > 1 else 1 / 32
-        own = {g: c for g, c in t.items() if g[:-1] == gram[:-1]}
-        if not own:
+        t, d, after = tables[len(gram) - 1], known[len(gram) - 1], own[len(gram) - 1]
+        lower = p(gram[1:]) if len(gram) > 1 else 1 / (len(t) + 1)
+        if gram[:-1] not in after:
             return lower
-        total, freed = sum(own.values()), sum(d[min(c, 3)] for c in own.values())
-        return (own[gram] - d[min(own[gram], 3)] if gram in own else 0) / total + freed / total * lower
+        total, freed = sum(after[gram[:-1]]), sum(d[min(c, 3)] for c in after[gram[:-1]])
+        return (t[gram] - d[min(t[gram], 3)] if gram in t else 0) / total + freed / total * lower
 
     return p
 
 
+def plain_perplexity(p, text, order):
+    x = " " * (order - 1) + text
+    return math.exp(-sum(math.log(max(p(x[i : i + order]), perplexity.LEAST)) for i in range(len(text))) / len(text))
+
+
+@pytest.mark.parametrize(("shard", "order"), [(1 << 20, 5), (300, 3)])
+def test_perplexity_threshold_and_verdict(spark, monkeypatch, shard, order):
+    monkeypatch.setattr(perplexity, "SHARD", shard)
+    monkeypatch.setattr(perplexity, "BLOCK", 50)
+    r = random.Random(8)
+    words = {"en": ["the", "ing", "on re", "ed", "a"], "zh": ["字 母", "中文", "的", "一", "好"], "ru": ["это", "не", "что", "да ", "и"]}
+    rows = [(i, "".join(r.choices(words[lang], k=r.randint(1, 60))), lang) for i, lang in enumerate(["en", "zh", "ru"] * 25)]
+    rows += [(200, "zzqq 12", "en"), (201, "母母母母字", "zh"), (202, "ненеенен", "ru"), (203, "x", "xx"), (204, None, "en"), (204, "", "en"), (7, rows[7][1], rows[7][2]), (None, "the null", "en")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60)] + [(3, 0, 0), (4, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = Counter((x["id"], x["lang"], x["n_chars"], round(x["perplexity"] or 0, 6), round(x["threshold"] or 0, 6), x["kept"]) for x in perplexity.classify(table(spark, rows), labels, order=order).collect())
+    trusted = set(range(60)) - {3, 4}
+    fold = {x["i"]: x["f"] for x in spark.range(60).select(F.col("id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(perplexity.FOLDS)) + 1).alias("f")).collect()}
+    wanted, values = [], {}
+    models = {(m, lang): kneser_ney([t for i, t, own in rows if own == lang and i in trusted and fold[i] != m], order) for m in range(perplexity.FOLDS + 1) for lang in words}
+    for i, t, lang in rows:
+        m = fold[i] if i in trusted else 0
+        value = plain_perplexity(models[m, lang], t, order) if t and lang in words else 0
+        values.setdefault(lang, []).extend([value] if i in trusted else [])
+        wanted.append((i, lang, len(t or ""), value))
+    limit = {lang: sorted(v)[math.ceil(0.99 * len(v)) - 1] for lang, v in values.items() if v}
+    assert out == Counter((i, lang, n, round(v, 6), round(limit.get(lang, 0), 6), n > 0 and (lang not in limit or v <= limit[lang])) for i, lang, n, v in wanted)
+    assert not next(x[5] for x in out if x[0] == 201) and limit.keys() == words.keys()  # other scripts are judged too
+
+
+def test_kneser_ney_sums_to_one(spark):
+    docs = spark.createDataFrame([([0], "en", f"some plain words number {i} and a few more, {'ab' * i}") for i in range(30)], "models array<long>, lang string, text string")
+    texts = [x["text"] for x in docs.collect()]
+    got = {x["gram"]: x["value"] for x in perplexity.model(docs, 4).filter("kind = 'p'").collect()}
+    p, letters = kneser_ney(texts, 4), sorted(set("".join(texts)) | {" "})
+    for g, value in [*got.items()][::5]:
+        assert value == pytest.approx(p(g), rel=1e-9)
+    for context in ("ome", "  s", "zzz", "aba"):
+        assert sum(p(context + c) for c in letters) + p(context + "?") == pytest.approx(1)
+
+
 def test_blocks_do_not_matter(monkeypatch):
     text = "Some text, ünïcode 字 and 12 numbers\n" * 9
     whole = np.concatenate(list(perplexity.grams(text)))

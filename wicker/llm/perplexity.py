@@ -2,175 +2,265 @@
 
 from __future__ import annotations
 
-import functools
-import unicodedata
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import materialize, small, small_batches
+from wicker.llm.common import materialize, only, small, small_batches
 
-#: Characters fall into 32 classes, and the model looks at four in a row.
-BITS, ORDER = 5, 4
-CLASSES = 1 << BITS
+#: Characters in a row that the model looks at; the character that stands before each text.
+ORDER, BEFORE = 5, " "
+#: Parts into which trusted documents fall; each is judged by a model of the others.
+FOLDS = 2
 #: Ids of trusted documents that are broadcast, at most; with more, the texts are dealt out to them.
 IDS = 2_000_000
-#: Characters of a text that are looked at together.
-BLOCK = 1 << 18
-SPACE, DIGIT, STOP, BREAK, LETTER, OTHER = 0, 27, 28, 29, 30, 31
-
-
-@functools.cache
-def classes() -> np.ndarray:
-    """The class of each character: a letter without its accents, or one of six kinds."""
-    out = np.full(0x110000, LETTER, np.int32)
-    for c in range(0x3000):
-        base = unicodedata.normalize("NFD", chr(c))[0].lower()
-        kind = unicodedata.category(chr(c))
-        if "a" <= base <= "z":
-            out[c] = ord(base) - 96
-        elif chr(c) in "\n\r":
-            out[c] = BREAK
-        elif chr(c).isspace():
-            out[c] = SPACE
-        elif kind[0] == "N":
-            out[c] = DIGIT
-        elif chr(c) in ".,;:!?'\"-()":
-            out[c] = STOP
-        elif kind[0] not in "LM":
-            out[c] = OTHER
-    return out
+#: Entries of the model that go to the documents together.
+SHARD = 2_000_000
+#: Texts whose characters are looked at together, and characters of a text.
+TEXTS, BLOCK = 200, 1 << 18
+#: Chances below this are those of no character at all.
+LEAST = 1e-12
+_MODEL = ["model", "lang"]
 
 
-def grams(text: str):
-    """The codes of each four classes in a row, block by block; three spaces go before the text."""
-    table, held = classes(), np.zeros(ORDER - 1, np.int32)
+def grams(text: str, order: int = ORDER) -> Iterator[np.ndarray]:
+    """The code points of each ``order`` characters in a row as a row, block by block."""
+    held = np.full(order - 1, ord(BEFORE), np.uint32)
     for at in range(0, len(text), BLOCK):
-        x = np.concatenate([held, table[np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)]])
-        code = x[ORDER - 1 :].copy()
-        for i in range(1, ORDER):
-            code |= x[ORDER - 1 - i : len(x) - i] << (BITS * i)
-        held = x[1 - ORDER :]
-        yield code
+        x = np.concatenate([held, np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)])
+        held = x[len(x) - order + 1 :]
+        yield np.lib.stride_tricks.sliding_window_view(x, order)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def codes(rows: np.ndarray, model: int, lang: str) -> np.ndarray:
+    """A 64-bit hash of each row of code points in a model, which depends on the length of the row too."""
+    seed = int.from_bytes(hashlib.blake2b(f"{model}/{lang}/{rows.shape[1]}".encode(), digest_size=8).digest(), "big")
+    h = np.full(len(rows), seed, np.uint64)
+    for x in rows.T:
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + x)
+    return h
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """``lang, code, n``: the four-grams of ``docs`` (lang, text), counted over all of them.
+def place(characters: np.ndarray, shards: int) -> np.ndarray:
+    """In which part of the model a character's followers are looked up."""
+    return (_mixed(characters.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
-    Each task adds up what it reads before anything is shuffled.
+
+def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``model, lang, gram, n``: how often each ``order`` characters in a row occur in docs (models, lang, text).
+
+    ``models`` are the models that a text belongs to. Each batch adds up what it
+    reads before anything is dealt out.
     """
 
     def run(batches):
-        held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                for code in grams(text):
-                    if lang not in held:
-                        held[lang] = np.zeros(1 << (BITS * ORDER), np.int64)
-                    np.add.at(held[lang], code, 1)
-        for lang, n in held.items():
-            code = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "code": code, "n": n[code]})
+            held: dict[tuple[int, str], list[np.ndarray]] = {}
+            for models, lang, text in zip(batch["models"], batch["lang"], batch["text"], strict=True):
+                for m in models:
+                    held.setdefault((int(m), lang), []).extend(grams(text, order))
+            for (model, lang), rows in held.items():
+                every, n = np.unique(np.concatenate(rows), axis=0, return_counts=True)
+                whole = every.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").decode()
+                yield pd.DataFrame({"model": model, "lang": lang, "gram": [whole[i : i + order] for i in range(0, len(whole), order)], "n": n})
 
-    return docs.select("lang", "text").mapInPandas(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = docs.select("models", "lang", "text").mapInPandas(run, "model long, lang string, gram string, n long")
+    return counted.groupBy(*_MODEL, "gram").agg(F.sum("n").alias("n"))
 
 
-def _discounted(counts: DataFrame, lower: DataFrame | None) -> DataFrame:
-    """From ``lang, code, n, mask`` (of the code without its first class):
+def _cut(gram: Column, start: int, size: int) -> Column:
+    return F.substring(gram, start, size)
 
-    ``lang, code, n, p, left``: interpolated probability of each code's last class after the others.
 
-    ``left`` is the weight that its context leaves to the lower order. The three
-    discounts come from the numbers of codes that occur one to four times.
+def _discounted(counts: DataFrame, lower: DataFrame | None, order: int) -> DataFrame:
+    """From ``model, lang, gram, n``: ``model, lang, gram, context, p, left``.
+
+    ``p`` is the interpolated probability of the last character after the others,
+    ``left`` the weight that these leave to the lower order. The three discounts
+    come from the numbers of grams that occur one to four times.
     """
-    times = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)]
-    known = counts.groupBy("lang").agg(*times)
+    known = counts.groupBy(*_MODEL).agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)), F.count("*").alias("kinds"))
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
     d = [F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1)), F.lit(0.1)), F.lit(i - 0.1)).alias(f"d{i}") for i in range(1, 4)]
-    rows = counts.join(small(known.select("lang", *d)), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-    rows = rows.withColumn("context", F.shiftright("code", BITS))
-    contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
-    rows = rows.join(contexts, ["lang", "context"]).withColumn("left", F.col("freed") / F.col("total")).withColumn("own", (F.col("n") - F.col("d")) / F.col("total"))
-    if lower is None:
-        return rows.select("lang", "code", "n", (F.col("own") + F.col("left") / CLASSES).alias("p"), "left")
-    shorter = lower.select("lang", F.col("code").alias("_suffix"), F.col("p").alias("_p"))
-    return rows.withColumn("_suffix", F.col("code").bitwiseAND(F.col("mask"))).join(shorter, ["lang", "_suffix"]).select("lang", "code", "n", (F.col("own") + F.col("left") * F.col("_p")).alias("p"), "left")
-
-
-def model(docs: DataFrame) -> dict[str, np.ndarray]:
-    """For each language the log-probability of the last class of all four in a row.
-
-    Interpolated modified Kneser-Ney: the highest order has counts, each lower
-    one the number of classes that its codes follow. The orders are count tables,
-    dealt out by language and code, and joined with their contexts' totals and
-    with the next lower order. What comes to the driver is bounded by the
-    alphabet: at most 32^4 codes a language, whatever the corpus.
+    rows = counts.join(small(known.select(*_MODEL, "kinds", *d)), _MODEL).withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+    rows = rows.withColumn("context", _cut(F.col("gram"), 1, order - 1))
+    contexts = materialize(rows.groupBy(*_MODEL, "context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed")))
+    rows = rows.join(contexts, [*_MODEL, "context"]).withColumn("left", F.col("freed") / F.col("total")).withColumn("own", (F.col("n") - F.col("d")) / F.col("total"))
+    if lower is None:  # an unknown character is one kind more
+        return rows.select(*_MODEL, "gram", "context", (F.col("own") + F.col("left") / (F.col("kinds") + 1)).alias("p"), "left", (F.col("left") / (F.col("kinds") + 1)).alias("unknown"))
+    shorter = lower.select(*_MODEL, F.col("gram").alias("suffix"), F.col("p").alias("shorter"))
+    return rows.withColumn("suffix", _cut(F.col("gram"), 2, order - 1)).join(shorter, [*_MODEL, "suffix"]).select(*_MODEL, "gram", "context", (F.col("own") + F.col("left") * F.col("shorter")).alias("p"), "left")
+
+
+def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``model, lang, kind, gram, value`` of docs (models, lang, text): interpolated modified Kneser-Ney over characters.
+
+    The highest order has counts, each lower one the number of characters that a
+    gram follows. All orders are count tables, dealt out by gram and joined with
+    their contexts' totals and with the next lower order. Of kind ``p`` is the
+    probability of a gram's last character, of kind ``left`` the weight that a
+    context leaves to the lower order, of kind ``unknown`` (empty gram) the
+    probability of a character that the text does not have.
     """
-    tables = [materialize(count(docs))]
-    for order in range(ORDER - 1, 0, -1):
-        mask = (1 << (BITS * order)) - 1
-        tables.append(materialize(tables[-1].groupBy("lang", F.col("code").bitwiseAND(F.lit(mask)).alias("code")).agg(F.count("*").alias("n"))))
-    found = None
-    kept = []
-    for order, table in enumerate(reversed(tables), 1):
-        found = materialize(_discounted(table.withColumn("mask", F.lit((1 << (BITS * (order - 1))) - 1)), found))
-        kept.append(found)
-    out: dict[str, np.ndarray] = {}
-    for order, table in enumerate(kept, 1):
-        cells = np.arange(1 << (BITS * order))
-        for lang, rows in table.toPandas().groupby("lang"):
-            lower = out[lang][cells & ((1 << (BITS * (order - 1))) - 1)] if order > 1 else np.full(CLASSES, 1 / CLASSES)
-            left = np.ones(1 << (BITS * (order - 1)))
-            code = rows["code"].to_numpy()
-            left[code >> BITS] = rows["left"].to_numpy()
-            p = left[cells >> BITS] * lower
-            p[code] = rows["p"].to_numpy()
-            out[lang] = p
-    return {lang: np.log(p).astype(np.float32) for lang, p in out.items()}
-
-
-def score(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
-    """Add ``perplexity`` to rows of (lang, text, ...); null for no text or a language without a model."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)  # 4 MB a language
-
-    @F.pandas_udf("double")
-    def perplexity(lang: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
-        for name, t in zip(lang, text, strict=True):
-            table = shared.value.get(name)
-            if table is None or not t:
-                out.append(None)
-            else:
-                out.append(float(np.exp(-sum(float(table[code].sum(dtype=np.float64)) for code in grams(t)) / len(t))))
-        return pd.Series(out, dtype="float64")
-
-    return docs.withColumn("perplexity", F.nanvl(perplexity("lang", "text"), F.lit(None).cast("double")))
-
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, least: int = 20) -> DataFrame:
+    tables = [materialize(count(docs, order))]
+    for _ in range(order - 1):
+        tables.append(materialize(tables[-1].groupBy(*_MODEL, F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))))
+    found, out = None, None
+    for n, table in enumerate(reversed(tables), 1):
+        found = materialize(_discounted(table, found, n))
+        parts = found.select(*_MODEL, F.lit("p").alias("kind"), "gram", F.col("p").alias("value"))
+        if n == 1:
+            parts = parts.union(found.select(*_MODEL, F.lit("unknown"), F.lit(""), "unknown").distinct())
+        else:
+            parts = parts.union(found.select(*_MODEL, F.lit("left"), "context", "left").distinct())
+        out = parts if out is None else out.union(parts)
+    return out
+
+
+def _points(gram: str) -> np.ndarray:
+    return np.frombuffer(gram.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _entries(table: DataFrame, shards: int) -> DataFrame:
+    """``shard, kind, code, value`` of a ``model``: what is looked up after which character; single ones are in every shard."""
+
+    def run(batches):
+        for batch in batches:
+            for (m, lang, kind, size), part in batch.groupby([*_MODEL, "kind", batch["gram"].str.len()], dropna=False):
+                rows = np.array([_points(g) for g in part["gram"]], np.uint32).reshape(len(part), int(size))
+                code = codes(rows, int(m), lang).view(np.int64)
+                which = {"p": 0, "left": 1, "unknown": 2}[kind]
+                if size > 1 or kind == "left":
+                    before = rows[:, -1] if kind == "left" else rows[:, -2]
+                    yield pd.DataFrame({"shard": place(before, shards), "kind": which, "code": code, "value": part["value"].to_numpy()})
+                else:
+                    for s in range(shards):
+                        yield pd.DataFrame({"shard": s, "kind": which, "code": code, "value": part["value"].to_numpy()})
+
+    return table.mapInPandas(run, "shard long, kind long, code long, value double")
+
+
+class Shard:
+    """One part of the model as sorted arrays."""
+
+    def __init__(self, entries: pd.DataFrame):
+        self.tables = []
+        for kind in range(3):
+            own = entries[entries["kind"] == kind]
+            code, value = own["code"].to_numpy(np.int64).view(np.uint64), own["value"].to_numpy(np.float64)
+            order = np.argsort(code)
+            self.tables.append((code[order], value[order]))
+
+    def get(self, kind: int, code: np.ndarray) -> np.ndarray:
+        """The values of codes; NaN for those that are not there."""
+        known, value = self.tables[kind]
+        if not len(known):
+            return np.full(len(code), np.nan)
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        return np.where(known[at] == code, value[at], np.nan)
+
+    def logs(self, rows: np.ndarray, m: int, lang: str) -> np.ndarray | None:
+        """Log-probabilities of the last characters of rows of code points; None without a model."""
+        unknown = self.get(2, codes(np.zeros((1, 0), np.uint32), m, lang))[0]
+        if np.isnan(unknown):
+            return None
+        p, order = np.full(len(rows), np.nan), rows.shape[1]
+        weight, open_ = np.ones(len(rows)), np.arange(len(rows))
+        for n in range(order, 0, -1):  # what a higher order does not have comes from the next lower one, by the weight that is left
+            found = self.get(0, codes(rows[open_, order - n :], m, lang))
+            here = ~np.isnan(found)
+            p[open_[here]] = found[here] * weight[open_[here]]
+            open_ = open_[~here]
+            if n > 1 and len(open_):
+                left = self.get(1, codes(rows[open_, order - n : -1], m, lang))
+                weight[open_] *= np.where(np.isnan(left), 1.0, left)
+        p[open_] = unknown * weight[open_]
+        return np.log(np.maximum(p, LEAST))
+
+
+def score(docs: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
+    """``id, lang, n_chars, perplexity`` of docs (id, lang, text, model); null for no text or a language without a model.
+
+    The model is split by the character before the one that is judged, so that a
+    character needs one shard only. The shards go to the documents one by one,
+    SHARD entries each, and leave one sum per document and shard; so neither the
+    driver nor a worker ever holds more, and no text is dealt out.
+    """
+    spark = docs.sparkSession
+    table = materialize(table)
+    shards = max(1, -(-table.count() // SHARD))
+    entries = materialize(_entries(table, shards).repartition("shard")) if shards > 1 else materialize(_entries(table, shards))
+    kind = docs.schema["id"].dataType.simpleString()
+    keyed = small_batches(docs).withColumn("row", F.xxhash64("id", "text"))
+    sums = None
+    for s in range(shards):
+        shared = spark.sparkContext.broadcast(Shard(entries.filter(F.col("shard") == s).select("kind", "code", "value").toPandas()))  # about SHARD entries
+
+        def run(batches, s=s, shared=shared):
+            for batch in batches:
+                for at in range(0, len(batch), TEXTS):
+                    part = batch.iloc[at : at + TEXTS]
+                    total = np.full(len(part), np.nan)
+                    for (m, lang), own in part.reset_index(drop=True).groupby(["model", "lang"]):
+                        blocks = [(i, x) for i, t in zip(own.index, own["text"], strict=True) for x in grams(t, order)]
+                        if not blocks:
+                            continue
+                        rows, owner = np.concatenate([x for _, x in blocks]), np.repeat([i for i, _ in blocks], [len(x) for _, x in blocks])
+                        if shards > 1:
+                            here = place(rows[:, -2], shards) == s
+                            rows, owner = rows[here], owner[here]
+                        _, first, which = np.unique(codes(rows, int(m), lang), return_index=True, return_inverse=True)
+                        logs = shared.value.logs(rows[first], int(m), lang)
+                        if logs is not None:
+                            touched = own.index[own["text"].str.len() > 0]
+                            total[touched] = np.bincount(owner, logs[which], minlength=len(part))[touched]
+                    yield part[["id", "lang", "row"]].assign(n_chars=part["text"].str.len(), total=total)
+
+        found = keyed.select("id", "lang", "text", "model", "row").mapInPandas(run, f"id {kind}, lang string, row long, n_chars long, total double")
+        sums = found if sums is None else sums.unionByName(found)
+    if shards > 1:
+        # A row that is there several times has its sums as often; so have its shards.
+        times = F.count("*") / F.lit(shards)
+        summed = sums.groupBy("id", "lang", "row", "n_chars").agg((F.sum(F.nanvl("total", F.lit(None))) / times).alias("total"), times.cast("int").alias("times"))
+        sums = summed.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    total = F.nanvl("total", F.lit(None).cast("double"))
+    return sums.select("id", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-total / F.col("n_chars"))).alias("perplexity"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, order: int = ORDER, folds: int = FOLDS) -> DataFrame:
     """``id, lang, n_chars, perplexity, threshold, kept`` for every document.
 
-    Trusted are documents labelled of quality 1 and not toxic. Nine in ten of
-    them, by a hash of the id, train one model per language on their whole texts;
-    the rest give the language's threshold, the ``quantile`` of their
-    perplexities. A document is kept if its perplexity is not above that.
+    Trusted are documents labelled of quality 1 and not toxic. By a hash of the id
+    they fall into ``folds`` parts, and each is judged by a model of the others;
+    all other documents are judged by a model of all trusted text of their
+    language. The ``quantile`` of the trusted documents' perplexities is the
+    language's threshold, and a document is kept if its perplexity is not above it.
 
     A null text is empty. Empty texts have no perplexity and are not kept. A
-    language with no trusted text, or under ``least`` documents to set a threshold
-    by, keeps all others. A null language is one of its own (""). Of repeated
-    labels the worst counts. Repeated rows are judged one by one; an empty table
-    gives no rows; other columns are not read.
+    language without trusted text, or whose trusted documents are all in one part,
+    has no threshold and keeps all others. A null language is one of its own ("").
+    Of repeated labels the worst counts. Repeated rows are judged one by one; an
+    empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marks = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.min("quality").alias("_quality"), F.max(F.coalesce("toxic", F.lit(1))).alias("_toxic"))
-    trusted = small(marks.filter("_quality = 1 and _toxic = 0").select(F.col("_labelled").alias("id")), IDS)
-    training = F.pmod(F.xxhash64("id"), F.lit(10)) != 0
-    tables = model(small_batches(rows).join(trusted, "id", "left_semi").filter(training))
-    scored = materialize(score(rows, tables).select("id", "lang", F.length("text").cast("long").alias("n_chars"), "perplexity"))
-    held = scored.join(trusted, "id", "left_semi").filter(~training).groupBy("lang").agg(F.count("perplexity").alias("n"), F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
-    limits = held.filter(F.col("n") >= least).select(F.col("lang").alias("_lang"), "threshold")
-    judged = scored.join(small(limits), F.col("lang") == F.col("_lang"), "left")
+    marks = labels.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(1))).alias("toxic"))
+    trusted = materialize(marks.filter("quality = 1 and toxic = 0 and id is not null").select("id"))
+    fold = F.pmod(F.xxhash64("id"), F.lit(folds)) + 1
+    without = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(folds).cast("long")), lambda m: m != fold)
+    table = model(small_batches(only(rows, trusted, ["id"], IDS)).select("lang", "text", without.alias("models")), order)
+    sure = small(trusted.select("id", fold.alias("fold")), IDS)
+    scored = materialize(score(rows.join(sure, "id", "left").select("id", "lang", "text", F.coalesce("fold", F.lit(0)).cast("long").alias("model")), table, order))
+    limits = only(scored, trusted, ["id"], IDS).groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
+    judged = scored.join(small(limits), "lang", "left")
     kept = (F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return judged.select("id", "lang", "n_chars", "perplexity", "threshold", kept.alias("kept"))

@@ -345,29 +345,37 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
         keys = materialize(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k", "n"))
         return rows.join(keys, "k")
 
-    def meetings(rows: DataFrame) -> DataFrame:
-        """All pairs of parts of a posting, as ``i, j, members``."""
+    def meetings(rows: DataFrame, *more: str) -> DataFrame:
+        """All pairs of parts of a posting, as ``k, i, j, members``."""
         parts = F.ceil(F.col("n") / TOGETHER)
         dealt = rows.withColumn("own", F.pmod(F.xxhash64("k", "node"), parts))
-        one = F.struct("node", "root", "own", "size", "reach").alias("one")
+        one = F.struct("node", "root", "own", "size", "reach", *more).alias("one")
         meets = dealt.select("k", one, "own", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-        return meets.groupBy("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("one").alias("members")).select("i", "j", "members")
+        return meets.groupBy("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("one").alias("members"))
 
-    def compared(batches, pick):
+    def sides(i: int, j: int, members) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes of either part, and which pairs of them are allowed."""
+        x = np.array([(m["node"], m["root"], m["own"], m["size"], m["reach"]) for m in members], np.int64)
+        x, y = x[x[:, 2] == i], x[x[:, 2] == j]
+        return x[:, 0], y[:, 0], _allowed(x, y, similarity)
+
+    def partnered(batches):
         for batch in batches:
             found = set()
             for i, j, members in zip(batch["i"], batch["j"], batch["members"], strict=True):
-                x = np.array([(m["node"], m["root"], m["own"], m["size"], m["reach"]) for m in members], np.int64)
-                x, y = x[x[:, 2] == i], x[x[:, 2] == j]
-                found.update(pick(x[:, 0], y[:, 0], _allowed(x, y, similarity)))
-            yield found
-
-    def partnered(batches):
-        for found in compared(batches, lambda x, y, ok: [*x[ok.any(axis=1)].tolist(), *y[ok.any(axis=0)].tolist()]):
+                x, y, ok = sides(i, j, members)
+                found.update(x[ok.any(axis=1)].tolist(), y[ok.any(axis=0)].tolist())
             yield pd.DataFrame({"node": list(found)}, dtype="int64")
 
     def listed(batches):
-        for found in compared(batches, lambda x, y, ok: [(min(a, b), max(a, b)) for a, b in zip(*(v[at].tolist() for v, at in zip((x, y), np.nonzero(ok), strict=True)), strict=True)]):
+        for batch in batches:
+            found = set()
+            for k, i, j, members in zip(batch["k"], batch["i"], batch["j"], batch["members"], strict=True):
+                x, y, ok = sides(i, j, members)
+                keys = {m["node"]: frozenset(m["keys"]) for m in members}
+                for a, b in zip(*(v[at].tolist() for v, at in zip((x, y), np.nonzero(ok), strict=True)), strict=True):
+                    if min(keys[a] & keys[b]) == k:  # of all postings they share, one lists them
+                        found.add((min(a, b), max(a, b)))
             yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
     opened = materialize(open_only(fuller.select("k", "node").join(rooted, "node")))
@@ -378,7 +386,8 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     alone = shingles.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last").groupBy("node").agg(F.count("*").alias("alone"))
     left = opened.drop("n").join(hopeful, "node", "left_semi").join(alone, "node", "left").withColumn("reach", F.least("reach", F.col("size") - F.coalesce("alone", F.lit(0)))).drop("alone")
     left = materialize(open_only(materialize(left.filter(F.col("reach") >= similarity * F.col("size") - 1e-6))))
-    rest = materialize(meetings(left).mapInPandas(listed, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+    own = left.groupBy("node").agg(F.collect_set("k").alias("keys"))  # no more than a node's rarest shingles
+    rest = materialize(meetings(left.join(own, "node"), "keys").mapInPandas(listed, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
     return members, found.union(verified(rest))
 
 

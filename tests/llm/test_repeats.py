@@ -74,7 +74,7 @@ def corpus(seed, n, alphabet):
     return rows
 
 
-@pytest.mark.parametrize("together", [2000, 2])
+@pytest.mark.parametrize("together", [20_000, 2])
 def test_remove(spark, monkeypatch, together):
     monkeypatch.setattr(repeats, "TOGETHER", together)
     rows = corpus(3, 60, "abcdefg") + corpus(4, 20, "é字a") + [(100, None), (101, ""), (None, "ab" * 700), (102, "z" * 1500), (103, "z" * 399), (7, "q" * 400), (7, "q" * 400), (104, "ab" * 201)]
@@ -92,7 +92,7 @@ def test_remove_in_blocks(spark, monkeypatch):
     assert all(r["n_chars"] == len(r["text"]) and r["d1"] == "clash" for r in texts.values())
 
 
-@pytest.mark.parametrize("together", [2000, 2])
+@pytest.mark.parametrize("together", [20_000, 2])
 def test_passages(spark, monkeypatch, together):
     monkeypatch.setattr(repeats, "TOGETHER", together)
     rows = corpus(6, 60, "abcdefg") + corpus(7, 20, "é字a") + [(100, None), (None, "ab" * 90), (101, "z" * 150), (102, "z" * 60), (7, "q" * 100), (7, "q" * 100), *((300 + i, "r" * 70 + "s" * 70) for i in range(20))]

@@ -24,9 +24,11 @@ BLOCK = 1 << 22
 #: Bytes of a passage that counts as shared: a little less than 51 words of the shortest kind take.
 PASSAGE = 240
 #: Different surroundings of one anchor that are sorted together; an anchor with more goes window by window.
-TOGETHER = 2000
+TOGETHER = 20_000
 #: Places between the strings that are looked at first in such an anchor's regions.
 APART = 16
+#: Strings that occur twice which are broadcast to the regions, at most; with more, all strings are dealt out to them.
+AGAIN = 2_000_000
 #: Texts whose spans are broadcast to the documents, at most.
 SPANS = 200_000
 _BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
@@ -239,8 +241,8 @@ def _counted_runs(regions: DataFrame, length: int, full: bool) -> DataFrame:
             yield hashed((key, r, at, data, places(at, len(data), hits), OPEN, length) for key, r, at, data, hits in zip(batch["key"], batch["r"], batch["at"], batch["bytes"], batch["hits"], strict=True))
 
     def twice(strings: DataFrame) -> DataFrame:
-        again = materialize(strings.groupBy(*place).agg(F.count("*").alias("times"), F.min("r").alias("least")).filter("times > 1").select(*place, "least"))
-        return strings.join(again, place)
+        again = strings.groupBy(*place).agg(F.count("*").alias("times"), F.min("r").alias("least")).filter("times > 1").select(*place, "least")
+        return strings.join(small(again, AGAIN), place)
 
     first = materialize(twice(regions.mapInPandas(coarse, f"key long, r long, {digests}")).groupBy("key", "r").agg(F.collect_list(F.struct("kind", "o", (F.col("r") == F.col("least")).alias("first"))).alias("hits")))  # of one region
     later = twice(regions.join(first, ["key", "r"]).mapInPandas(fine, f"key long, r long, {digests}")).select("key", "r", "kind", "o")

@@ -27,15 +27,34 @@ LEAST = 1e-12
 _MODEL = ["model", "lang"]
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def grams(text: str, order: int = ORDER) -> Iterator[np.ndarray]:
     """The code points of each ``order`` characters in a row as a row, block by block."""
     held = np.full(order - 1, ord(BEFORE), np.uint32)
     for at in range(0, len(text), BLOCK):
-        x = np.concatenate([held, np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)])
+        x = np.concatenate([held, _points(text[at : at + BLOCK])])
         held = x[len(x) - order + 1 :]
         yield np.lib.stride_tricks.sliding_window_view(x, order)
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different row is first, and which of them each row is; rows are numbered in the digits of their characters."""
+    seen = np.zeros(0x110000, bool)
+    seen[rows.ravel()] = True
+    digit, base = np.cumsum(seen) - 1, int(seen.sum())
+    if base ** rows.shape[1] >= 1 << 63:
+        _, first, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        return first, which.ravel()
+    number = np.zeros(len(rows), np.int64)
+    for x in rows.T:
+        number = number * base + digit[x]
+    _, first, which = np.unique(number, return_index=True, return_inverse=True)
+    return first, which
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -70,7 +89,9 @@ def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 for m in models:
                     held.setdefault((int(m), lang), []).extend(grams(text, order))
             for (model, lang), rows in held.items():
-                every, n = np.unique(np.concatenate(rows), axis=0, return_counts=True)
+                every = np.concatenate([np.zeros((0, order), np.uint32), *rows])
+                first, which = _distinct(every)
+                every, n = every[first], np.bincount(which, minlength=len(first))
                 whole = every.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").decode()
                 yield pd.DataFrame({"model": model, "lang": lang, "gram": [whole[i : i + order] for i in range(0, len(whole), order)], "n": n})
 
@@ -127,10 +148,6 @@ def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
-def _points(gram: str) -> np.ndarray:
-    return np.frombuffer(gram.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
 def _entries(table: DataFrame, shards: int) -> DataFrame:
     """``shard, kind, code, value`` of a ``model``: what is looked up after which character; single ones are in every shard."""
 
@@ -147,19 +164,18 @@ def _entries(table: DataFrame, shards: int) -> DataFrame:
                     for s in range(shards):
                         yield pd.DataFrame({"shard": s, "kind": which, "code": code, "value": part["value"].to_numpy()})
 
-    return table.mapInPandas(run, "shard long, kind long, code long, value double")
+    return table.mapInPandas(run, "shard int, kind int, code long, value double")
 
 
 class Shard:
     """One part of the model as sorted arrays."""
 
-    def __init__(self, entries: pd.DataFrame):
+    def __init__(self, kind: np.ndarray, code: np.ndarray, value: np.ndarray):
         self.tables = []
-        for kind in range(3):
-            own = entries[entries["kind"] == kind]
-            code, value = own["code"].to_numpy(np.int64).view(np.uint64), own["value"].to_numpy(np.float64)
-            order = np.argsort(code)
-            self.tables.append((code[order], value[order]))
+        for k in range(3):
+            own, values = code[kind == k].view(np.uint64), value[kind == k]
+            order = np.argsort(own)
+            self.tables.append((own[order], values[order]))
 
     def get(self, kind: int, code: np.ndarray) -> np.ndarray:
         """The values of codes; NaN for those that are not there."""
@@ -204,7 +220,8 @@ def score(docs: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
     keyed = small_batches(docs).withColumn("row", F.xxhash64("id", "text"))
     sums = None
     for s in range(shards):
-        shared = spark.sparkContext.broadcast(Shard(entries.filter(F.col("shard") == s).select("kind", "code", "value").toPandas()))  # about SHARD entries
+        own = entries.filter(F.col("shard") == s).select("kind", "code", "value").toArrow()  # about SHARD entries
+        shared = spark.sparkContext.broadcast(Shard(*(own.column(c).to_numpy() for c in own.column_names)))
 
         def run(batches, s=s, shared=shared):
             for batch in batches:
@@ -212,21 +229,19 @@ def score(docs: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
                     part = batch.iloc[at : at + TEXTS]
                     total = np.full(len(part), np.nan)
                     for (m, lang), own in part.reset_index(drop=True).groupby(["model", "lang"]):
-                        blocks = [(i, x) for i, t in zip(own.index, own["text"], strict=True) for x in grams(t, order)]
+                        blocks = [(i, x[place(x[:, -2], shards) == s] if shards > 1 else x) for i, t in zip(own.index, own["text"], strict=True) for x in grams(t, order)]
                         if not blocks:
                             continue
                         rows, owner = np.concatenate([x for _, x in blocks]), np.repeat([i for i, _ in blocks], [len(x) for _, x in blocks])
-                        if shards > 1:
-                            here = place(rows[:, -2], shards) == s
-                            rows, owner = rows[here], owner[here]
-                        _, first, which = np.unique(codes(rows, int(m), lang), return_index=True, return_inverse=True)
+                        first, which = _distinct(rows)
                         logs = shared.value.logs(rows[first], int(m), lang)
                         if logs is not None:
                             touched = own.index[own["text"].str.len() > 0]
                             total[touched] = np.bincount(owner, logs[which], minlength=len(part))[touched]
                     yield part[["id", "lang", "row"]].assign(n_chars=part["text"].str.len(), total=total)
 
-        found = keyed.select("id", "lang", "text", "model", "row").mapInPandas(run, f"id {kind}, lang string, row long, n_chars long, total double")
+        found = materialize(keyed.select("id", "lang", "text", "model", "row").mapInPandas(run, f"id {kind}, lang string, row long, n_chars long, total double"))
+        shared.destroy()  # one shard at a time
         sums = found if sums is None else sums.unionByName(found)
     if shards > 1:
         # A row that is there several times has its sums as often; so have its shards.

@@ -35,7 +35,6 @@ def vectors(spark, rows):
 
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(ann, "LIST_BLOCK", 150)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(64).astype(np.float32).tolist()) for i in range(1200)]
     rows += [(2000 + i, rows[100][1]) for i in range(300)]  # a hot group of copies
@@ -65,11 +64,22 @@ def test_nearest_of_few(spark):
     assert ann.search(none, none).count() == 0 and ann.search(df, none).count() == 0
 
 
+def test_tiny_and_huge_vectors(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [1e-200, 2e-200, 3.1e-200]), (2, [1e200, -2e200, 3e200]), (50, [1e200, 2e200, 2.9e200]), (3, [5e-324, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in ann.search(df, df.filter("vec_id % 50 = 0")).collect()}
+    unit = {i: np.array(v) / max(map(abs, v)) for i, v in rows}
+    for q in (0, 50):
+        scores = sorted((-float(unit[q] @ unit[j] / np.linalg.norm(unit[q]) / np.linalg.norm(unit[j])), j) for j in unit if j != q)
+        assert [out[q, n][0] for n in range(1, 5)] == [j for _, j in scores]
+        assert [out[q, n][1] for n in range(1, 5)] == pytest.approx([-s for s, _ in scores], abs=1e-12)
+
+
 def test_rows_are_abandoned_early():
     rng = np.random.default_rng(1)
     x = ann._unit(rng.standard_normal((3000, 64)))
     x[:40] = ann._unit(x[0] + 0.3 * rng.standard_normal((40, 64)) / 8)
-    alive = ann.scan(x[:1], x, 5, np.array([0]), np.arange(3000))[0]
+    alive = ann.scan(x[:1], x, 5, np.array([0]), np.arange(3000), np.array([np.inf]))[0]
     true = np.argsort(((x - x[0]) ** 2).sum(axis=1))[1:6]
     assert set(true) <= set(alive) and len(alive) < 100
 

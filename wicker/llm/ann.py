@@ -15,10 +15,10 @@ from wicker.llm.common import materialize
 SAMPLE = 20_000
 #: Sample vectors that stand for queries when the number of probes is chosen, and the recall that it must reach there.
 TRIALS, RECALL = 200, 0.97
-#: Lists, at most.
-LISTS = 256
-#: Vectors of a list, and queries, that one task scans together.
-LIST_BLOCK, QUERY_BLOCK = 4096, 2048
+#: Lists a query looks at first, to learn how near its neighbours are at most.
+FIRST = 2
+#: Vectors of a list that are scanned together.
+LIST_BLOCK = 4096
 #: Dimensions of a column block.
 COLUMNS = 16
 #: How far a partial distance may stray, in standard deviations of the test.
@@ -70,7 +70,7 @@ def enough_probes(sample: np.ndarray, turn: np.ndarray, centres: np.ndarray, k:
     return int(np.quantile(places, RECALL, method="higher")) + 1 if places else len(centres)
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, k: int, asked: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+def scan(queries: np.ndarray, rows: np.ndarray, k: int, asked: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """For each rotated unit query, the rows that may be among its k nearest of this block.
 
     Column block by column block the squared distances grow. After d of D
@@ -78,20 +78,22 @@ def scan(queries: np.ndarray, rows: np.ndarray, k: int, asked: np.ndarray, ids:
     estimate of the whole, whose relative error is about 1 / sqrt(d). A row is
     abandoned as soon as its estimate is over the k-th distance known so far by
     EPSILON such errors: the hypothesis that it is nearer is then rejected. The
-    k-th distance known comes from the rows that look nearest after the first
-    block, whose distances are taken whole. Rows of the query's own id don't count.
+    k-th distance known is that of the lists before (``bounds``) or of the rows that
+    look nearest after the first block, whose distances are taken whole, whichever
+    is less. Rows of the query's own id don't count.
     """
     dims, out = rows.shape[1], []
     blocks = [(a, min(dims, a + COLUMNS)) for a in range(0, dims, COLUMNS)]
     columns = [np.ascontiguousarray(rows[:, a:b]) for a, b in blocks]
     norms = [(c * c).sum(axis=1) for c in columns]
     first = norms[0][None, :] + (queries[:, : blocks[0][1]] ** 2).sum(axis=1)[:, None] - 2 * queries[:, : blocks[0][1]] @ columns[0].T
-    for i, q, partial in zip(asked, queries, first, strict=True):
-        alive = np.arange(len(rows))
+    for i, q, partial, known in zip(asked, queries, first, bounds, strict=True):
+        alive, bound = np.arange(len(rows)), known
         if len(rows) > 8 * k:
             seeds = np.argpartition(partial, 2 * k + 1)[: 2 * k + 2]
             whole = np.where(ids[seeds] == i, np.inf, ((rows[seeds] - q) ** 2).sum(axis=1))
-            bound = np.partition(whole, k - 1)[k - 1] + 1e-12
+            bound = min(known, np.partition(whole, k - 1)[k - 1] + 1e-12)
+        if bound < np.inf:
             for n, (a, b) in enumerate(blocks):
                 if n:
                     partial = partial + ((columns[n][alive] - q[a:b]) ** 2).sum(axis=1)
@@ -102,11 +104,15 @@ def scan(queries: np.ndarray, rows: np.ndarray, k: int, asked: np.ndarray, ids:
     return out
 
 
+def _even(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their components can be squared; no digit is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def _exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosine in double precision on the original vectors."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        dots = rows @ query
-        return dots / (np.linalg.norm(rows, axis=1) * np.linalg.norm(query))
+    query, rows = _even(query), _even(rows)
+    return rows @ query / (np.linalg.norm(rows, axis=1) * np.linalg.norm(query))
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, probes: int | None = None, lists: int | None = None) -> DataFrame:
@@ -115,12 +121,13 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     Lists are fitted on at most SAMPLE vectors, chosen by a hash of their id; all
     vectors are put in the list whose centre is nearest. Each query scans its
     ``probes`` nearest lists (see ``scan``) and scores what survives exactly, in
-    double precision on the original vectors. By default there are half as many
-    lists as the root of the number of rows, LISTS at most, and as many probes as
-    the sample needs for a recall of RECALL: few where vectors form clusters,
-    most where they are spread evenly. The rows of a list are dealt out in blocks
-    of about LIST_BLOCK, so a list that holds most rows is scanned by many tasks,
-    and the queries that meet a block in blocks of about QUERY_BLOCK.
+    double precision on the original vectors: first FIRST lists, then the others
+    with the k-th distance found there. By default there are half as many lists as
+    the root of the number of rows, and as many probes as the sample needs for a
+    recall of RECALL: few where vectors form clusters, most where they are spread
+    evenly. The rows of a list are dealt out once, in blocks of about LIST_BLOCK, so
+    a list that holds most rows is scanned by many tasks; the queries go to the
+    blocks and stream past them.
 
     A row is no candidate for a query of the same id. Ties go to the smaller id.
     Null, empty and zero vectors and those with null or non-finite components,
@@ -138,14 +145,13 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
         return spark.createDataFrame([], schema)
     dims, total = sizes[0]
     rows, asked = rows.filter(F.size("v") == dims), asked.filter(F.size("v") == dims)
-    lists = lists or max(1, min(LISTS, math.isqrt(total) // 2))
+    lists = lists or max(1, math.isqrt(total) // 2)
     share = min(1.0, 1.2 * SAMPLE / total)
     chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()
     sample = _matrix(chosen["v"]) if len(chosen) else _matrix(rows.limit(1).toPandas()["v"])
     turn, centres = fit(sample, lists)
     probes = min(probes or enough_probes(sample, turn, centres, k), len(centres))
-    fitted = spark.sparkContext.broadcast((turn, centres))  # dims x dims and at most LISTS x dims numbers
-    query_parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    fitted = spark.sparkContext.broadcast((turn, centres))  # dims x dims, and as many centres as the root of the rows, SAMPLE at most
 
     def assign(batches):
         turn, centres = fitted.value
@@ -156,34 +162,62 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
 
     element = vectors.schema[vector_col].dataType.simpleString()
     listed = materialize(rows.mapInPandas(assign, f"id {kind}, v {element}, list int"))
-    counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
-    parts = {a: -(-n // LIST_BLOCK) for a, n in counts.items()}
-    blocks = F.element_at(F.create_map(*(F.lit(x) for p in parts.items() for x in p)), F.col("list"))
-    dealt = listed.withColumn("part", F.pmod(F.xxhash64("id", "v"), blocks).cast("int")).withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
-
-    def probe(batches):
-        turn, centres = fitted.value
+    counts = listed.groupBy("list").agg(F.count("*").alias("n")).collect()  # a row per list
+    blocks = {r["list"]: -(-r["n"] // LIST_BLOCK) for r in counts}
+    many = F.element_at(F.create_map(*(F.lit(x) for p in blocks.items() for x in p)), F.col("list"))
+    nothing = F.lit(None).cast("double")
+    dealt = listed.select("list", F.pmod(F.xxhash64("id", "v"), many).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v", nothing.alias("bound"))
+
+    def sent(asked: DataFrame, first: int, last: int) -> DataFrame:
+        """The queries (id, v, bound) at each block of the lists that are first-nearest to last-nearest to them."""
+
+        def probe(batches):
+            turn, centres = fitted.value
+            for batch in batches:
+                if len(batch):
+                    near = np.argsort(-(_unit(_matrix(batch["v"])) @ turn @ centres.T), axis=1)[:, first:last]
+                    out = [(int(x), b, True, i, v, bound) for i, v, bound, own in zip(batch["id"], batch["v"], batch["bound"], near, strict=True) for x in own for b in range(blocks.get(int(x), 0))]
+                    yield pd.DataFrame(out, columns=["list", "block", "asks", "id", "v", "bound"])
+
+        return asked.select("id", "v", "bound").mapInPandas(probe, f"list int, block int, asks boolean, id {kind}, v {element}, bound double")
+
+    def look(batches):
+        """Rows of a block come first and are kept, its queries after them stream past."""
+        turn, _ = fitted.value
+        at, held, ready = None, [], None
         for batch in batches:
-            if len(batch):
-                near = _unit(_matrix(batch["v"])) @ turn @ centres.T
-                out = [(i, v, int(x), p) for i, v, s in zip(batch["id"], batch["v"], near, strict=True) for x in np.argsort(-s)[:probes] for p in range(parts.get(int(x), 0))]
-                yield pd.DataFrame(out, columns=["id", "v", "list", "part"])
-
-    met = asked.mapInPandas(probe, f"id {kind}, v {element}, list int, part int").withColumn("asked", F.pmod(F.xxhash64("id"), F.lit(query_parts)).cast("int"))
-
-    def look(block: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(block) and len(some):
-            turn, _ = fitted.value
-            ids, own, original = block["id"].to_numpy(), _matrix(block["v"]), _matrix(some["v"])
-            for i, q, alive in zip(some["id"], original, scan(_unit(original) @ turn, _unit(own) @ turn, k, some["id"].to_numpy(), ids), strict=True):
-                scores = _exact(q, own[alive])
-                best = np.lexsort((ids[alive], -scores))[:k]
-                found += zip([i] * len(best), ids[alive][best], scores[best], strict=True)
-        return pd.DataFrame(found, columns=["query_id", "id", "score"])
-
-    block = ["list", "part", "asked"]
-    near = dealt.groupBy(*block).cogroup(met.groupBy(*block)).applyInPandas(look, f"query_id {kind}, id {kind}, score double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("id")))), 1, k)
-    top = near.groupBy("query_id").agg(best.alias("best"))  # k rows per probed block
+            found = []
+            for (block, part, asks), own in batch.groupby(["list", "block", "asks"], sort=False):
+                if at != (block, part):
+                    at, held, ready = (block, part), [], None
+                if not asks:
+                    held.append(own)
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    every = pd.concat(held)
+                    ids, original = every["id"].to_numpy(), _matrix(every["v"])
+                    ready = ids, original, _unit(original) @ turn
+                ids, original, turned = ready
+                q, bounds = _matrix(own["v"]), own["bound"].fillna(np.inf).to_numpy()
+                for i, one, alive in zip(own["id"], q, scan(_unit(q) @ turn, turned, k, own["id"].to_numpy(), ids, bounds), strict=True):
+                    scores = _exact(one, original[alive])
+                    best = np.lexsort((ids[alive], -scores))[:k]
+                    found += zip([i] * len(best), ids[alive][best], scores[best], strict=True)
+            yield pd.DataFrame(found, columns=["query_id", "id", "score"])
+
+    def met(queries: DataFrame) -> DataFrame:
+        """``query_id, id, score``: up to k rows of each block for each query that comes to it."""
+        together = dealt.unionByName(queries).repartition("list", "block").sortWithinPartitions("list", "block", "asks")
+        return materialize(together.mapInPandas(look, f"query_id {kind}, id {kind}, score double"))
+
+    far = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("id")))), 1, k)  # k rows per probed block
+    near = met(sent(asked.withColumn("bound", nothing), 0, min(FIRST, probes)))
+    if probes > FIRST:
+        # The distance of unit vectors with that cosine, a little more for rounding.
+        reach = F.when(F.size("best") == k, 2 + 2 * F.element_at("best", k)["far"] + 1e-9).alias("bound")
+        bounds = near.groupBy("query_id").agg(far.alias("best")).select(F.col("query_id").alias("id"), reach)
+        near = near.unionByName(met(sent(asked.join(bounds, "id", "left"), FIRST, probes)))
+    top = near.groupBy("query_id").agg(far.alias("best"))
     return top.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "col.id", (-F.col("col.far")).alias("score"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 import xxhash
@@ -152,7 +153,16 @@ def test_near_duplicates(spark, monkeypatch):
     assert Counter((r["id"], r["fp"] % (1 << 64), r["component"]) for r in out) == Counter((i, p, wanted[p]) for i, p in prints)
 
 
-def test_links_are_complete(spark):
+def test_any_positions_are_covered():
+    for most in range(4):
+        sets = simhash.covering(most)
+        assert all(any(set(x) <= set(y) for y in sets) for x in combinations(range(8), most)) and all(len(y) == most + 1 for y in sets)
+    assert len(simhash.covering(2)) < 14  # of 28 choices of two
+
+
+@pytest.mark.parametrize("crowded", [4096, 3])
+def test_links_are_complete(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     r = random.Random(1)
     fps = set()
     for _ in range(12):

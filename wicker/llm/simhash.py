@@ -18,6 +18,8 @@ BYTES = 8
 #: Shingles whose hashes are in memory together.
 SHINGLES = 1 << 15
 SEED = 42
+#: Fingerprints of a posting that are compared with each other, at most; one with more is split.
+CROWDED = 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -63,54 +65,78 @@ def _shared_bytes(x: Column) -> Column:
     return sum((F.shiftright(x, 8 * p).bitwiseAND(F.lit(255)) == 0).cast("int") for p in range(BYTES))
 
 
+def covering(most: int) -> list[tuple[int, ...]]:
+    """Sets of ``most + 1`` byte positions, few, such that any ``most`` positions are together in one of them."""
+    left, out = set(combinations(range(BYTES), most)), []
+    while left:
+        best = max(combinations(range(BYTES), most + 1), key=lambda x: sum(y in left for y in combinations(x, most)))
+        left -= set(combinations(best, most))
+        out.append(best)
+    return out
+
+
 def _near(values: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Pairs of distinct fingerprints of one posting that differ in 1 to ``most`` bits."""
+    """Pairs of distinct fingerprints of one posting that share ``BYTES - most`` bytes and differ in 1 to ``most`` bits."""
     values = np.unique(values)
     out = []
-    for start in range(0, len(values), 1024):
-        block = values[start : start + 1024]
-        for other in range(start, len(values), 1024):
-            x = block[:, None] ^ values[None, other : other + 1024]
-            i, j = np.nonzero(np.bitwise_count(x.view(np.uint64)) <= most)
-            i, j = i + start, j + other
+    for start in range(0, len(values), 512):
+        block = values[start : start + 512]
+        for other in range(start, len(values), 512):
+            x = block[:, None] ^ values[None, other : other + 512]
+            tally = (x.view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(axis=2)
+            i, j = np.nonzero(tally >= BYTES - most)
+            verified = np.bitwise_count(x[i, j].view(np.uint64)) <= most
+            i, j = i[verified] + start, j[verified] + other
             out += [(int(values[p]), int(values[q])) for p, q in zip(i[i < j], j[i < j], strict=True)]
     return out
 
 
+def _mask(positions) -> int:
+    """A signed long with the bytes at those positions set."""
+    mask = sum(255 << (8 * p) for p in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def links(prints: DataFrame, most: int = 2) -> DataFrame:
     """``a, b``: all pairs of different fingerprints within ``most`` differing bits, a below b.
 
-    Fingerprints that differ in at most d bits differ in at most d bytes, so they
-    share 8 - d bytes at the same positions. The inverted index therefore has a
-    posting for each choice of 8 - d positions and the bytes there: a pair that
-    reaches the guaranteed minimum meets in one posting at least, one that does
-    not meets in none. Each candidate's shared positional bytes are tallied, and
-    those that reach the minimum are verified bit by bit.
-
-    The index holds distinct fingerprints only, so copies cost nothing, and a
-    posting has at most 256 ** d members. Postings of two, nearly all, come out
-    of a plain aggregation; only fuller ones are gathered.
+    Fingerprints that differ in at most d bits share 8 - d bytes at the same
+    positions, the guaranteed minimum. The inverted index has a posting for the
+    bytes at each of a few choices of 7 - d positions (see ``covering``), one of
+    which holds for any pair that reaches the minimum. The shared positional bytes
+    of the pairs of a posting are tallied; those that reach the minimum are
+    verified bit by bit.
+
+    The index holds distinct fingerprints only, so copies cost nothing. Postings of
+    two, nearly all, come out of a plain aggregation; only fuller ones are
+    gathered. One with over CROWDED members is split by each byte that is left, of
+    which a pair must share one more, so that none has more than 256 ** d.
     """
-    keys = []
-    for out in combinations(range(BYTES), most):
-        mask = (1 << 64) - 1
-        for p in out:
-            mask &= ~(255 << (8 * p))
-        keys.append(mask - (1 << 64) if mask >> 63 else mask)
-    entries = F.array(*(F.struct(F.lit(c).cast("tinyint").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for c, m in enumerate(keys)))
+    choices = [tuple(p for p in range(BYTES) if p not in out) for out in covering(most)]
+    entries = F.array(*(F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(_mask(own))).alias("v")) for c, own in enumerate(choices)))
     postings = prints.select("fp", F.inline(entries))
-    full = materialize(postings.groupBy("c", "v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
-    pairs = full.filter("n = 2").select("a", "b")
-    fuller = postings.join(full.filter("n > 2").select("c", "v"), ["c", "v"], "left_semi").groupBy("c", "v").agg(F.collect_list("fp").alias("fps"))
+    summed = lambda rows: materialize(rows.groupBy("c", "v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
+    full = summed(postings)
+    pairs, gathered = full.filter("n = 2").select("a", "b"), [(postings, full.filter((F.col("n") > 2) & (F.col("n") <= CROWDED)))]
+    crowded = full.filter(F.col("n") > CROWDED)
+    if not crowded.isEmpty():
+        finer = [(c, (*own, p)) for c, own in enumerate(choices) for p in range(BYTES) if p not in own]
+        more = F.array(*(F.when(F.col("c") == c, F.struct(F.lit(BYTES + n).alias("c"), F.col("fp").bitwiseAND(F.lit(_mask(own))).alias("v"))) for n, (c, own) in enumerate(finer)))
+        split = materialize(postings.join(crowded.select("c", "v"), ["c", "v"], "left_semi").select("fp", F.inline(F.filter(more, lambda x: x.isNotNull()))))
+        fine = summed(split)
+        pairs = pairs.union(fine.filter("n = 2").select("a", "b"))
+        gathered.append((split, fine.filter("n > 2")))
 
     def run(batches):
         for batch in batches:
-            found = [p for fps in batch["fps"] for p in _near(np.asarray(fps, np.int64), most)]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            found = {p for fps in batch["fps"] for p in _near(np.asarray(fps, np.int64), most)}
+            yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
-    candidates = pairs.union(fuller.select("fps").mapInPandas(run, "a long, b long")).distinct()
+    for rows, keys in gathered:
+        groups = rows.join(keys.select("c", "v"), ["c", "v"], "left_semi").groupBy("c", "v").agg(F.collect_list("fp").alias("fps"))
+        pairs = pairs.union(groups.select("fps").mapInPandas(run, "a long, b long"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    return candidates.withColumn("tally", _shared_bytes(x)).filter(F.col("tally") >= BYTES - most).filter(F.bit_count(x) <= most).select("a", "b")
+    return pairs.distinct().withColumn("tally", _shared_bytes(x)).filter(F.col("tally") >= BYTES - most).filter(F.bit_count(x) <= most).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2) -> DataFrame:
@@ -128,7 +154,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    under = components(links(distinct.select("fp"), most))
+    spread = distinct.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # the index makes many rows of one
+    under = components(links(spread, most))
     rooted = distinct.join(under, distinct["fp"] == under["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
     classes = rooted.join(lowest, "root").select(F.col("fp").alias("_fp"), "root", "component")

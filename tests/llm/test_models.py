@@ -301,6 +301,24 @@ def test_lookahead_suffices(merges):
             assert merges.merge(data + more)[: len(sure)] == sure
 
 
+def test_bpe_streams(merges, library, monkeypatch):
+    """At the block of the query: text leaves block by block, long pieces through the lookahead, and little is held."""
+    calls, held = [], []
+    stable, feed = bpe.Merges.stable, bpe.Encoder.feed
+    monkeypatch.setattr(bpe.Merges, "stable", lambda self, data: calls.append(len(data)) or stable(self, data))
+
+    def watched(self, text, last=False):
+        yield from feed(self, text, last)
+        held.append(len(self.text) + len(self.open or b""))
+
+    monkeypatch.setattr(bpe.Encoder, "feed", watched)
+    check(merges, library, "some plain words and " * 3000)
+    assert len(held) > 10 and max(held) < 50 and not calls
+    held.clear()
+    check(merges, library, "ab" * 30_000 + " end")
+    assert len(calls) > 10 and max(calls) <= 2 * bpe.BLOCK + merges.lookahead and max(held) <= bpe.BLOCK + merges.lookahead + 2 * max(map(len, merges.bytes_of.values()))
+
+
 def test_bpe_queries(spark, library):
     rows = [(1, "Hello wörld", "en"), (2, None, "en"), (3, "", "en"), (None, "x<|endoftext|>y", "en"), (1, "Hello wörld", "en"), (4, "long " * 50_000 + "é" * 70_000, "en")]
     docs = table(spark, rows)

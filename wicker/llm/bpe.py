@@ -30,7 +30,7 @@ PATTERN_LOOKAHEAD = 3
 #: Rows whose ids are in memory together.
 ROWS = 200
 #: Characters of a text that are looked at together.
-BLOCK = 1 << 16
+BLOCK = 1 << 12
 #: Pieces whose tokens are remembered by a worker, and the longest of them.
 CACHED, CACHED_CHARS = 250_000, 48
 #: In place of a rank, where no merge applies.

@@ -1,11 +1,13 @@
 """Sharding, mixing and quality rules against brute force."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from wicker.llm import mixing, quality, sharding
 
@@ -139,3 +141,75 @@ def test_cutoffs_hold_the_risk(spark):
     assert not any(out[r[0]]["kept"] for r in junk) and out[10_000]["failed_rules"][0] == "symbols"
     assert sum(not out[r[0]]["kept"] for r in good) <= 0.02 * len(good)
     assert all(out[r[0]]["kept"] for r in few)
+
+
+def hashed(*values):
+    """Spark's hash of (value, bytes) in a row, signed."""
+    h = 42
+    for v, size in values:
+        h = xxhash.xxh64_intdigest(v.to_bytes(size, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_permuted(x, n, rank, around, seed=7):
+    bits = n.bit_length() - 1
+    mask, half = (1 << bits) - 1, max(1, (bits + 1) // 2)
+    for r in range(0, 12, 3):
+        a, b, c = (hashed((seed, 4), (rank, 4), (around, 8), (r + i, 4)) for i in range(3))
+        if x <= mask:
+            y = (x * (a & mask | 1) + (b & mask)) & mask
+            x = y ^ (y >> half)
+        x = (x + c % n) % n
+    return x
+
+
+def plain_targets(sizes):
+    """Weights 5, 2, 1 in turn; what is over twice a size is shared again."""
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sizes)}
+    left, full = 1.5 * sum(sizes.values()), {}
+    while True:
+        rest = [s for s in sizes if s not in full]
+        share = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = [s for s in rest if share[s] > 2 * sizes[s]]
+        if not over:
+            return full | share
+        for s in over:
+            full[s] = 2.0 * sizes[s]
+            left -= full[s]
+
+
+def test_mix_against_brute_force(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(r.choice([0, 1, 5, 30, 200]))), "en", r.choice(["a", "a", "a", "b", "ü", "c", None])) for i in range(120)]
+    block, out = 8, {x["id"]: x for x in mixing.plan(table(spark, rows), block_words=8, shard_slots=16).collect()}
+    order = sorted({x[3] for x in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: [x for x in rows if x[3] == s] for s in order}
+    sizes = {s: sum(len(x[1].split()) for x in own[s]) for s in order}
+    targets = plain_targets(sizes)
+    for rank, s in enumerate(order, 1):
+        blocks = -(-sizes[s] // block)
+        slots = math.floor(targets[s] * blocks / sizes[s] + 0.5)
+        times = Counter(plain_permuted(j % blocks, blocks, rank, j // blocks) for j in range(slots))
+        start = 0
+        for i, text, *_ in own[s]:
+            n = len(text.split())
+            pieces = []
+            for b in range(start // block, (start + n - 1) // block + 1 if n else 0):
+                lo, hi = max(b * block, start), min((b + 1) * block, start + n)
+                pieces.append((lo - start, hi - lo, times[b]))
+            assert out[i]["target"] == pytest.approx(targets[s]) and out[i]["source_size"] == sizes[s]
+            assert [tuple(p) for p in out[i]["pieces"]] == pieces and out[i]["taken"] == sum(m * t for _, m, t in pieces)
+            start += n
+
+
+def test_mix_and_chunks_keep_all_columns(spark):
+    from wicker.llm import chunks
+
+    names = ["row", "row_hash", "round", "now", "words", "pieces", "doc_id", "text", "source", "n_bytes", "spans"]
+    rows = [(*(f"{c}{i}" for c in names[:6]), i, " ".join(f"v{j}" for j in range(40)), "s", "b", "p") for i in range(3)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    mixed = mixing.mix(docs, block_words=4)
+    assert mixed.columns == names and all(x["row"] == f"row{x['doc_id']}" and x["row_hash"] == f"row_hash{x['doc_id']}" and x["spans"] == "p" for x in mixed.collect())
+    out = chunks.dedup(docs)
+    assert out.columns == [c for c in names if c != "n_bytes"] + ["n_bytes", "n_removed", "n_spans", "first_ids", "kept_text"]
+    assert sorted((x["doc_id"], x["n_removed"] > 0, x["spans"]) for x in out.collect()) == [(0, False, "p"), (1, True, "p"), (2, True, "p")]

@@ -125,21 +125,21 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs with ``n_bytes, n_removed, n_spans, first_ids, kept_text`` added.
+    """All rows and columns of docs with ``n_bytes, n_removed, n_spans, first_ids, kept_text``, which take the place of columns of those names.
 
     A null text is empty; an empty table gives no rows; a character that is cut
     apart goes with the chunk that cuts it. ``first_ids`` (sorted) is empty where
     nothing was removed.
     """
-    text, zero = F.coalesce(F.col(text_col), F.lit("")), F.lit(0).cast("long")
-    size, none = F.octet_length(text).cast("long"), F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")
-    found = repeated(docs, id_col, text_col).select(F.col("id").alias("_i"), F.col("d1").alias("_e1"), F.col("d2").alias("_e2"), F.col("spans").alias("_spans"), F.col("first_ids").alias("_firsts"))
-    keyed = docs.withColumns(dict(zip(("_d1", "_d2"), digest(F.col(text_col)), strict=True)))
+    row, text = F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    keyed = docs.select(row, F.col(id_col).alias("id"), text, *digest(F.col(text_col)))
+    none = F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")
+    found = materialize(repeated(docs, id_col, text_col).withColumnRenamed("id", "_id"))
     # Only texts that lose something somewhere are dealt out to their spans.
-    found = materialize(found)
-    texts = small(found.select(F.col("_e1").alias("_d1"), F.col("_e2").alias("_d2")).distinct(), TOUCHED)
-    whole = keyed.join(texts, ["_d1", "_d2"], "left_anti").select(*docs.columns, size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), none.alias("first_ids"), text.alias("kept_text"))
-    joined = keyed.join(texts, ["_d1", "_d2"], "left_semi").join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2")), "left")
+    texts = small(found.select("d1", "d2").distinct(), TOUCHED)
+    whole = keyed.join(texts, ["d1", "d2"], "left_anti").withColumns({"found": F.struct(F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept_text")), "first_ids": none})
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
+    joined = keyed.join(texts, ["d1", "d2"], "left_semi").join(found.withColumnsRenamed({"d1": "e1", "d2": "e2"}), same, "left")
 
     @F.pandas_udf("struct<n_removed: long, n_spans: long, kept_text: string>")
     def rest(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -150,5 +150,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             out.append((sum(b - a for a, b in runs), len(runs), kept))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_text"])
 
-    out = joined.withColumn("_rest", rest(text, F.col("_spans")))
-    return out.select(*docs.columns, size.alias("n_bytes"), "_rest.n_removed", "_rest.n_spans", F.coalesce(F.array_sort("_firsts"), none).alias("first_ids"), "_rest.kept_text").unionAll(whole)
+    cut = joined.withColumns({"found": rest("text", "spans"), "first_ids": F.coalesce(F.array_sort("first_ids"), none)})
+    every = cut.select("row", "text", "found", "first_ids").unionAll(whole.select("row", "text", "found", "first_ids"))
+    new = {"n_bytes": F.octet_length("text").cast("long"), "n_removed": F.col("found.n_removed"), "n_spans": F.col("found.n_spans"), "first_ids": F.col("first_ids"), "kept_text": F.col("found.kept_text")}
+    return every.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in new), *(c.alias(k) for k, c in new.items()))

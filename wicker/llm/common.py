@@ -1,7 +1,7 @@
 """Helpers that several training-data operators share.
 
-Operators that return the columns of their input reserve names that begin with
-an underscore; all other extra columns pass through, whatever their names.
+Operators that return the columns of their input carry each row in a struct, so
+extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wicker.operators.components import components  # noqa: F401
 from wicker.session import checkpoint_folder
 
 #: What separates words in every contract of this subpackage.
@@ -26,8 +27,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where none is set (tests, a single machine) a temporary one is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only on
+    a single machine, where none is set, a temporary one is made.
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -114,28 +115,3 @@ def running_totals(df: DataFrame, key: str, tie: list[str], totals: dict[str, st
     same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*within, "_piece"]]
     joined = local.join(small(starts), same)
     return joined.select(*df.columns, *((F.col(f"_in_{n}") + F.col(f"_from_{n}")).alias(n) for n in totals.values()))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node, root`` for every node of an undirected graph; root is the smallest of its component.
-
-    Alternates two contractions until nothing changes: each node's larger
-    neighbours, then its smaller ones, are hung under the smallest of them. The
-    number of rounds grows with the logarithm of the longest chain. Each round
-    is written to the shared checkpoint folder; the driver sees one count and
-    one checksum. Loops and repeated edges are allowed; no edges give no rows.
-    """
-    now = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
-    mark = None
-    while True:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = materialize(small.filter("a <> b").distinct())
-        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if seen == mark:
-            roots = now.select("b").distinct()
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("b", "b"))
-        mark = seen

@@ -79,7 +79,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     that is drawn anew after each round through the source; so no block is taken
     more than ``ceil(limit)`` times, and blocks are joined by index alone.
 
-    Returns ``id, source, size, row_hash, source_size, target, taken, pieces``:
+    Returns ``id, source, size, row_hash, row_hash2, source_size, target, taken, pieces``:
     ``taken`` counts words with repeats; ``pieces`` is an array of (from, words,
     times) over the document's words, empty for a document without words. Every
     draw is a hash of its place and ``seed``, so reruns agree.
@@ -90,8 +90,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """
     spark = docs.sparkSession
     size = F.size(words(F.col(text_col))).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(*docs.columns).alias("row_hash"))
-    placed = materialize(running_totals(rows, "id", ["row_hash"], {"size": "start"}, within=["source"]))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(*docs.columns).alias("row_hash"), F.xxhash64(F.lit(1), *docs.columns).alias("row_hash2"))
+    placed = materialize(running_totals(rows, "id", ["row_hash", "row_hash2"], {"size": "start"}, within=["source"]))
     sizes = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit)
     blocks = F.ceil(F.col("source_size") / block_words)
     sizes = sizes.withColumn("blocks", blocks)
@@ -127,7 +127,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     end = F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size"))
     parts = parts.join(taken, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
     piece = F.struct((begin - F.col("start")).alias("from"), (end - begin).alias("words"), F.col("times"))
-    keys = ["rank", "start", "id", "source", "size", "row_hash", "source_size", "target"]
+    keys = ["rank", "start", "id", "source", "size", "row_hash", "row_hash2", "source_size", "target"]
     mixed = parts.groupBy(*keys).agg(F.sum((end - begin) * F.col("times")).alias("taken"), F.array_sort(F.collect_list(piece)).alias("pieces"))
     none = known.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("pieces", F.array().cast(mixed.schema["pieces"].dataType))
     return mixed.unionByName(none.select(*mixed.columns)).drop("rank", "start")
@@ -142,13 +142,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``n_chars``, if there, is set to the length of the new text.
     """
     most = -(-options.get("limit", 2.0) // 1)
-    wanted = plan(docs, id_col, text_col, source_col, **options).filter("taken > 0").select("row_hash", "pieces")
-    texts = docs.withColumn("_row_hash", F.xxhash64(*docs.columns)).dropDuplicates(["_row_hash"])
-    rows = texts.join(wanted, F.col("_row_hash") == F.col("row_hash")).withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(int(most)))))
-    rows = rows.withColumn("_now", F.filter("pieces", lambda p: p["times"] >= F.col("_round"))).filter(F.size("_now") > 0)
-    rows = rows.withColumn("_words", F.when(F.size("_now") < F.size("pieces"), words(F.col(text_col))))
-    part = F.array_join(F.flatten(F.transform("_now", lambda p: F.slice("_words", (p["from"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    rows = rows.withColumn(text_col, F.when(F.col("_words").isNull(), F.col(text_col)).otherwise(part))
+    wanted = plan(docs, id_col, text_col, source_col, **options).filter("taken > 0").select("row_hash", "row_hash2", "pieces")
+    hashes = [F.xxhash64(*docs.columns).alias("row_hash"), F.xxhash64(F.lit(1), *docs.columns).alias("row_hash2")]
+    texts = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), *hashes).dropDuplicates(["row_hash", "row_hash2"])
+    rows = texts.join(wanted, ["row_hash", "row_hash2"]).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(int(most)))))
+    rows = rows.withColumn("now", F.filter("pieces", lambda p: p["times"] >= F.col("round"))).filter(F.size("now") > 0)
+    rows = rows.withColumn("words", F.when(F.size("now") < F.size("pieces"), words(F.col("text"))))
+    part = F.array_join(F.flatten(F.transform("now", lambda p: F.slice("words", (p["from"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    rows = rows.withColumn("text", F.when(F.col("words").isNull(), F.col("text")).otherwise(part))
+    new = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -109,7 +109,7 @@ def test_walk_extract_and_resolve(spark, tmp_path):
     assert all(r["accepted"] for r in resolve.quality(n).collect())
 
 
-def test_languages_and_policy(spark):
+def test_languages_and_policy(spark, tmp_path):
     def lang(path):
         return spark.range(1).select(files.language(F.lit(path)).alias("x"), files.parser_language(F.lit(path)).alias("y")).first()
 
@@ -118,7 +118,9 @@ def test_languages_and_policy(spark):
     assert [head(s) for s in ("#!/bin/bash\n", "#!/usr/bin/env A=b ruby2.7", "#!/usr/bin/python3.11 -u", "plain", "#!")] == ["Bash", "Ruby", "Python", None, None]
     binary = spark.createDataFrame([(bytearray(b"x" * 8191 + "é".encode()),), (bytearray(b"\xff\xfe"),), (bytearray(b""),)], "c binary")
     assert [r["x"] for r in binary.select(files.is_binary("c").alias("x")).collect()] == [False, True, False]
-    assert os.path.exists(os.path.join(files.repo_root(os.path.dirname(__file__)), ".git"))
+    (tmp_path / ".git").mkdir()
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    assert files.repo_root(str(tmp_path / "a" / "b")) == str(tmp_path)
 
 
 def inventory(spark, rows):

@@ -13,20 +13,33 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def session(name: str = "wicker", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; a master or cluster comes from outside."""
-    builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in conf.items():
         builder = builder.config(key, value)
     return ship(builder.getOrCreate())
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one only where it names none."""
+    """The folder that all executors share, as the session names it.
+
+    A temporary one only on a single machine whose session names none; on a
+    cluster a folder of the driver's would be missing on the executors.
+    """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wicker-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wicker-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once per application.
 

@@ -14,19 +14,25 @@ from wicker.functions.text import base_name, extension
 MAX_SIZE, SNIFF, SHEBANG = 2 << 20, 8192, 256
 
 #: Folders, endings and name parts of generated or binary files.
-GENERATED_DIRS = """
-.hg .svn .worktrees .idea .vs .vscode .eclipse .claude .cache .eggs .mypy_cache .nox .pytest_cache .ruff_cache .tox
-.venv __pycache__ htmlcov site-packages venv .npm .nyc_output .pnpm-store .yarn bower_components coverage node_modules
-.next .nuxt .svelte-kit .angular .turbo .parcel-cache .docusaurus .expo dist obj Pods .terraform .serverless bazel-bin
-bazel-out bazel-testlogs build .cargo .stack-work .dart_tool zig-cache zig-out .metals .bloop .bsp .ccls-cache .clangd
-elm-stuff _opam .cpcache .shadow-cljs .vercel .netlify .qdrant_code_embeddings vendor vendored
-""".split()
-IGNORED_SUFFIXES = """
-.tmp ~ .swp .bak .orig .pyc .pyo .o .a .so .dll .dylib .class .wasm .node .exe .rlib .elc .beam .png .jpg .jpeg .gif
-.ico .bmp .tiff .webp .svg .woff .woff2 .ttf .eot .otf .bin .dat .db .sqlite .sqlite3 .parquet .avro .pb .zip .tar .gz
-.bz2 .xz .rar .7z .jar .war .ear .min.js .min.css .map .pem .crt .key .cer .p12
-""".split()
-GENERATED_PARTS = ".d.ts .bundle. .chunk. .generated. .pb.go _pb2.py .pb2.py _grpc.pb.go".split()
+GENERATED_DIRS = [
+    ".hg", ".svn", ".worktrees", ".idea", ".vs", ".vscode", ".eclipse", ".claude", ".cache", ".eggs", ".mypy_cache",
+    ".nox", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "htmlcov", "site-packages", "venv",
+    ".npm", ".nyc_output", ".pnpm-store", ".yarn", "bower_components", "coverage", "node_modules", ".next", ".nuxt",
+    ".svelte-kit", ".angular", ".turbo", ".parcel-cache", ".docusaurus", ".expo", "dist", "obj", "Pods", ".terraform",
+    ".serverless", "bazel-bin", "bazel-out", "bazel-testlogs", "build", ".cargo", ".stack-work", ".dart_tool",
+    "zig-cache", "zig-out", ".metals", ".bloop", ".bsp", ".ccls-cache", ".clangd", "elm-stuff", "_opam", ".cpcache",
+    ".shadow-cljs", ".vercel", ".netlify", ".qdrant_code_embeddings", "vendor", "vendored",
+]
+IGNORED_SUFFIXES = [
+    ".tmp", "~", ".swp", ".bak", ".orig", ".pyc", ".pyo", ".o", ".a", ".so", ".dll", ".dylib", ".class", ".wasm",
+    ".node", ".exe", ".rlib", ".elc", ".beam", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".bmp", ".tiff", ".webp",
+    ".svg", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".bin", ".dat", ".db", ".sqlite", ".sqlite3", ".parquet",
+    ".avro", ".pb", ".zip", ".tar", ".gz", ".bz2", ".xz", ".rar", ".7z", ".jar", ".war", ".ear", ".min.js",
+    ".min.css", ".map", ".pem", ".crt", ".key", ".cer", ".p12",
+]
+GENERATED_PARTS = [
+    ".d.ts", ".bundle.", ".chunk.", ".generated.", ".pb.go", "_pb2.py", ".pb2.py", "_grpc.pb.go",
+]
 
 #: Languages by file name, by ending and by interpreter.
 BY_NAME = {
@@ -36,16 +42,30 @@ BY_NAME = {
     "BUILD": "Starlark", "BUILD.bazel": "Starlark", "WORKSPACE": "Starlark", "WORKSPACE.bazel": "Starlark",
     "requirements.txt": "Requirements", "requirements-dev.txt": "Requirements", "requirements-test.txt": "Requirements", "go.mod": "GoMod", ".env": "Dotenv", ".env.local": "Dotenv",
 }
-ENDINGS = {
-    "Bash": "bash sh", "C": "c", "Cpp": "cc ccm cpp cppm cxx h hh hpp hxx ixx", "CSharp": "cs", "Clojure": "clj cljc cljs", "CMake": "cmake", "Css": "css",
-    "Dart": "dart", "Dockerfile": "dockerfile", "Dotenv": "env", "Elixir": "ex exs", "Elm": "elm", "Erlang": "erl", "FSharp": "fs fsi fsx", "Fortran": "f03 f08 f90 f95",
-    "Go": "go", "GraphQl": "gql graphql", "Groovy": "gradle groovy", "Haskell": "hs", "Hcl": "hcl tf", "Html": "htm html", "Ini": "cfg conf ini", "Java": "java",
-    "JavaScript": "js jsx mjs cjs", "Json": "json", "Julia": "jl", "Just": "just justfile", "Kotlin": "kt kts", "Lua": "lua", "Makefile": "mk", "Markdown": "md mdx",
-    "Matlab": "m matlab mlx", "Meson": "meson", "Nix": "nix", "OCaml": "ml mli", "Perl": "pl pm", "Php": "php", "Protobuf": "proto", "Python": "py", "R": "r",
-    "Ruby": "gemspec rake rb", "Rust": "rs", "Scala": "sc scala", "Scss": "scss", "Sql": "sql", "Starlark": "bzl star", "Svelte": "svelte", "Swift": "swift", "Toml": "toml",
-    "Tsx": "tsx", "TypeScript": "ts mts cts", "Vue": "vue", "Xml": "xml xsd xsl svg", "Yaml": "yaml yml", "Zsh": "zsh",
+BY_ENDING = {
+    "bash": "Bash", "bzl": "Starlark", "c": "C", "cc": "Cpp", "ccm": "Cpp", "cfg": "Ini", "cjs": "JavaScript",
+    "clj": "Clojure", "cljc": "Clojure", "cljs": "Clojure", "cmake": "CMake", "conf": "Ini", "cpp": "Cpp",
+    "cppm": "Cpp", "cs": "CSharp", "css": "Css", "cts": "TypeScript", "cxx": "Cpp", "dart": "Dart",
+    "dockerfile": "Dockerfile", "elm": "Elm", "env": "Dotenv", "erl": "Erlang", "ex": "Elixir", "exs": "Elixir",
+    "f03": "Fortran", "f08": "Fortran", "f90": "Fortran", "f95": "Fortran", "fs": "FSharp", "fsi": "FSharp",
+    "fsx": "FSharp", "gemspec": "Ruby", "go": "Go", "gql": "GraphQl", "gradle": "Groovy", "graphql": "GraphQl",
+    "groovy": "Groovy", "h": "Cpp", "hcl": "Hcl", "hh": "Cpp", "hpp": "Cpp", "hs": "Haskell", "htm": "Html",
+    "html": "Html", "hxx": "Cpp", "ini": "Ini", "ixx": "Cpp", "java": "Java", "jl": "Julia", "js": "JavaScript",
+    "json": "Json", "jsx": "JavaScript", "just": "Just", "justfile": "Just", "kt": "Kotlin", "kts": "Kotlin",
+    "lua": "Lua", "m": "Matlab", "matlab": "Matlab", "md": "Markdown", "mdx": "Markdown", "meson": "Meson",
+    "mjs": "JavaScript", "mk": "Makefile", "ml": "OCaml", "mli": "OCaml", "mlx": "Matlab", "mts": "TypeScript",
+    "nix": "Nix", "php": "Php", "pl": "Perl", "pm": "Perl", "proto": "Protobuf", "py": "Python", "r": "R",
+    "rake": "Ruby", "rb": "Ruby", "rs": "Rust", "sc": "Scala", "scala": "Scala", "scss": "Scss", "sh": "Bash",
+    "sql": "Sql", "star": "Starlark", "svelte": "Svelte", "svg": "Xml", "swift": "Swift", "tf": "Hcl", "toml": "Toml",
+    "ts": "TypeScript", "tsx": "Tsx", "vue": "Vue", "xml": "Xml", "xsd": "Xml", "xsl": "Xml", "yaml": "Yaml",
+    "yml": "Yaml", "zsh": "Zsh",
+}
+BY_INTERPRETER = {
+    "ash": "Bash", "bash": "Bash", "bun": "JavaScript", "dash": "Bash", "deno": "JavaScript", "fish": "Bash",
+    "groovy": "Groovy", "julia": "Julia", "ksh": "Bash", "lua": "Lua", "luajit": "Lua", "node": "JavaScript",
+    "nodejs": "JavaScript", "perl": "Perl", "php": "Php", "py": "Python", "pypy": "Python", "python": "Python",
+    "python_": "Python", "r": "R", "rscript": "R", "ruby": "Ruby", "sh": "Bash", "zsh": "Zsh",
 }
-INTERPRETERS = {"Bash": "sh bash dash ash ksh fish", "Zsh": "zsh", "Python": "python python_ py pypy", "Ruby": "ruby", "Perl": "perl", "JavaScript": "node nodejs deno bun", "Lua": "lua luajit", "Php": "php", "R": "r rscript", "Julia": "julia", "Groovy": "groovy"}
 #: Endings whose parser differs from the language shown.
 PARSERS = {"h": "C", "zig": "Zig"}
 
@@ -55,13 +75,9 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for p in table.items() for x in p)), key)
 
 
-def _turned(table: dict[str, str]) -> dict[str, str]:
-    return {e: language for language, endings in table.items() for e in endings.split()}
-
-
 def language(path: Column) -> Column:
     """By the whole file name, else by its ending in lower case; null for neither."""
-    return F.coalesce(_lookup(BY_NAME, base_name(path)), _lookup(_turned(ENDINGS), F.lower(extension(path))))
+    return F.coalesce(_lookup(BY_NAME, base_name(path)), _lookup(BY_ENDING, F.lower(extension(path))))
 
 
 def shebang_language(head: Column) -> Column:
@@ -71,12 +87,12 @@ def shebang_language(head: Column) -> Column:
     first = base_name(F.get(words, F.lit(0)))
     rest = F.filter(F.slice(words, 2, 1000), lambda w: ~w.startswith("-") & ~w.contains("="))
     program = F.when(first == "env", base_name(F.get(rest, F.lit(0)))).otherwise(first)
-    return _lookup(_turned(INTERPRETERS), F.lower(F.regexp_extract(program, "^([A-Za-z_-]*)", 1)))
+    return _lookup(BY_INTERPRETER, F.lower(F.regexp_extract(program, "^([A-Za-z_-]*)", 1)))
 
 
 def parser_language(path: Column) -> Column:
     ending = F.lower(extension(path))
-    return F.coalesce(_lookup(PARSERS, ending), _lookup(_turned(ENDINGS), ending))
+    return F.coalesce(_lookup(PARSERS, ending), _lookup(BY_ENDING, ending))
 
 
 def skip_reason(path: Column, size: Column, max_size: int | None = MAX_SIZE) -> Column:

@@ -26,10 +26,10 @@ def arm_outcomes(spark, d):
     return evaluation.outcomes(pairs(spark, d))
 
 
-@query()
+@query(P + ", counts as (select count(*) filter (c > b) as wins, count(*) filter (c <> b) as n from pairs where b is not null and c is not null) select round(case when max(n) = 0 then 1.0 else sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) end, 9) as p from (select n, unnest(range(wins, n + 1)) as k from counts)")
 def arm_sign_test(spark, d):
     row = evaluation.outcomes(pairs(spark, d)).first()  # two counts
-    return spark.createDataFrame([(evaluation.sign_test(row["wins"], row["losses"]),)], "p double")
+    return spark.createDataFrame([(round(evaluation.sign_test(row["wins"], row["losses"]), 9),)], "p double")
 
 
 @query(P + "select count(*) as pairs, round(sum(c) / sum(b), 6) as ratio from pairs where b is not null and c is not null")

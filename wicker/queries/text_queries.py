@@ -114,7 +114,7 @@ def symbol_postings(spark, d):
     return P.symbol_index(spark, d).postings.select("id", "token", "tf", "length")
 
 
-# Semantic scores. The signature bonus needs 64-bit wrap-around, which SQL lacks; those queries leave it out.
+# Semantic scores. The 64-bit wrap-around of the signatures is a modulus of 128-bit numbers in SQL.
 
 
 def overlap_sql(rows: str, own: str, terms: list[str], base: str | None = None) -> str:
@@ -145,24 +145,57 @@ def semantic_breakdown(spark, d):
     return found.select("id", "qualified_name", F.round("token_overlap", 6).alias("token_overlap"), "label_affinity", "file_proximity", F.round("qname_path", 6).alias("qname_path"), "edge_proximity")
 
 
-@query()
+def signature_sql(rows: str, terms: list[str]) -> str:
+    """CTEs up to ``agree`` (id, a): the share of slots in which the signatures of a row's words and of the terms agree."""
+    whole = "18446744073709551616::uhugeint"
+    spread = lambda x, shift, factor: f"xor({x}, {x} // {1 << shift}::uhugeint) * {factor}::uhugeint % {whole}"
+    start = f"xor({minhash.OFFSET}::uhugeint, slot::uhugeint * {minhash.PRIME}::uhugeint % {whole})"
+    fed = f"list_reduce(list_prepend({start}, list_transform(range(1, len(token) + 1), lambda i: ord(token[i])::uhugeint)), lambda x, c: xor(x, c) * {minhash.PRIME}::uhugeint % {whole})"
+    steps = f"fed as (select token, slot, {fed} as h from toks, range({minhash.SLOTS}) as r(slot)), once as (select token, slot, {spread('h', 30, minhash.FINISH[0])} as h from fed), mixed as (select token, slot, {spread('h', 27, minhash.FINISH[1])} as h from once), hashed as (select token, slot, (xor(h, h // {1 << 31}::uhugeint) % {1 << 32}::uhugeint)::bigint as v from mixed)"
+    return f"worded as (select id, unnest({_NAMES}) as token from ({rows})), toks as (select token from worded union select unnest({terms}::varchar[])), {steps}, own as (select id, slot, min(v) as v from worded join hashed using (token) group by 1, 2), asked as (select slot, min(v) as v from hashed where list_contains({terms}::varchar[], token) group by 1), agree as (select id, (count(*) filter (own.v = asked.v))::double / {minhash.SLOTS} as a from own join asked using (slot) group by 1)"
+
+
+def scored_sql(rows: str, terms: list[str], anchors: list[list[str]], label: str = "", folder: str = "", extra: float = 0.0) -> str:
+    """CTEs up to ``ranking``: rows with all parts of their score, and the score."""
+    own = words_sql("name")
+    one = " union ".join(f"(select id from rows where len({own}) > 0 and list_has_all({t}, {own}) order by qualified_name, id limit 1)" for t in anchors)
+    near = "near as (select id, count(*) as k from (select distinct a.id as anchor, case when source_id = a.id then target_id else source_id end as id from edges e join anchor a on source_id = a.id or target_id = a.id where edge_type in ('CALLS', 'USES', 'IMPORTS') and source_id <> target_id) where id not in (select id from anchor) group by 1)"
+    segments = _SEGMENTS
+    path = f"case when len({segments}) = 0 then 0.0 else len(list_intersect({segments}, {terms})) / len({segments}) * 0.12 end::double"
+    parts = f"parts as (select n.*, jaccard as token_overlap, case when lower(label) = '{label}' then 0.15 else 0.0 end::double as label_affinity, case when '{folder}' <> '' and regexp_replace(file_path, '/[^/]*$', '') = '{folder}' then 0.1 else 0.0 end::double as file_proximity, case when a > 0.3 then (a - 0.3) / (1 - 0.3) * 0.1 else 0.0 end::double as simhash, {path} as qname_path, case when near.id is not null then 0.14 + {extra} * (near.k - 1) else 0.0 end::double as edge_proximity from rows n join {overlap_sql('select * from rows', _NAMES, terms)} o using (id) left join agree using (id) left join near on near.id = n.id where meets or near.id is not null)"
+    return f"rows as ({rows}), anchor as ({one}), {near}, {signature_sql('select * from rows', terms)}, {parts}, ranking as (select *, round(token_overlap + label_affinity + file_proximity + simhash + qname_path + edge_proximity, 9) as score from parts) "
+
+
+def best(columns: str, limit: int, source: str = "ranking") -> str:
+    return f"select cast(row_number() over (order by score desc, qualified_name, id desc) as int) as rank, {columns} from {source} order by rank limit {limit}"
+
+
+_ALL = "select * from nodes"
+
+
+@query(NE.rstrip() + ", " + scored_sql(_ALL, _ASK, [_ASK], "function", "part") + best("id, qualified_name, score, round(simhash, 9) as simhash", 40))
 def semantic_query(spark, d):
-    return semantic.semantic_query(P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "red plate function Brand", 40, "part/x.sql").select("rank", "id", "qualified_name", "score", "simhash")
+    return semantic.semantic_query(P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "red plate function Brand", 40, "part/x.sql").select("rank", "id", "qualified_name", "score", F.round("simhash", 9).alias("simhash"))
 
 
-@query()
+@query(NE.rstrip() + ", " + scored_sql("select * from nodes where label = 'Function'", ["red", "plate", "brand", "2"], [["red", "plate", "brand", "2"]]) + best("id, qualified_name, score", 40))
 def semantic_query_expanded(spark, d):
     return semantic.semantic_query_expanded(P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "redPlate Brand#2", 40, labels=("Function",)).select("rank", "id", "qualified_name", "score")
 
 
-@query()
+@query(NE.rstrip() + ", " + scored_sql(_ALL, ["small", "ring"], [["red", "plate"], ["hot", "rod"]], extra=0.14) + best("id, qualified_name, score, round(edge_proximity, 9) as edge_proximity", 40))
 def semantic_query_multi_anchor(spark, d):
-    return semantic.semantic_query_multi_anchor(P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "small ring", ["red plate", "hot rod"], 40).select("rank", "id", "qualified_name", "score", "edge_proximity")
+    out = semantic.semantic_query_multi_anchor(P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "small ring", ["red plate", "hot rod"], 40)
+    return out.select("rank", "id", "qualified_name", "score", F.round("edge_proximity", 9).alias("edge_proximity"))
+
 
+_DIVERSE = "shown as (" + best("*", 160) + "), few as (select * exclude (rank, r) from (select *, row_number() over (partition by file_path, name order by rank) as r from shown) where r <= 1) "
 
-@query()
+
+@query(NE.rstrip() + ", " + scored_sql(_ALL, ["red", "plate"], [["red", "plate"]]).rstrip() + ", " + _DIVERSE + best("id, file_path, name, score, round(least(greatest(score / 1.61, 0.0), 1.0), 9) as confidence", 20, "few"))
 def semantic_query_diversified(spark, d):
-    return semantic.semantic_query_diversified(P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "red plate", 20, 1).select("rank", "id", "file_path", "name", "score", "confidence")
+    out = semantic.semantic_query_diversified(P.words(spark, d), P.edges(spark, d, ("CALLS", "IMPORTS")), "red plate", 20, 1)
+    return out.select("rank", "id", "file_path", "name", "score", F.round("confidence", 9).alias("confidence"))
 
 
 _RELATED = "related as (select n.id, n.qualified_name, n.id in (select id from near) as edge_adjacent, round(jaccard + case when n.id in (select id from near) then 0.5 else 0.0 end, 9) as score from nodes n join " + overlap_sql("select * from nodes", words_sql("name"), ["red", "plate"], _NAMES) + " using (id) where n.id not in (select id from anchor) and (meets or n.id in (select id from near)))"
@@ -181,7 +214,10 @@ def semantic_query_fielded(spark, d):
     return semantic.semantic_query_fielded(P.nodes(spark, d), "economy ring", "doc", 50).select("rank", "id", "score")
 
 
-@query()
+_LINED = "lined as (select n.id, slot, coalesce(v, 4294967295) as v from nodes n cross join range(64) as r(slot) left join own using (id, slot)), other as (select slot, v from lined where id = 25)"
+
+
+@query(N.rstrip() + ", " + signature_sql(_ALL, ["x"]) + f", {_LINED} select id, string_agg(l.v::varchar, ',' order by slot) as signature, (count(*) filter (l.v = o.v))::double / 64 as jaccard, cast(count(*) filter (l.v <> o.v) as int) as hamming, bool_and(l.v = 4294967295) as empty from lined l join other o using (slot) group by 1")
 def minhash_signatures(spark, d):
     own = P.words(spark, d)
     one = own.filter("id = 25").select(F.col("signature").alias("other"))

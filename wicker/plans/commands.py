@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wicker import schema
-from wicker.operators import graph, lexical, semantic, stats, store, traverse, vector
+from wicker.operators import graph, lexical, semantic, stats, store, traverse
+from wicker.operators import vector as vectors
 from wicker.operators.graph import IN, OUT
 from wicker.operators.graphquery import GraphQuery, ranked
 
+#: Symbols of a fused search whose neighbours count.
+STRONG = 5
+
 
 @dataclass
 class Index:
@@ -23,8 +27,8 @@ class Index:
     vectors: DataFrame | None = None
     status: str = "fresh"
     cap: int = 40
-    #: Weights of the fused search: literal lines, symbols, words, neighbours.
-    fusion: dict[str, float] = field(default_factory=lambda: {"literal": 1.0, "symbol": 0.8, "semantic": 0.6, "near": 0.3})
+    #: Weights of the fused search: literal lines, symbols, words, vectors, neighbours.
+    fusion: dict[str, float] = field(default_factory=lambda: {"literal": 1.0, "symbol": 0.8, "semantic": 0.6, "vector": 0.6, "near": 0.3})
 
     def _fresh(self) -> None:
         if self.status not in ("fresh", "unknown"):
@@ -69,8 +73,8 @@ class Index:
     def brief(self, name: str) -> dict[str, DataFrame]:
         return {"symbol": self._ids(name), "callers": self.who_calls(name), "callees": self.callees(name)}
 
-    def path(self, source: str, target: str) -> DataFrame:
-        return traverse.shortest_path(self.edges, self._one(source), self._one(target), ["CALLS"])
+    def path(self, source: str, target: str, hops: int = schema.MAX_HOPS) -> DataFrame:
+        return traverse.shortest_path(self.edges, self._one(source), self._one(target), ["CALLS"], hops)
 
     def locate(self, path: str, line: int) -> DataFrame:
         places = self.nodes.sparkSession.createDataFrame([(path, line)], "file_path string, line long")
@@ -99,10 +103,17 @@ class Index:
 
     def vector_search(self, query: list[float], k: int = 10) -> DataFrame:
         self._fresh()
-        return vector.with_nodes(vector.search(self.vectors, query, k), self.nodes)
+        return vectors.with_nodes(vectors.search(vectors.guarded(self.vectors), query, k), self.nodes)
+
+    def semantic_search(self, query: str, limit: int = 20) -> DataFrame:
+        self._fresh()
+        return semantic.semantic_query(self.nodes, self.edges, query, limit)
 
-    def fused_search(self, query: str, limit: int = 20) -> DataFrame:
-        """Symbols by reciprocal ranks in symbol search, word search and the files of matching lines, weighted by ``fusion``."""
+    def fused_search(self, query: str, limit: int = 20, vector: list[float] | None = None) -> DataFrame:
+        """Symbols by reciprocal ranks in symbol search, word search, the lines that match and the vectors near ``vector``, weighted by ``fusion``.
+
+        The neighbours of the STRONG best ones get a little too.
+        """
         self._fresh()
         share = lambda df, kind: df.select("id", (F.lit(self.fusion[kind]) / (F.col("rank") + 60)).alias("part"))
         parts = share(lexical.search_symbols(self.nodes, query, 200), "symbol").union(share(semantic.semantic_query(self.nodes, self.edges, query, 200), "semantic"))
@@ -110,7 +121,12 @@ class Index:
             lines = lexical.search_code(self.content, query, 200).select(F.col("rel_path").alias("file_path"), "line", "rank")
             hits = graph.enclosing(self.nodes, lines).select("id", "rank")
             parts = parts.union(share(hits, "literal"))
-        total = parts.groupBy("id").agg(F.round(F.sum("part"), 9).alias("score"))
+        if vector is not None and self.vectors is not None:
+            parts = parts.union(share(vectors.search(self.vectors, vector, 200).withColumnRenamed("node_id", "id"), "vector"))
+        own = parts.groupBy("id").agg(F.sum("part").alias("part"))
+        strong = own.orderBy(F.desc(F.round("part", 9)), "id").limit(STRONG).select("id")
+        beside = semantic.near(self.edges, strong).select("id", (F.lit(self.fusion["near"]) / 60).alias("part"))
+        total = own.union(beside).groupBy("id").agg(F.round(F.sum("part"), 9).alias("score"))
         return ranked(self.nodes.join(total, "id"), [F.desc("score"), F.col("qualified_name"), F.col("id")], limit)
 
     def context(self, query: str, lines: int = 60) -> DataFrame:
@@ -123,5 +139,14 @@ class Index:
     def stats(self) -> DataFrame:
         return stats.graph_stats(self.nodes, self.edges)
 
+    def diagnostics(self, files: DataFrame, skips: DataFrame, providers: DataFrame) -> DataFrame:
+        return stats.diagnostics(self.nodes, self.edges, files, skips, providers)
+
+    def status_figures(self) -> DataFrame:
+        """``figure, n``: how large the index is, and its status."""
+        count = lambda figure, rows: rows.agg(F.lit(figure).alias("figure"), F.count("*").alias("n"))
+        status = self.nodes.sparkSession.createDataFrame([(f"status {self.status}", 1)], "figure string, n long")
+        return count("nodes", self.nodes).union(count("edges", self.edges)).union(count("files", self.nodes.select("file_path").distinct())).union(status)
+
     def expand(self, packs: DataFrame, pack: str, now: int) -> DataFrame:
         return store.live_packs(packs, F.lit(now)).filter(F.col("id") == pack)

@@ -6,14 +6,17 @@ extra columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wicker.operators.components import components  # noqa: F401
-from wicker.session import checkpoint_folder
+from wicker.session import checkpoint_folder, dropped
 
 #: What separates words in every contract of this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,6 +37,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder, which takes less room than a checkpoint where numbers repeat.
+
+    The tables of an application are deleted when its driver ends.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    if not getattr(spark.sparkContext, "_wicker_swept", False):
+        spark.sparkContext._wicker_swept = True
+        atexit.register(_sweep, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the context may be gone
+        dropped(spark, folder)
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """The same rows; from now on the session hands Python at most so many at a time.
 

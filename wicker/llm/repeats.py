@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicker.llm.common import digest, materialize, only, small, small_batches
+from wicker.llm.common import digest, only, small, small_batches, written
 from wicker.llm.suffix_array import common_prefixes, suffix_array
 
 #: Bytes hashed at each place; of all such in a string of the length looked for, the smallest hash is its anchor.
@@ -244,7 +244,7 @@ def _counted_runs(regions: DataFrame, length: int, full: bool) -> DataFrame:
         again = strings.groupBy(*place).agg(F.count("*").alias("times"), F.min("r").alias("least")).filter("times > 1").select(*place, "least")
         return strings.join(small(again, AGAIN), place)
 
-    first = materialize(twice(regions.mapInPandas(coarse, f"key long, r long, {digests}")).groupBy("key", "r").agg(F.collect_list(F.struct("kind", "o", (F.col("r") == F.col("least")).alias("first"))).alias("hits")))  # of one region
+    first = written(twice(regions.mapInPandas(coarse, f"key long, r long, {digests}")).groupBy("key", "r").agg(F.collect_list(F.struct("kind", "o", (F.col("r") == F.col("least")).alias("first"))).alias("hits")))  # of one region
     later = twice(regions.join(first, ["key", "r"]).mapInPandas(fine, f"key long, r long, {digests}")).select("key", "r", "kind", "o")
     sure = first.select("key", "r", F.inline("hits")).filter(F.col("kind") == LONG).select("key", "r", "kind", "o")
     size = F.when(F.col("kind") == LONG, length + apart).otherwise(length)
@@ -286,16 +286,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     least = min(length, passage or length)
     rows = _rows(docs, id_col, text_col)
-    found = materialize(_find_regions(small_batches(rows), least, length))
+    found = written(_find_regions(small_batches(rows), least, length))
     documents = found.drop("copy", *_REGION)
     every = found.select(*_OWNER, F.inline(F.arrays_zip(*_REGION)))
-    likely = materialize(only(every, every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), ["key"]))
+    likely = written(only(every, every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), ["key"]))
     where = F.struct(*_OWNER, "lo", "hi", "at")
-    regions = materialize(likely.groupBy("key", "r").agg(F.count("*").alias("n"), F.min(where).alias("w")).select("key", "r", "n", "w.*"))
+    regions = written(likely.groupBy("key", "r").agg(F.count("*").alias("n"), F.min(where).alias("w")).select("key", "r", "n", "w.*"))
     size = F.col("hi") - F.col("lo")
     whole = regions.filter("n > 1").select("key", "r", F.array(F.struct(F.lit(0).alias("a"), size.alias("b"), (size >= length).alias("full"))).alias("runs"))
 
-    several = materialize(regions.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"))  # on its own, so that a join with it can split a hot key
+    several = written(regions.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"))  # on its own, so that a join with it can split a hot key
     crowded = several.filter(F.col("kinds") > TOGETHER)
 
     def fetched(keys: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                     out += [(x["key"], x["r"], x["at"], data[x["lo"] : x["hi"]]) for x in needs]
                 yield pd.DataFrame(out, columns=["key", "r", "at", "bytes"])
 
-        needs = materialize(needs)
+        needs = written(needs)
         cut = only(rows.select(*_OWNER, "text"), needs, _OWNER).join(needs, _OWNER).dropDuplicates(_OWNER)
         return cut.select("text", "needs").mapInPandas(fetch, "key long, r long, at int, bytes binary")
 
@@ -333,17 +333,17 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     found_runs = whole.unionByName(small.mapInArrow(sort, "key long, r long, runs array<struct<a: int, b: int, full: boolean>>"))
 
     if not crowded.isEmpty():
-        hot = materialize(fetched(crowded))
+        hot = written(fetched(crowded))
         found_runs = found_runs.unionByName(_counted_runs(hot, least, least == length))
         if least < length:
-            long = materialize(found_runs.filter(F.exists("runs", lambda x: x["b"] - x["a"] >= length)).join(crowded, "key", "left_semi").select("key", "r").distinct())
+            long = written(found_runs.filter(F.exists("runs", lambda x: x["b"] - x["a"] >= length)).join(crowded, "key", "left_semi").select("key", "r").distinct())
             found_runs = found_runs.unionByName(_counted_runs(hot.join(long, ["key", "r"], "left_semi"), length, True))
 
-    runs = materialize(found_runs.groupBy("key", "r").agg(F.flatten(F.collect_list("runs")).alias("runs")))  # of one region
+    runs = written(found_runs.groupBy("key", "r").agg(F.flatten(F.collect_list("runs")).alias("runs")))  # of one region
     shifted = F.transform("runs", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b"), x["full"].alias("full")))
     places = likely.groupBy("d1", "d2", "key", "lo").agg(F.min("copy").alias("copy"), F.first("r").alias("r"))
     spans = places.join(runs, ["key", "r"]).select(*_OWNER, F.inline(shifted)).groupBy(*_OWNER).agg(F.collect_set(F.struct("a", "b", "full")).alias("spans"))
-    return documents, materialize(spans)
+    return documents, written(spans)
 
 
 def _full(spans) -> list[tuple[int, int]]:

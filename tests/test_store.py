@@ -197,3 +197,10 @@ def test_evaluation(spark):
     rows = spark.createDataFrame([("The Foo-Bar, then baz.",), (None,)], "answer string")
     got = evaluation.graded(rows, ["foo bar"], ["qux"], ["foo", "baz"], 1).collect()
     assert got[0]["passed"] and not got[1]["passed"]
+
+
+def test_ignore_rules():
+    rules = {"": files.ignore_rules("# remark\n*.log\n!keep.log\nbuild/\n/top.txt\ndocs/**/draft*\na[0-9].md \n"), "sub": files.ignore_rules("!x.log\n*.tmp\n")}
+    out = ["x.log", "sub/y.log", "build/a.txt", "p/build/b.txt", "top.txt", "docs/draft1.txt", "docs/a/b/draft.md", "a3.md", "sub/z.tmp", ".hidden", "p/.git/HEAD", "build/keep.log"]
+    kept = ["keep.log", "sub/x.log", "build", "p/top.txt", "ax.md", "z.tmp", "sub/deep/x.txt", "docs/drift"]
+    assert [p for p in out if not files.is_ignored(p, rules)] == [] and [p for p in kept if files.is_ignored(p, rules)] == []

@@ -25,6 +25,6 @@ def query(sql: str | None = None):
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """All queries and their SQL; the modules register themselves on import."""
-    from wicker.queries import command_queries, evaluation_queries, graph_queries, resolve_queries, store_queries, text_queries, vector_queries  # noqa: F401
+    from wicker.queries import command_queries, evaluation_queries, graph_queries, resolve_queries, source_queries, store_queries, text_queries, vector_queries  # noqa: F401
 
     return QUERIES, ORACLES

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 from wicker.functions.text import base_name, extension
 
 MAX_SIZE, SNIFF, SHEBANG = 2 << 20, 8192, 256
+#: Files whose content is in memory together.
+READ = 50
 
 #: Folders, endings and name parts of generated or binary files.
 GENERATED_DIRS = [
@@ -122,18 +125,64 @@ def is_binary(content: pd.Series) -> pd.Series:
     return content.map(check)
 
 
-def glob_pattern(glob: str) -> str:
-    """A regular expression: ``**`` crosses folders, ``*`` and ``?`` don't; a folder covers what is in it."""
-    glob, out, i = glob.rstrip("/"), "", 0
+def _glob(glob: str) -> str:
+    """A regular expression: ``**`` crosses folders, ``*`` and ``?`` don't; brackets are a choice of characters."""
+    out, i = "", 0
     while i < len(glob):
+        end = glob.find("]", i + 2) if glob[i] == "[" else -1
         if glob.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
         elif glob.startswith("**", i):
             out, i = out + ".*", i + 2
+        elif end > 0:
+            inside = glob[i + 1 : end].replace("\\", "\\\\")
+            out, i = out + ("[^/" + inside[1:] if inside[0] in "!^" else "[" + inside) + "]", end + 1
+        elif glob[i] == "\\" and i + 1 < len(glob):
+            out, i = out + re.escape(glob[i + 1]), i + 2
         else:
-            c = glob[i]
-            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, "\\" + c if not c.isalnum() and c not in "/_-" else c), i + 1
-    return f"^{out}(?:/.*)?$"
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(glob[i], re.escape(glob[i])), i + 1
+    return out
+
+
+def glob_pattern(glob: str) -> str:
+    """As ``_glob``; a folder covers what is in it."""
+    return f"^{_glob(glob.rstrip('/'))}(?:/.*)?$"
+
+
+#: A rule of an ignore file: whether it lets in again, whether it holds for folders only, and its pattern.
+Rule = tuple[bool, bool, str]
+
+
+def ignore_rules(text: str) -> list[Rule]:
+    """The rules of an ignore file: ``#`` remarks, ``!`` lets in again, a ``/`` at the end means folders, one before it anchors."""
+    out = []
+    for line in text.splitlines():
+        line = re.sub(r"(?<!\\)[ \t]+$", "", line)
+        if line and not line.startswith("#"):
+            again, line = line.startswith("!"), line.removeprefix("!")
+            folder, line = line.endswith("/"), line.rstrip("/")
+            anchored, line = "/" in line, line.removeprefix("/")
+            if line:
+                out.append((again, folder, f"^{'' if anchored else '(?:.*/)?'}{_glob(line)}$"))
+    return out
+
+
+def is_ignored(path: str, rules: dict[str, list[Rule]], is_folder: bool = False) -> bool:
+    """Whether a path is hidden or ignored, by the rules of each folder (relative, "" the root): the last that matches decides.
+
+    What lies in an ignored folder cannot be let in again.
+    """
+    parts = path.split("/")
+    for n in range(1, len(parts) + 1):
+        now, out = "/".join(parts[:n]), parts[n - 1].startswith(".")
+        for above in range(n):
+            folder = "/".join(parts[:above])
+            for again, only_folders, pattern in rules.get(folder, ()):
+                if (n < len(parts) or is_folder or not only_folders) and re.match(pattern, now[len(folder) + 1 if folder else 0 :]):
+                    out = not again
+        if out:
+            return True
+    return False
 
 
 def overridden(path: Column, globs: list[str]) -> Column:
@@ -158,15 +207,72 @@ def repo_root(path: str) -> str:
     return now
 
 
+def listed(root: str) -> list[str]:
+    """The relative paths of a local tree in order, without hidden files, links and what ignore files leave out.
+
+    An ignored folder is not looked into. Folders that cannot be read are left out.
+    """
+    rules: dict[str, list[Rule]] = {}
+    out, todo = [], [""]
+    while todo:
+        folder = todo.pop()
+        try:
+            entries = list(os.scandir(os.path.join(root, folder)))
+        except OSError:
+            continue
+        for name in (".gitignore", ".ignore"):
+            if any(e.name == name and e.is_file(follow_symlinks=False) for e in entries):
+                with open(os.path.join(root, folder, name), encoding="utf-8", errors="replace") as f:
+                    rules.setdefault(folder, []).extend(ignore_rules(f.read()))
+        for e in entries:
+            path = f"{folder}/{e.name}".removeprefix("/")
+            inner = e.is_dir(follow_symlinks=False)
+            if not e.is_symlink() and not is_ignored(path, rules, inner):
+                if inner:
+                    todo.append(path)
+                elif e.is_file(follow_symlinks=False):
+                    out.append(path)
+    return sorted(out)
+
+
+def stable_read(path: str, tries: int = 3) -> tuple[int, int, bytes] | None:
+    """Size, time and content of a file that did not change while it was read; None if it always did or is gone."""
+    for _ in range(tries):
+        try:
+            before = os.stat(path)
+            with open(path, "rb") as f:
+                content = f.read()
+            after = os.stat(path)
+        except OSError:
+            return None
+        if (before.st_size, before.st_mtime_ns, before.st_ino) == (after.st_size, after.st_mtime_ns, after.st_ino) and len(content) == after.st_size:
+            return after.st_size, after.st_mtime_ns, content
+    return None
+
+
 def walk(spark: SparkSession, root: str, globs: list[str] | None = None, max_size: int | None = MAX_SIZE) -> DataFrame:
-    """Inventory below a root, one read of each file: path, size, time, digest, language, skip reason and content.
+    """Inventory below a root: path, size, time, content, digest, skip reason, language and whether it is binary.
 
-    Spark's own file source lists and reads, so a root may lie in any store it knows.
+    A local tree is listed on the driver by its names alone (see ``listed``), and
+    its files are read by the workers, which must see it under the same path. A
+    root with a scheme is read by Spark's own file source, which knows no ignore
+    files and leaves out names that begin with a dot or an underscore.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    rel = F.regexp_replace(F.replace(base, F.lit(os.path.abspath(root) + "/"), F.lit("")), "^/+", "")
-    rows = files.select(rel.alias("rel_path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
+    if "://" in root:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        rel = F.replace(F.col("path"), F.lit(root.rstrip("/") + "/"), F.lit(""))
+        rows = files.select(rel.alias("rel_path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
+    else:
+        top = os.path.abspath(root.removeprefix("file:"))
+
+        def read(batches):
+            for batch in batches:
+                for at in range(0, len(batch), READ):
+                    found = [(p, x) for p in batch["rel_path"].iloc[at : at + READ] if (x := stable_read(os.path.join(top, p)))]
+                    yield pd.DataFrame([(p, *x) for p, x in found], columns=["rel_path", "size", "mtime_ns", "content"])
+
+        paths = spark.createDataFrame([(p,) for p in listed(top)], "rel_path string")
+        rows = paths.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(read, "rel_path string, size long, mtime_ns long, content binary")
     if globs:
         rows = rows.filter(overridden(F.col("rel_path"), globs))
     head = F.decode(F.substring("content", 1, SHEBANG), "ISO-8859-1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +47,23 @@ class Snapshots:
         draft = f"{self.folder}/draft-{name}"
         self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(draft)
         self._fs.mkdirs(self._path(f"{self.folder}/current"))
-        if self.generation() >= n or not self._fs.rename(self._path(draft), self._path(f"{self.folder}/current/{n}")):
+        if self.generation() >= n or not self._moved(draft, f"{self.folder}/current/{n}"):
             raise RuntimeError("another writer published first")
         return n
 
+    def _moved(self, source: str, target: str) -> bool:
+        """Rename, unless the target is there: a plain rename would then move into it."""
+        context = self.spark.sparkContext
+        files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), context._jsc.hadoopConfiguration())
+        none = context._gateway.new_array(context._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(self._fs.makeQualified(self._path(source)), self._fs.makeQualified(self._path(target)), none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        return True
+
 
 def follow(spark: SparkSession, changes: str, schema: str, snapshots: Snapshots, key: list[str], order: str, checkpoint: str) -> None:
     """Apply all changes that have come into a folder (Parquet) since the last call; the last of a key holds.

@@ -9,6 +9,8 @@ from wicker import schema
 from wicker.operators.graphquery import ranked
 
 OUT, IN = ("source_id", "target_id"), ("target_id", "source_id")
+#: Lines of a file whose spans and places meet.
+BLOCK_LINES = 512
 
 
 def edge_scan(edges: DataFrame, node: int, ends: tuple[str, str], kind: str | None, limit: int) -> DataFrame:
@@ -67,12 +69,14 @@ def first_neighbours(nodes: DataFrame, edges: DataFrame, node: int, ends: tuple[
 def enclosing(nodes: DataFrame, places: DataFrame) -> DataFrame:
     """For each place (``file_path, line``) the innermost node whose span covers it.
 
-    An equality on the file carries the join; the span is checked on top. Latest
-    start wins, then earliest end, qualified name and id. Places without a node
-    are left out.
+    An equality on the file and a block of BLOCK_LINES lines carries the join, so
+    that a long file's spans do not meet all its places; the span is checked on
+    top. Latest start wins, then earliest end, qualified name and id. Places
+    without a node are left out.
     """
-    spans = nodes.select("id", "label", "qualified_name", "file_path", "start_line", "end_line")
-    hits = places.join(spans, "file_path").filter((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
+    block = lambda c: F.floor(F.col(c) / BLOCK_LINES)
+    spans = nodes.filter("start_line <= end_line").select("id", "label", "qualified_name", "file_path", "start_line", "end_line", F.explode(F.sequence(block("start_line"), block("end_line"))).alias("block"))
+    hits = places.withColumn("block", block("line")).join(spans, ["file_path", "block"]).filter((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
     best = F.min(F.struct((-F.col("start_line")).alias("a"), "end_line", "qualified_name", "id", "label"))
     inner = hits.groupBy(*places.columns).agg(best.alias("x"))
     return inner.select(*places.columns, "x.id", "x.label", "x.qualified_name", (-F.col("x.a")).alias("start_line"), "x.end_line")

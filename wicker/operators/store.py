@@ -68,14 +68,18 @@ def pruned_cache(cache: DataFrame) -> DataFrame:
     """The most recently used entries, once there are too many rows or bytes.
 
     Over CACHE_ROWS rows it keeps KEEP_ROWS; over CACHE_BYTES bytes it keeps as many
-    as fit into KEEP_SHARE of that. A cache has a bounded number of rows by design.
+    as fit into KEEP_SHARE of that. Only the first rows are ever brought together.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("last_accessed"), "model_key", "query_text")
-    sums = cache.agg(F.count("*").alias("_rows"), F.sum("bytes").alias("_bytes"))
-    rows = cache.withColumns({"_n": F.row_number().over(order), "_upto": F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))}).crossJoin(F.broadcast(sums))
-    full, heavy = F.col("_rows") > CACHE_ROWS, F.col("_bytes") > CACHE_BYTES
-    keep = (~full | (F.col("_n") <= KEEP_ROWS)) & (~heavy | (F.col("_upto") <= KEEP_SHARE * CACHE_BYTES))
-    return rows.filter(keep).drop("_n", "_upto", "_rows", "_bytes")
+    order = [F.desc("last_accessed"), F.col("model_key"), F.col("query_text")]
+    sums = cache.agg(F.count("*").alias("_rows"), F.sum("bytes").alias("_bytes")).first()  # one row
+    rows, size = sums["_rows"], sums["_bytes"] or 0
+    if rows > CACHE_ROWS:
+        cache = cache.orderBy(*order).limit(KEEP_ROWS)  # a top-k, so only so many rows of each task meet
+    if size > CACHE_BYTES:
+        upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        first = cache if rows > CACHE_ROWS else cache.orderBy(*order).limit(CACHE_ROWS)
+        cache = first.withColumn("_upto", F.sum("bytes").over(upto)).filter(F.col("_upto") <= KEEP_SHARE * CACHE_BYTES).drop("_upto")
+    return cache
 
 
 def collected(entries: DataFrame, now: float, ttl: float, high: int, low: int) -> DataFrame:

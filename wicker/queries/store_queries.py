@@ -12,6 +12,7 @@ from wicker.queries.graph_queries import NE, N
 from wicker.queries.registry import query
 from wicker.session import checkpoint_folder
 from wicker.sources import adapters as A
+from wicker.sources import published as P
 from wicker.sources import files
 from wicker.streaming import incremental
 
@@ -42,14 +43,14 @@ _CHANGED = "select id + 1000000 as id, project, 'Renamed' as label, name, qualif
 
 @query(N + f", fresh as ({_CHANGED}) select coalesce(n.id, f.id) as id, coalesce(f.label, n.label) as label, coalesce(f.start_line, n.start_line) as start_line, coalesce(n.qualified_name, f.qualified_name) as qualified_name from nodes n full join fresh f on f.qualified_name = n.qualified_name")
 def upsert_nodes(spark, d):
-    n = A.nodes(spark, d)
+    n = P.nodes(spark, d)
     new = n.filter("id % 40 = 4").withColumns({"id": F.col("id") + 1_000_000, "label": F.lit("Renamed"), "start_line": F.col("start_line") + 1})
     return store.upsert_nodes(n, new).select("id", "label", "start_line", "qualified_name")
 
 
 @query(NE + "select id, source_id, target_id, edge_type, case when source_id % 3 = 0 then '{\"n\":1}' else properties end as properties from edges where edge_type = 'IMPORTS' union all select 5, 1, 2, 'IMPORTS', '{\"n\":1}'")
 def upsert_edges(spark, d):
-    e = A.edges(spark, d, ("IMPORTS",))
+    e = P.edges(spark, d, ("IMPORTS",))
     new = e.filter("source_id % 3 = 0").withColumns({"id": F.lit(7).cast("long"), "properties": F.lit('{"n":1}')})
     extra = e.limit(1).withColumns({"id": F.lit(5).cast("long"), "source_id": F.lit(1).cast("long"), "target_id": F.lit(2).cast("long"), "properties": F.lit('{"n":1}')})
     return store.upsert_edges(e, new.unionByName(extra)).select("id", "source_id", "target_id", "edge_type", "properties")
@@ -58,14 +59,14 @@ def upsert_edges(spark, d):
 @query(NE.rstrip() + f", {A.VECTORS_SQL}, kept as (select id from nodes where file_path not in ('part/Brand#3.sql', 'geo/nation.sql')) select 'nodes' as kind, count(*) as n from kept union all select 'edges', count(*) from edges where source_id in (select id from kept) and target_id in (select id from kept) union all select 'vectors', count(*) from vectors where node_id in (select id from kept)")
 def delete_cascades(spark, d):
     paths = spark.createDataFrame([("part/Brand#3.sql",), ("geo/nation.sql",)], "rel_path string")
-    left = store.delete_files(A.nodes(spark, d), A.edges(spark, d), A.vectors(spark, d), paths)
+    left = store.delete_files(P.nodes(spark, d), P.edges(spark, d), A.vectors(spark, d), paths)
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in zip(("nodes", "edges", "vectors"), left, strict=True)]
     return counts[0].union(counts[1]).union(counts[2])
 
 
 @query(f"with {A.CONTENT_SQL} select rel_path, line, case when rel_path like 'doc/1%' then translate(snippet, 'abcdefghij', 'ABCDEFGHIJ') else snippet end as snippet from content where not (rel_path like 'doc/1%' and line > 2)")
 def replace_content(spark, d):
-    c = A.content(spark, d)
+    c = P.content(spark, d)
     new = c.filter("rel_path like 'doc/1%' and line <= 2").withColumn("snippet", F.translate("snippet", "abcdefghij", "ABCDEFGHIJ"))
     every = store.replace_files(c, new)
     return every.filter("not (rel_path like 'doc/1%' and line > 2)").select("rel_path", "line", "snippet")
@@ -151,7 +152,7 @@ def text_functions(spark, d):
 def diagnostics(spark, d):
     skips = A.read(spark, d, "pages").select(F.concat(F.lit("r"), (F.col("page_id") % 3).cast("string")).alias("reason"))
     providers = spark.createDataFrame([("Go", "accepted", []), ("Lua", "accepted", ["Calls"])], "language string, status string, unsupported array<string>")
-    return stats.diagnostics(A.nodes(spark, d), A.edges(spark, d), A.read(spark, d, "documents"), skips, providers)
+    return stats.diagnostics(P.nodes(spark, d), P.edges(spark, d), A.read(spark, d, "documents"), skips, providers)
 
 
 @query("select event_type, n, round(mean, 6) as mean, largest, p50, p95, error_rate from (select event_type, count(*) as n, avg(value) as mean, max(value) as largest, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, avg(case when value > 60 then 1.0 else 0.0 end) as error_rate from (select *, row_number() over (partition by event_type order by event_id desc) as r from events) where r <= 500 group by 1)")

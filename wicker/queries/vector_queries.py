@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wicker.operators import vector
 from wicker.queries.registry import query
 from wicker.sources import adapters as A
+from wicker.sources import published as P
 
 V = f"with {A.VECTORS_SQL} "
 ASKED = [((i * 37) % 19 - 9) / 9.0 for i in range(64)]
@@ -30,7 +31,7 @@ def vector_search(spark, d):
 @query(V.rstrip() + f", {_BEST}, hits as (select cast(row_number() over (order by score desc, qualified_name, chunk_idx, node_id) as int) as rank, * from best order by rank limit 10), named as (select cast(p_partkey as bigint) * 8 + 4 as id, p_type || '::' || p_brand || '::Part' || p_partkey || 'OfSize' || p_size as q, 'part/' || p_brand || '.sql' as f from part) select rank, node_id, coalesce(q, qualified_name) as qualified_name, coalesce(f, file_path) as file_path from hits left join named on id = node_id")
 def vector_hits_with_nodes(spark, d):
     rows = vector.scoped(A.vectors(spark, d), project="tpch", graph_generation=2)
-    return vector.with_nodes(vector.search(rows, ASKED, 10), A.nodes(spark, d)).select("rank", "node_id", "qualified_name", "file_path")
+    return vector.with_nodes(vector.search(rows, ASKED, 10), P.nodes(spark, d)).select("rank", "node_id", "qualified_name", "file_path")
 
 
 _UNIT = "(list_max(list_transform(vector, lambda x: abs(x)))::double / 127.0)"
@@ -70,7 +71,7 @@ def pruned_vectors(spark, d):
 
 @query(f"with {A.NODES_SQL} select count(*) as n from nodes where label in ('Function', 'Method', 'Class', 'Interface', 'Type', 'Enum', 'Struct', 'Trait', 'TypeAlias')")
 def embedding_candidates(spark, d):
-    return vector.candidates(A.nodes(spark, d)).agg(F.count("*").alias("n"))
+    return vector.candidates(P.nodes(spark, d)).agg(F.count("*").alias("n"))
 
 
 @query("select item_id, 'task: code retrieval | query: ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) as prompt from benchmark")

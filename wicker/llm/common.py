@@ -28,19 +28,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder.
+    """Cut lineage through a Parquet table, which takes less room than a checkpoint where values repeat.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only on
-    a single machine, where none is set, a temporary one is made.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder, which takes less room than a checkpoint where numbers repeat.
-
-    The tables of an application are deleted when its driver ends.
+    It lies in the folder that the cluster names in ``spark.checkpoint.dir``; only
+    on a single machine, where none is set, in a temporary one. The tables of an
+    application are deleted when its driver ends.
     """
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark)}/tables-{spark.sparkContext.applicationId}"

@@ -75,20 +75,18 @@ def covering(most: int) -> list[tuple[int, ...]]:
     return out
 
 
-def _near(values: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Pairs of distinct fingerprints of one posting that share ``BYTES - most`` bytes and differ in 1 to ``most`` bits."""
+def _near(values: np.ndarray, most: int) -> Iterator[pd.DataFrame]:
+    """Pairs ``a, b`` of distinct fingerprints of one posting that share ``BYTES - most`` bytes and differ in 1 to ``most`` bits."""
     values = np.unique(values)
-    out = []
     for start in range(0, len(values), 512):
         block = values[start : start + 512]
         for other in range(start, len(values), 512):
-            x = block[:, None] ^ values[None, other : other + 512]
-            tally = (x.view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(axis=2)
-            i, j = np.nonzero(tally >= BYTES - most)
-            verified = np.bitwise_count(x[i, j].view(np.uint64)) <= most
-            i, j = i[verified] + start, j[verified] + other
-            out += [(int(values[p]), int(values[q])) for p, q in zip(i[i < j], j[i < j], strict=True)]
-    return out
+            x = (block[:, None] ^ values[None, other : other + 512]).view(np.uint64)
+            tally = sum(((x >> np.uint64(8 * p)) & np.uint64(255)) == 0 for p in range(BYTES))
+            i, j = np.nonzero((tally >= BYTES - most) & (np.bitwise_count(x) <= most))
+            i, j = i + start, j + other
+            if len(i := i[(up := i < j)]):
+                yield pd.DataFrame({"a": values[i], "b": values[j[up]]})
 
 
 def _mask(positions) -> int:
@@ -129,8 +127,8 @@ def links(prints: DataFrame, most: int = 2) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = {p for fps in batch["fps"] for p in _near(np.asarray(fps, np.int64), most)}
-            yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
+            for fps in batch["fps"]:
+                yield from _near(np.asarray(fps, np.int64), most)
 
     for rows, keys in gathered:
         groups = rows.join(keys.select("c", "v"), ["c", "v"], "left_semi").groupBy("c", "v").agg(F.collect_list("fp").alias("fps"))
@@ -154,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    spread = distinct.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # the index makes many rows of one
+    spread = distinct.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))  # the index makes many rows of one; by "fp" Spark would leave this out
     under = components(links(spread, most))
     rooted = distinct.join(under, distinct["fp"] == under["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wicker.llm.common import materialize, only, small, small_batches
 
 #: Characters in a row that the model looks at; the character that stands before each text.
-ORDER, BEFORE = 5, " "
+ORDER, BEFORE = 4, " "
 #: Parts into which trusted documents fall; each is judged by a model of the others.
 FOLDS = 2
 #: Ids of trusted documents that are broadcast, at most; with more, the texts are dealt out to them.
@@ -215,7 +215,7 @@ def score(docs: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     table = materialize(table)
     shards = max(1, -(-table.count() // SHARD))
-    entries = materialize(_entries(table, shards).repartition("shard")) if shards > 1 else materialize(_entries(table, shards))
+    entries = materialize(_entries(table, shards))
     kind = docs.schema["id"].dataType.simpleString()
     keyed = small_batches(docs).withColumn("row", F.xxhash64("id", "text"))
     sums = None

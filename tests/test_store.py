@@ -1,5 +1,6 @@
 """Resolution, extraction, files, freshness, caches, snapshots and evaluation on hand-built cases."""
 
+import hashlib
 import json
 import os
 import textwrap
@@ -204,3 +205,29 @@ def test_ignore_rules():
     out = ["x.log", "sub/y.log", "build/a.txt", "p/build/b.txt", "top.txt", "docs/draft1.txt", "docs/a/b/draft.md", "a3.md", "sub/z.tmp", ".hidden", "p/.git/HEAD", "build/keep.log"]
     kept = ["keep.log", "sub/x.log", "build", "p/top.txt", "ax.md", "z.tmp", "sub/deep/x.txt", "docs/drift"]
     assert [p for p in out if not files.is_ignored(p, rules)] == [] and [p for p in kept if files.is_ignored(p, rules)] == []
+
+
+def test_git_fingerprint(tmp_path):
+    from wicker.sources import git
+
+    a, b = "a" * 40, "b" * 40
+    own = tmp_path / "r" / ".git"
+    (own / "refs" / "heads").mkdir(parents=True)
+    root = str(tmp_path / "r")
+    assert git.fingerprint(str(tmp_path))["head"] is None and git.fingerprint(root)["head"] is None
+    (own / "HEAD").write_text("ref: refs/heads/main\n")
+    (own / "packed-refs").write_text(f"# pack\n{b} refs/heads/main\n^{a}\n")
+    assert (git.fingerprint(root)["branch"], git.fingerprint(root)["head"], git.fingerprint(root)["index_sha"]) == ("main", b, None)
+    (own / "refs" / "heads" / "main").write_text(a + "\n")
+    (own / "index").write_bytes(b"x")
+    found = git.fingerprint(root, "s")
+    assert found["head"] == a and found["index_sha"] == hashlib.sha256(b"x").hexdigest() and found["scope_key"] == "s"
+    (own / "HEAD").write_text(b + "\n")
+    assert (git.fingerprint(root)["branch"], git.fingerprint(root)["head"]) == (None, b)
+    linked = tmp_path / "w"
+    linked.mkdir()
+    (own / "worktrees" / "w").mkdir(parents=True)
+    (own / "worktrees" / "w" / "HEAD").write_text("ref: refs/heads/main")
+    (own / "worktrees" / "w" / "commondir").write_text("../..")
+    (linked / ".git").write_text(f"gitdir: {own}/worktrees/w\n")
+    assert git.fingerprint(str(linked))["head"] == a

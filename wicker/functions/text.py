@@ -128,3 +128,8 @@ def fold_accents(s: pd.Series) -> pd.Series:
 
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def second_stamp(seconds: Column) -> Column:
+    """A second since 1970 as the store writes it down; ``F.unix_timestamp()`` gives the present one."""
+    return F.concat(F.lit("1970-01-01T00:00:00Z+"), seconds.cast("long").cast("string"), F.lit("s"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from wicker.functions import text
 from wicker.operators import extract, resolve, store, vector
 from wicker.operators.components import saved
 from wicker.queries.graph_queries import N, NE
@@ -233,6 +234,23 @@ def published_snapshot(spark, d):
     return snapshots.read()
 
 
+@query("select doc_id, n_chars from documents where doc_id % 2 = 0")
+def maintained_snapshot(spark, d):
+    """Old generations go, and the last is there again in one file."""
+    docs = A.read(spark, d, "documents").select("doc_id", "n_chars")
+    snapshots = incremental.Snapshots(spark, f"{checkpoint_folder(spark)}/maintained-{uuid.uuid4().hex}")
+    snapshots.publish(docs)
+    snapshots.publish(docs.filter("doc_id % 2 = 0").repartition(7))
+    snapshots.compact(1, "doc_id")
+    assert snapshots.vacuum() == 2 and len(snapshots.read().inputFiles()) == 1 and snapshots.generation() == 3
+    return snapshots.read()
+
+
+@query("select event_id, '1970-01-01T00:00:00Z+' || (epoch_us(ts) // 1000000) || 's' as stamp from events")
+def second_stamps(spark, d):
+    return A.read(spark, d, "events").select("event_id", text.second_stamp(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)).alias("stamp"))
+
+
 # Vectors
 
 

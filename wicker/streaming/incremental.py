@@ -51,6 +51,21 @@ class Snapshots:
             raise RuntimeError("another writer published first")
         return n
 
+    def compact(self, files: int, *order: str) -> int:
+        """Publish the present generation again in so many files, sorted within each; what many small writes left."""
+        rows = self.read()
+        return self.publish(rows.repartition(files, *order).sortWithinPartitions(*order) if order else rows.coalesce(files))
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete all generations but the last ``keep``, and drafts of builds that failed; how many folders went."""
+        kept = {self.spark.read.text(f"{self.folder}/current/{n}").first()[0] for n in self._pointers()[-keep:]}
+        old = [s.getPath() for s in self._fs.listStatus(self._path(self.folder)) if s.getPath().getName() not in kept | {"current"}]
+        for n in self._pointers()[:-keep]:
+            self._fs.delete(self._path(f"{self.folder}/current/{n}"), True)
+        for path in old:
+            self._fs.delete(path, True)
+        return len(old)
+
     def _moved(self, source: str, target: str) -> bool:
         """Rename, unless the target is there: a plain rename would then move into it."""
         context = self.spark.sparkContext

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from wicker.functions import minhash
 from wicker.functions.text import camel_tokens, dir_name, path_segments
+from wicker.operators.components import saved
 from wicker.operators.graphquery import ranked, without_pseudo
 from wicker.operators.lexical import query_terms
 
 #: The bonuses, and the agreement from which the signature counts.
 LABEL, FILE, SIGNATURE, PATH, EDGE = 0.15, 0.10, 0.10, 0.12, 0.14
 LEAST_AGREEMENT, RELATED = 0.30, 0.5
+#: Anchors that are broadcast to the edges, at most.
+ANCHORS = 100_000
 MOST = 1 + LABEL + FILE + SIGNATURE + PATH + EDGE
 #: Edge types whose neighbours are near, and the labels that a query can name.
 NEAR_TYPES = ["CALLS", "USES", "IMPORTS"]
@@ -78,7 +81,8 @@ def resolve_anchor(rows: DataFrame, terms: list[str]) -> DataFrame:
 def near(edges: DataFrame, anchors: DataFrame, kinds: list[str] = NEAR_TYPES) -> DataFrame:
     """``id, anchors``: nodes one hop from any anchor, either way, and from how many; not the anchors."""
     typed = edges.filter(F.col("edge_type").isin(kinds)).filter("source_id <> target_id")
-    ids = F.broadcast(anchors.select(F.col("id").alias("anchor")).distinct())  # a few names
+    ids = saved(anchors.select(F.col("id").alias("anchor")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= ANCHORS else ids
     out = typed.join(ids, F.col("source_id") == F.col("anchor")).select("anchor", F.col("target_id").alias("id"))
     back = typed.join(ids, F.col("target_id") == F.col("anchor")).select("anchor", F.col("source_id").alias("id"))
     found = out.union(back).distinct().groupBy("id").agg(F.count("*").alias("anchors"))

@@ -40,10 +40,16 @@ def materialize(df: DataFrame) -> DataFrame:
         spark.sparkContext._wicker_swept = True
         atexit.register(_sweep, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
+    made(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made(spark: SparkSession) -> list[str]:
+    """The tables of this application so far, in order; who has written out a result may delete those made for it."""
+    return spark.sparkContext.__dict__.setdefault("_wicker_made", [])
+
+
 def _sweep(spark: SparkSession, folder: str) -> None:
     with contextlib.suppress(Exception):  # the context may be gone
         dropped(spark, folder)

@@ -20,8 +20,8 @@ FOLDS = 2
 IDS = 2_000_000
 #: Entries of the model that go to the documents together.
 SHARD = 2_000_000
-#: Texts whose characters are looked at together, and characters of a text.
-TEXTS, BLOCK = 200, 1 << 18
+#: Characters of texts that are looked at together, and of one text.
+CHARACTERS, BLOCK = 1 << 20, 1 << 18
 #: Chances below this are those of no character at all.
 LEAST = 1e-12
 _MODEL = ["model", "lang"]
@@ -40,6 +40,13 @@ def grams(text: str, order: int = ORDER) -> Iterator[np.ndarray]:
         yield np.lib.stride_tricks.sliding_window_view(x, order)
 
 
+def portions(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows in a row whose texts have about CHARACTERS characters together, or one longer text."""
+    share = batch["text"].str.len().cumsum() // CHARACTERS
+    for _, part in batch.groupby(share.to_numpy(), sort=False):
+        yield part
+
+
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each different row is first, and which of them each row is; rows are numbered in the digits of their characters."""
     seen = np.zeros(0x110000, bool)
@@ -78,14 +85,14 @@ def place(characters: np.ndarray, shards: int) -> np.ndarray:
 def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``model, lang, gram, n``: how often each ``order`` characters in a row occur in docs (models, lang, text).
 
-    ``models`` are the models that a text belongs to. Each batch adds up what it
-    reads before anything is dealt out.
+    ``models`` are the models that a text belongs to. What is read together is
+    added up before anything is dealt out.
     """
 
     def run(batches):
-        for batch in batches:
+        for part in (part for batch in batches for part in portions(batch)):
             held: dict[tuple[int, str], list[np.ndarray]] = {}
-            for models, lang, text in zip(batch["models"], batch["lang"], batch["text"], strict=True):
+            for models, lang, text in zip(part["models"], part["lang"], part["text"], strict=True):
                 for m in models:
                     held.setdefault((int(m), lang), []).extend(grams(text, order))
             for (model, lang), rows in held.items():
@@ -225,8 +232,7 @@ def score(docs: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
 
         def run(batches, s=s, shared=shared):
             for batch in batches:
-                for at in range(0, len(batch), TEXTS):
-                    part = batch.iloc[at : at + TEXTS]
+                for part in portions(batch):
                     total = np.full(len(part), np.nan)
                     for (m, lang), own in part.reset_index(drop=True).groupby(["model", "lang"]):
                         blocks = [(i, x[place(x[:, -2], shards) == s] if shards > 1 else x) for i, t in zip(own.index, own["text"], strict=True) for x in grams(t, order)]

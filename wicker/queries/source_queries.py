@@ -71,13 +71,14 @@ def skip_reasons_by_name(spark, d):
 
 @query("select item_id, 'b' || item_id % 3 || '/f' || item_id || '.txt' as rel_path, strlen(text) as size, sha256(text) as sha256 from benchmark where item_id % 5 <> 4 and item_id % 3 <> 0")
 def walked_files(spark, d):
-    """A tree of files, its ignore files, and links and hidden histories left out."""
+    """A tree of files, its ignore files, and links and hidden histories left out.
+
+    It lies in the shared folder, where the driver writes it and the workers read it.
+    """
     import os
-    import tempfile
 
-    root = tempfile.mkdtemp(prefix="wicker-walk-")
-    if not spark.sparkContext._jsc.sc().isLocal():
-        raise RuntimeError("the files of this query are made on one machine")
+    root = f"{files.mounted(checkpoint_folder(spark))}/walk-{uuid.uuid4().hex}"
+    os.makedirs(root)
     for r in A.read(spark, d, "benchmark").collect():  # a fixed small table
         folder = f"{root}/b{r['item_id'] % 3}"
         os.makedirs(folder, exist_ok=True)

@@ -207,6 +207,14 @@ def repo_root(path: str) -> str:
     return now
 
 
+def mounted(folder: str) -> str:
+    """The path of a folder of the local file system, be it named with a scheme or not; fails on any other file system."""
+    scheme, path = re.match(r"(?:([A-Za-z][\w+.-]*):)?(.*)", folder).groups()
+    if scheme not in (None, "file"):
+        raise RuntimeError(f"{folder} is not mounted as a folder")
+    return os.path.abspath(re.sub("^/+", "/", path))
+
+
 def listed(root: str) -> list[str]:
     """The relative paths of a local tree in order, without hidden files, links and what ignore files leave out.
 

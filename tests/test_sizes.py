@@ -1,9 +1,11 @@
 """Queries as a cluster and larger tables need them."""
 
 import os
+import time
 
 import pytest
 
+from wicker.operators import evaluation
 from wicker.queries import source_queries
 from wicker.session import checkpoint_folder
 from wicker.sources import files
@@ -22,3 +24,16 @@ def test_mounted():
     assert files.mounted("file:///a/b:c") == files.mounted("file:/a/b:c") == files.mounted("/a/b:c") == "/a/b:c"
     with pytest.raises(RuntimeError):
         files.mounted("hdfs://host/a")
+
+
+def test_sign_test_of_many_pairs():
+    n, tail = 20_000, 0
+    term = 1
+    for k in range(n, 10_039, -1):
+        tail, term = tail + term, term * k // (n - k + 1)
+    exact = tail * 10**15 // 2**n / 10**15
+    started = time.monotonic()
+    assert abs(evaluation.sign_test(10_040, 9_960) - exact) < 1e-12 and abs(evaluation.sign_test(9_960, 10_040) - (1 - exact)) < 0.01
+    assert evaluation.sign_test(0, n) == 1.0 and 0 <= evaluation.sign_test(n, 0) < 1e-300
+    assert abs(evaluation.sign_test(5 * 10**7, 5 * 10**7) - 0.5) < 1e-4
+    assert time.monotonic() - started < 10

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, exp, log, log1p, pi, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from wicker.functions.text import canonical
 
 COST_TOLERANCE = 1.10
+#: Pairs up to which the sign test is in whole numbers.
+EXACT = 1000
 
 
 def paired(rows: DataFrame, task: str, arm: str, value: str, base: str, candidate: str) -> DataFrame:
@@ -23,10 +25,38 @@ def outcomes(pairs: DataFrame) -> DataFrame:
     return pairs.agg(*(F.count_if(x).alias(n) for n, x in (("wins", F.col("c") > F.col("b")), ("losses", F.col("c") < F.col("b")), ("ties", F.col("c") == F.col("b")))))
 
 
+def _stirling(n: int) -> float:
+    """The logarithm of n! over its approximation by Stirling, for large n."""
+    return 1 / (12 * n) - 1 / (360 * n**3) + 1 / (1260 * n**5)
+
+
+def _chance(n: int, k: int) -> float:
+    """How likely exactly k of n are, for n over EXACT and k from n / 2 on; by differences from n / 2, which do not cancel out."""
+    if n - k <= 15:  # the series does not hold there
+        return exp(log(comb(n, k)) - n * log(2))
+    d = (2 * k - n) / n
+    off = n / 2 * ((1 + d) * log1p(d) + (1 - d) * log1p(-d))
+    return sqrt(n / (2 * pi * k * (n - k))) * exp(_stirling(n) - _stirling(k) - _stirling(n - k) - off)
+
+
+def _tail(n: int, k: int) -> float:
+    """How likely k or more of n are, for k over n / 2: from there on terms only fall, and those that add nothing are left out."""
+    term, total = _chance(n, k) if k <= n else 0.0, 0.0
+    while k <= n and total + term > total:
+        total, term, k = total + term, term * (n - k) / (k + 1), k + 1
+    return total
+
+
 def sign_test(wins: int, losses: int) -> float:
-    """One-sided: how likely at least so many wins are if either is as likely."""
+    """One-sided: how likely at least so many wins are if either is as likely.
+
+    Exact up to EXACT pairs; beyond that as doubles, in a number of steps that
+    grows with the root of the pairs.
+    """
     n = wins + losses
-    return sum(comb(n, k) for k in range(wins, n + 1)) / 2**n if n else 1.0
+    if n <= EXACT:
+        return sum(comb(n, k) for k in range(wins, n + 1)) / 2**n if n else 1.0
+    return _tail(n, wins) if 2 * wins > n else 1.0 - _tail(n, losses + 1)
 
 
 def ratio_of_totals(pairs: DataFrame) -> DataFrame:

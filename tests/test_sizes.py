@@ -1,12 +1,13 @@
 """Queries as a cluster and larger tables need them."""
 
+import math
 import os
 import time
 
 import pytest
 
 from wicker.operators import evaluation
-from wicker.queries import source_queries
+from wicker.queries import evaluation_queries, source_queries
 from wicker.session import checkpoint_folder
 from wicker.sources import files
 
@@ -37,3 +38,27 @@ def test_sign_test_of_many_pairs():
     assert evaluation.sign_test(0, n) == 1.0 and 0 <= evaluation.sign_test(n, 0) < 1e-300
     assert abs(evaluation.sign_test(5 * 10**7, 5 * 10**7) - 0.5) < 1e-4
     assert time.monotonic() - started < 10
+
+
+def arms(spark, folder, values):
+    """Events of one user each; a list for either arm."""
+    rows = [(user, kind, x) for user, both in enumerate(values) for kind, own in zip(("view", "click"), both, strict=True) for x in own]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").repartition(3).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_equal_arms_tie_in_whatever_order_they_are_added(spark, tmp_path):
+    d = arms(spark, tmp_path, [([0.1, 0.2, 0.3], [0.6]), ([0.7, 0.1, 0.2], [1.0]), ([0.1] * 10, [0.5]), ([1.0], [2.0]), ([None], [2.0])])
+    assert tuple(evaluation_queries.arm_outcomes(spark, d).first()) == (1, 1, 2)
+
+
+def test_flags_of_equal_arms(spark, tmp_path):
+    d = arms(spark, tmp_path, [([0.1, 0.2, 0.3], [0.6]), ([0.7, 0.1, 0.2], [1.0]), ([0.1] * 10, [0.5])])
+    assert {r["task"]: (r["flag"], r["delta"]) for r in evaluation_queries.flagged_pairs(spark, d).collect()} == {0: ("even", 0.0), 1: ("even", 0.0), 2: ("strong win", -0.5)}
+
+
+def test_sums_of_any_doubles(spark):
+    total = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x double").agg(evaluation.exact_sum("x").alias("s")).first()["s"]
+    assert total(1e300, 1.0) == 1e300 and total(1e-300, None) == 1e-300 and total(None) is None and total() is None
+    assert math.isnan(total(float("nan"), 1.0)) and total(float("inf"), 1.0) == math.inf and total(9e25, 9e25) == 1.8e26
+    assert total(0.1, 0.2, None) == 0.3

@@ -20,6 +20,17 @@ def paired(rows: DataFrame, task: str, arm: str, value: str, base: str, candidat
     return rows.groupBy(task).agg(pick(base).alias("b"), pick(candidate).alias("c"))
 
 
+def exact_sum(value: str) -> Column:
+    """The sum of numbers as they are written in decimals, the same in whatever order they come; a double.
+
+    As soon as one has more than 12 places or 26 digits before the point, or is
+    no number, doubles are added.
+    """
+    x = F.col(value).cast("double")
+    decimal = x.try_cast("decimal(38,12)")
+    return F.coalesce(F.when(F.bool_and(F.coalesce(decimal.cast("double") == x, F.lit(False)) | x.isNull()), F.try_sum(decimal)).cast("double"), F.sum(x))
+
+
 def outcomes(pairs: DataFrame) -> DataFrame:
     """Wins, losses and ties of complete pairs; larger is better."""
     return pairs.agg(*(F.count_if(x).alias(n) for n, x in (("wins", F.col("c") > F.col("b")), ("losses", F.col("c") < F.col("b")), ("ties", F.col("c") == F.col("b")))))

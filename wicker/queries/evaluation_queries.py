@@ -12,7 +12,7 @@ P = "with pairs as (select user_id as task, sum(value) filter (event_type = 'vie
 
 
 def pairs(spark, d):
-    e = A.read(spark, d, "events").groupBy(F.col("user_id").alias("task"), "event_type").agg(F.sum("value").alias("value"))
+    e = A.read(spark, d, "events").groupBy(F.col("user_id").alias("task"), "event_type").agg(evaluation.exact_sum("value").alias("value"))
     return evaluation.paired(e, "task", "event_type", "value", "view", "click")
 
 

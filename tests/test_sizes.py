@@ -5,8 +5,11 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from wicker.operators import evaluation
+from wicker import schema
+from wicker.operators import evaluation, traverse
+from wicker.plans.commands import Index
 from wicker.queries import evaluation_queries, source_queries
 from wicker.session import checkpoint_folder
 from wicker.sources import files
@@ -62,3 +65,25 @@ def test_sums_of_any_doubles(spark):
     assert total(1e300, 1.0) == 1e300 and total(1e-300, None) == 1e-300 and total(None) is None and total() is None
     assert math.isnan(total(float("nan"), 1.0)) and total(float("inf"), 1.0) == math.inf and total(9e25, 9e25) == 1.8e26
     assert total(0.1, 0.2, None) == 0.3
+
+
+def hub(spark, n=10_050):
+    """A node on which n others depend, and one more on the last of them."""
+    ids = spark.range(n + 2)
+    name = F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 6, "0"))
+    nodes = ids.select("id", F.lit("p").alias("project"), F.lit("Function").alias("label"), name.alias("name"), name.alias("qualified_name"), F.lit("f.rs").alias("file_path"), (F.col("id") * 10 + 1).alias("start_line"), (F.col("id") * 10 + 9).alias("end_line"), F.lit("{}").alias("properties"))
+    target = F.when(F.col("id") == n + 1, n).otherwise(0).cast("long")
+    edges = ids.filter("id > 0").select("id", F.lit("p").alias("project"), F.col("id").alias("source_id"), target.alias("target_id"), F.lit("IMPORTS").alias("edge_type"), F.lit("{}").alias("properties"))
+    return nodes, edges
+
+
+def test_impact_follows_all_edges_of_a_node(spark):
+    nodes, edges = hub(spark)
+    assert traverse.impact(nodes, edges, 0, 2, 20_000).groupBy("hops").count().orderBy("hops").collect() == [(1, 10_050), (2, 1)]
+
+
+def test_impact_commands_follow_all_edges_of_a_node(spark):
+    nodes, edges = hub(spark, 4_200)
+    index = Index(nodes, edges)
+    hunks = spark.createDataFrame([("f.rs", 5)], "file_path string, line long")
+    assert index.impact("n000000", 2).count() == index.impact_since(hunks, 2).count() == 4_201 < schema.MAX_ROWS

@@ -87,3 +87,8 @@ def test_impact_commands_follow_all_edges_of_a_node(spark):
     index = Index(nodes, edges)
     hunks = spark.createDataFrame([("f.rs", 5)], "file_path string, line long")
     assert index.impact("n000000", 2).count() == index.impact_since(hunks, 2).count() == 4_201 < schema.MAX_ROWS
+
+
+def test_subgraph_has_all_edges_of_a_node(spark):
+    seen, inner = traverse.subgraph(hub(spark)[1], 0, ["IMPORTS"], 2)
+    assert seen.count() == 10_052 and inner.count() == 10_051

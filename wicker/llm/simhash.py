@@ -258,6 +258,21 @@ def _wide_prints(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return rows.mapInPandas(run, f"id {kind}, d1 long, d2 long, copy long, node long, size long, f0 long, f1 long, f2 long, keys array<long>")
 
 
+def proposed(every: DataFrame, most: int = 2) -> DataFrame:
+    """``a, b``: each node (node, f0) with the first of its group by SimHash, the smaller id first.
+
+    Groups are the components of ``links``: fingerprints that the index over byte
+    positions finds within ``most`` bits. So there are fewer pairs than nodes,
+    however many of them are near each other.
+    """
+    prints = every.select("f0").distinct()
+    spread = prints.select(F.col("f0").alias("fp")).repartition(int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))  # as in near_duplicates
+    under = components(links(spread, most)).select(F.col("node").alias("f0"), "root")
+    grouped = every.join(under, "f0", "left").select("node", F.coalesce("root", "f0").alias("root"))
+    heads = grouped.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last").select("root", "a")
+    return grouped.join(heads, "root").filter("a < node").select("a", F.col("node").alias("b"))
+
+
 def _forest(nodes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     """The edges of a minimum spanning forest by differing bits, up to ``most``: no more than there are nodes."""
     left, out = np.arange(1, len(nodes)), []
@@ -285,13 +300,16 @@ def _allowed(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Nodes and links of documents (id, text, d1, d2, copy) whose shingle sets have that Jaccard similarity.
 
-    Documents with the same shingle set are one node. The inverted index has a
-    posting for each of a node's ``rarest`` shingles, in which all pairs of that
-    similarity meet. Keys that no other node has count against a node: it shares
-    at most its ``reach``, the shingles that are left, and two nodes go on only if
-    that is enough for both of them.
+    Documents with the same shingle set are one node. Pairs come first from the
+    SimHash of the set, by the inverted index over its byte positions (see
+    ``proposed``). Texts of that similarity mostly differ in more bits than bytes
+    can be shared, so a second index has a posting for each of a node's
+    ``rarest`` shingles, in which all pairs of that similarity meet. Keys that no
+    other node has count against a node: it shares at most its ``reach``, the
+    shingles that are left, and two nodes go on only if that is enough for both of
+    them.
 
-    1. Of a posting only a spanning forest by differing bits goes on at first, so
+    1. All that SimHash proposes goes on. Of a posting of shingles only a spanning forest by differing bits goes on at first, so
        groups of near copies cost as much as they have members; a posting with
        over TOGETHER members is dealt into parts by a hash that differs from key
        to key. These candidates are verified on their whole texts.
@@ -359,7 +377,7 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
                 found.update(_forest(x[:, 0], x[:, 1:].view(np.uint64), FAR))
             yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
-    pairs = twos.select("a", "b").union(full.filter("n = 2").select("a", "b"))
+    pairs = proposed(every).union(twos.select("a", "b")).union(full.filter("n = 2").select("a", "b"))
     tried = materialize(allowed(pairs.distinct()).union(allowed(gathered.select("members").mapInPandas(run, "a long, b long").distinct(), FAR)).distinct())
     found = verified(tried)
 

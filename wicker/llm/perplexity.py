@@ -22,6 +22,8 @@ IDS = 2_000_000
 SHARD = 2_000_000
 #: Characters of texts that are looked at together, and of one text.
 CHARACTERS, BLOCK = 1 << 20, 1 << 18
+#: Numbers up to which a table tells which of them are there, even for few characters.
+DENSE = 1 << 21
 #: Chances below this are those of no character at all.
 LEAST = 1e-12
 _MODEL = ["model", "lang"]
@@ -47,19 +49,33 @@ def portions(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
+def _numbered(x: np.ndarray, kinds: int) -> tuple[np.ndarray, int]:
+    """Values below ``kinds`` as numbers without gaps, in their order, and how many there are; no sort unless they are few for their range."""
+    if kinds > max(DENSE, 4 * len(x)):
+        own, number = np.unique(x, return_inverse=True)
+        return number, len(own)
+    seen = np.zeros(kinds, bool)
+    seen[x] = True
+    own = np.flatnonzero(seen)
+    number = np.empty(kinds, np.int64)  # only what was seen is read
+    number[own] = np.arange(len(own))
+    return number[x], len(own)
+
+
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each different row is first, and which of them each row is; rows are numbered in the digits of their characters."""
-    seen = np.zeros(0x110000, bool)
-    seen[rows.ravel()] = True
-    digit, base = np.cumsum(seen) - 1, int(seen.sum())
-    if base ** rows.shape[1] >= 1 << 63:
-        _, first, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)
-        return first, which.ravel()
-    number = np.zeros(len(rows), np.int64)
+    """A place of each different row, and which of them each row is; rows are numbered character by character, without gaps."""
+    if not rows.size:
+        return np.arange(min(len(rows), 1)), np.zeros(len(rows), np.int64)
+    seen = np.zeros(int(rows.max()) + 1, bool)
     for x in rows.T:
-        number = number * base + digit[x]
-    _, first, which = np.unique(number, return_index=True, return_inverse=True)
-    return first, which
+        seen[x] = True
+    digit, base = np.cumsum(seen) - 1, int(np.count_nonzero(seen))
+    which, kinds = digit[rows[:, 0]], base
+    for x in rows.T[1:]:
+        which, kinds = _numbered(which * base + digit[x], kinds * base)
+    at = np.empty(kinds, np.int64)
+    at[which] = np.arange(len(rows))
+    return at, which
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -91,16 +107,16 @@ def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def run(batches):
         for part in (part for batch in batches for part in portions(batch)):
-            held: dict[tuple[int, str], list[np.ndarray]] = {}
-            for models, lang, text in zip(part["models"], part["lang"], part["text"], strict=True):
-                for m in models:
-                    held.setdefault((int(m), lang), []).extend(grams(text, order))
-            for (model, lang), rows in held.items():
-                every = np.concatenate([np.zeros((0, order), np.uint32), *rows])
-                first, which = _distinct(every)
-                every, n = every[first], np.bincount(which, minlength=len(first))
+            for lang, own in part.groupby("lang", dropna=False):
+                blocks = [(i, x) for i, text in enumerate(own["text"]) for x in grams(text, order)]
+                every = np.concatenate([np.zeros((0, order), np.uint32), *(x for _, x in blocks)])
+                at, which = _distinct(every)
+                every, owner = every[at], np.repeat(np.array([i for i, _ in blocks], np.int64), [len(x) for _, x in blocks])
                 whole = every.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").decode()
-                yield pd.DataFrame({"model": model, "lang": lang, "gram": [whole[i : i + order] for i in range(0, len(whole), order)], "n": n})
+                found = np.array([whole[i : i + order] for i in range(0, len(whole), order)], object)
+                for model in sorted({int(m) for models in own["models"] for m in models}):
+                    n = np.bincount(which[np.array([model in models for models in own["models"]])[owner]], minlength=len(at))
+                    yield pd.DataFrame({"model": model, "lang": lang, "gram": found[n > 0], "n": n[n > 0]})
 
     counted = docs.select("models", "lang", "text").mapInPandas(run, "model long, lang string, gram string, n long")
     return counted.groupBy(*_MODEL, "gram").agg(F.sum("n").alias("n"))

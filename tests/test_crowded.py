@@ -38,3 +38,8 @@ def crowded(spark, tmp_path_factory):
 def test_command_impact_since_of_a_crowded_nation(spark, crowded):
     found, wanted = compared(spark, crowded, "command_impact_since")
     assert found == wanted and len(found) == 5_000
+
+
+def test_impact_of_a_crowded_region(spark, crowded):
+    found, wanted = compared(spark, crowded, "impact")
+    assert found == wanted and len(found) == 10_000

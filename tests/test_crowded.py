@@ -43,3 +43,8 @@ def test_command_impact_since_of_a_crowded_nation(spark, crowded):
 def test_impact_of_a_crowded_region(spark, crowded):
     found, wanted = compared(spark, crowded, "impact")
     assert found == wanted and len(found) == 10_000
+
+
+def test_subgraph_nodes_of_a_crowded_nation(spark, crowded):
+    found, wanted = compared(spark, crowded, "subgraph_nodes")
+    assert found == wanted and len(found) > 12_000

@@ -48,3 +48,11 @@ def test_impact_of_a_crowded_region(spark, crowded):
 def test_subgraph_nodes_of_a_crowded_nation(spark, crowded):
     found, wanted = compared(spark, crowded, "subgraph_nodes")
     assert found == wanted and len(found) > 12_000
+
+
+def test_flags_at_equal_sums_and_halves(spark, tmp_path):
+    arms = [([0.7, 0.1, 0.2], [0.5]), ([0.1] * 10, [0.5]), ([0.1, 0.2, 0.3], [0.6]), ([0.6], [0.3, 0.2, 0.1]), ([1.1, 2.2], [3.4]), ([2.0], [None])]
+    rows = [(user, kind, x) for user, both in enumerate(arms) for kind, own in zip(("view", "click"), both, strict=True) for x in own]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    found, wanted = compared(spark, tmp_path, "flagged_pairs", events="select * replace (cast(value as decimal(18, 2)) as value) from {}")
+    assert [(*row[:2], *map(float, row[2:])) for row in wanted] == found and [row[1] for row in found] == ["strong win", "strong win", "even", "even", "regression"]

@@ -1,5 +1,6 @@
 """Queries against their SQL on tables with more neighbours of one node, or closer sums, than the test tables have."""
 
+import math
 import os
 
 import duckdb
@@ -56,3 +57,13 @@ def test_flags_at_equal_sums_and_halves(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, event_type string, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     found, wanted = compared(spark, tmp_path, "flagged_pairs", events="select * replace (cast(value as decimal(18, 2)) as value) from {}")
     assert [(*row[:2], *map(float, row[2:])) for row in wanted] == found and [row[1] for row in found] == ["strong win", "strong win", "even", "even", "regression"]
+
+
+def test_flags_round_and_divide_as_their_sql(spark, tmp_path):
+    arms = [([832.0], [304.46]), ([960.0], [244.26]), ([1472.0], [2350.14]), ([0.0], [1.5]), ([0.0, 0.0], [0.0]), ([0.0], [-1.5]), ([2e-7], [1e-7]), ([1e-300], [1e300]), ([math.inf], [1.0]), ([0.1, 0.2], [0.3]), ([0.7, 0.2], [0.45, None])]
+    rows = [(user, kind, x) for user, both in enumerate(arms) for kind, own in zip(("view", "click"), both, strict=True) for x in own]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    found, wanted = compared(spark, tmp_path, "flagged_pairs")
+    assert list(map(repr, found)) == list(map(repr, wanted))
+    assert [row[1] for row in found if row[0] in (9, 10)] == ["win", "win"]
+    assert [row[3] for row in found if row[0] < 4] == [0.365938, 0.254437, 1.596563, math.inf]

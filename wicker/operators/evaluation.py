@@ -31,6 +31,28 @@ def exact_sum(value: str) -> Column:
     return F.coalesce(F.when(F.bool_and(F.coalesce(decimal.cast("double") == x, F.lit(False)) | x.isNull()), F.try_sum(decimal)).cast("double"), F.sum(x))
 
 
+def settled_sum(value: str) -> Column:
+    """The sum of doubles where it is the same in whatever order they come, that is up to two of them; beyond, the exact one."""
+    return F.when(F.count(value) <= 2, F.sum(F.col(value).cast("double"))).otherwise(exact_sum(value))
+
+
+def rounded(value: str, places: int) -> Column:
+    """A double to so many places as DuckDB does it: the double times the power of ten, its halves away from zero.
+
+    Spark's own takes the halves of the number as it is written in decimals,
+    which can be one in the last place off for the same double.
+    """
+    x, unit = F.col(value), F.lit(float(10**places))
+    size = F.abs(x) * unit
+    return F.when(size < float("inf"), F.signum(x) * F.round(size) / unit).otherwise(x)
+
+
+def over_nothing(value: str) -> Column:
+    """What doubles give for a number over zero: an infinity by its sign, no number for none."""
+    x = F.col(value).cast("double")
+    return F.when(F.isnan(x) | (x == 0.0), float("nan")).otherwise(F.signum(x) * float("inf"))
+
+
 def outcomes(pairs: DataFrame) -> DataFrame:
     """Wins, losses and ties of complete pairs; larger is better."""
     return pairs.agg(*(F.count_if(x).alias(n) for n, x in (("wins", F.col("c") > F.col("b")), ("losses", F.col("c") < F.col("b")), ("ties", F.col("c") == F.col("b")))))

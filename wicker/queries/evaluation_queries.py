@@ -12,7 +12,7 @@ P = "with pairs as (select user_id as task, sum(value) filter (event_type = 'vie
 
 
 def pairs(spark, d):
-    e = A.read(spark, d, "events").groupBy(F.col("user_id").alias("task"), "event_type").agg(evaluation.exact_sum("value").alias("value"))
+    e = A.read(spark, d, "events").groupBy(F.col("user_id").alias("task"), "event_type").agg(evaluation.settled_sum("value").alias("value"))
     return evaluation.paired(e, "task", "event_type", "value", "view", "click")
 
 
@@ -66,7 +66,8 @@ def graded_answers(spark, d):
 @query(P + "select task, case when c * 2 <= b then 'strong win' when c < b then 'win' when c > b then 'regression' else 'even' end as flag, round(c - b, 6) as delta, round(c / b, 6) as ratio from pairs where b is not null and c is not null")
 def flagged_pairs(spark, d):
     out = evaluation.compared(evaluation.flagged(pairs(spark, d)))
-    return out.select("task", "flag", F.round("delta", 6).alias("delta"), F.round("ratio", 6).alias("ratio"))
+    out = out.withColumn("ratio", F.coalesce("ratio", evaluation.over_nothing("c")))  # its SQL has no null there
+    return out.select("task", "flag", *(evaluation.rounded(c, 6).alias(c) for c in ("delta", "ratio")))
 
 
 @query("select d.source as category, count(*) as expected, count(l.doc_id) as found, count(*) - count(l.doc_id) as missed from documents d left join (select distinct doc_id from labels) l using (doc_id) group by 1")
